@@ -50,6 +50,15 @@ def _line_starts(before: Column, ends: Column) -> Column:
     return F.when(F.element_at(ends, -1) >= _LINE, running_max(own))
 
 
+def segments(text: Column, pattern: str) -> Column:
+    """The text cut at its matches: even entries lie between matches, odd entries are matches."""
+
+    def cut(mark: Column) -> Column:
+        return F.split(F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+
+    return let(F.concat(F.lit(_OPEN), _fill(text)), cut)
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """Non-overlapping matches, left to right, empty ones included."""
 

@@ -199,6 +199,6 @@ def band_transitions(compared: DataFrame) -> DataFrame:
     return (
         compared.groupBy("band_before")
         .pivot("band_after", ["low", "medium", "high"])
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0)
     )
