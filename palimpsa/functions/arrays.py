@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WIDTHS = [1 << k for k in range(31)]
+_WIDTHS = "array(" + ", ".join(str(1 << k) for k in range(31)) + ")"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,7 +30,7 @@ def prefix_scan(items: Column, combine: Callable[[Column, Column], Column]) -> C
         )
 
     def passes(first: Column) -> Column:
-        widths = F.filter(F.array(*[F.lit(w) for w in _WIDTHS]), lambda w: w < F.size(first))
+        widths = F.filter(F.expr(_WIDTHS), lambda w: w < F.size(first))
         return F.aggregate(widths, first, one_pass)
 
     return let(items, passes)
@@ -46,3 +46,18 @@ def running_max(items: Column) -> Column:
 
 def array_total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+
+def sql_literal(value: str | None) -> str:
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(pairs: Iterable[tuple[str, str | list[str | None]]]) -> Column:
+    """A constant map; written as one SQL expression because that is quicker to build than a tree of literals."""
+
+    def value(v: str | list[str | None]) -> str:
+        return sql_literal(v) if isinstance(v, str) else "array(" + ", ".join(map(sql_literal, v)) + ")"
+
+    return F.expr("map(" + ", ".join(f"{sql_literal(k)}, {value(v)}" for k, v in pairs) + ")")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsa.functions.arrays import literal_map
+
 # Zero-width and format characters.
 FORMAT_CHARS = {
     0x200B: "ZERO WIDTH SPACE",
@@ -86,10 +88,7 @@ def range_table(spark: SparkSession) -> DataFrame:
 
 
 def _lookup(slot: int) -> Column:
-    pairs = []
-    for row in singles():
-        pairs += [F.lit(chr(row[0])), F.lit(row[slot])]
-    return F.create_map(*pairs)
+    return literal_map((chr(row[0]), row[slot]) for row in singles())
 
 
 def char_name(ch: Column) -> Column:

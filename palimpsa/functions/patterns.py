@@ -6,11 +6,15 @@ import re
 
 # Whitespace as Unicode text tools usually see it (str.isspace).
 WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The same characters as a plain string, for trimming.
+WS_CHARS = "".join(
+    map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "\u2028\u2029\u202f\u205f\u3000"
 NOT_WS = WS.replace("[", "[^", 1)
 WORD_CHAR = r"[\p{L}\p{N}_]"
 NOT_WORD_CHAR = r"[^\p{L}\p{N}_]"
 # Letters, plus the letter-like numerals that are not decimal digits.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LETTER = r"[a-zA-Z\p{L}\p{Nl}\p{No}]"
 WORD = rf"{LETTER}+(?:'{LETTER}+)?"
 SENTENCE_BREAK = rf"(?<=[.!?]){WS}+"
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsa.functions.patterns import SENTENCE_BREAK, WORD, WS
+from palimpsa.functions.patterns import NOT_WS, SENTENCE_BREAK, WORD, WS_CHARS
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{WS}+\z", "")
+    return F.rtrim(text, F.lit(WS_CHARS))
 
 
 def is_blank(text: Column) -> Column:
-    return ~F.coalesce(text, F.lit("")).rlike(WS.replace("[", "[^", 1))
+    return ~F.coalesce(text, F.lit("")).rlike(NOT_WS)
 
 
 def sentences(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.functions.arrays import array_total
+from palimpsa.functions.arrays import array_total, literal_map
 from palimpsa.functions.patterns import quote, to_java
 from palimpsa.functions.scan import find_all
 from palimpsa.functions.texts import strip
@@ -88,10 +88,6 @@ def sniff_language(code: Column) -> Column:
     )
 
 
-def _literal_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
 def resolve_language(code: Column, filename: Column | None = None, language: Column | None = None) -> Column:
     """A known explicit name, else the suffix, else the content."""
     options = []
@@ -100,7 +96,7 @@ def resolve_language(code: Column, filename: Column | None = None, language: Col
         options.append(F.when(named.isin(*SYNTAX), named))
     if filename is not None:
         suffix = F.when(F.contains(filename, F.lit(".")), F.lower(F.substring_index(filename, ".", -1)))
-        options.append(F.try_element_at(_literal_map(EXTENSIONS), suffix))
+        options.append(F.try_element_at(literal_map(EXTENSIONS.items()), suffix))
     return F.coalesce(*options, sniff_language(code))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsa.functions.arrays import array_total
-from palimpsa.functions.texts import rstrip, sentences, words
+from palimpsa.functions.texts import sentences, words
 
 # Stock connector phrases.
 CONNECTOR_PHRASES = [
@@ -48,26 +48,26 @@ FEATURES = [
 ]
 
 
-def present_phrases(text: Column, phrases: list[str] | None = None) -> Column:
-    """Which phrases occur in the lower-cased text, as plain substrings."""
+def present_phrases(lowered: Column, phrases: list[str] | None = None) -> Column:
+    """Which phrases occur in a text already lower-cased, as plain substrings."""
     listed = CONNECTOR_PHRASES if phrases is None else phrases
     if not listed:
         return F.array().cast("array<string>")
-    lowered = F.lower(text)
     return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(p)), F.lit(p)) for p in listed]))
 
 
 def add_features(documents: DataFrame, text: str = "text", phrases: list[str] | None = None) -> DataFrame:
-    """Whole-number features per document; three narrow projections, no shuffle.
+    """Whole-number features per document; narrow projections only, no shuffle.
 
     Each stage names what the next one uses more than once, so sentences and
     words are found once per document.
     """
     base = documents.columns
     body = F.coalesce(F.col(text), F.lit(""))
-    split = documents.withColumn("_sent", sentences(body)).withColumn("phrases", present_phrases(body, phrases))
+    split = documents.withColumn("_sent", sentences(body)).withColumn("_lower", F.lower(body))
     counted = (
-        split.withColumn("_words", F.transform("_sent", words))
+        split.withColumn("phrases", present_phrases(F.col("_lower"), phrases))
+        .withColumn("_words", F.transform("_sent", words))
         .withColumn("_len", F.transform("_words", lambda w: F.size(w).cast("bigint")))
         .withColumn(
             "_commas",
@@ -82,7 +82,7 @@ def add_features(documents: DataFrame, text: str = "text", phrases: list[str] |
         F.size(F.array_distinct("_flat")).alias("n_distinct_words"),
         array_total(F.col("_len")).alias("sum_len"),
         array_total(F.transform("_len", lambda n: n * n)).alias("sum_len_sq"),
-        F.size(F.filter("_sent", lambda s: F.endswith(rstrip(s), F.lit(".")))).alias("n_period"),
+        F.size(F.filter("_sent", lambda s: F.endswith(s, F.lit(".")))).alias("n_period"),
         array_total(F.col("_commas")).alias("sum_commas"),
         array_total(F.transform("_commas", lambda n: n * n)).alias("sum_commas_sq"),
         "phrases",

@@ -21,6 +21,7 @@ def local_session(cores: int | str = 8, app: str = "palimpsa") -> SparkSession:
     settings["spark.sql.shuffle.partitions"] = "8"
     settings["spark.driver.memory"] = "8g"
     settings["spark.ui.enabled"] = "false"
+    settings["spark.python.sql.dataFrameDebugging.enabled"] = "false"
     settings["spark.driver.extraJavaOptions"] = "-Xss8m"
     for key, value in settings.items():
         builder = builder.config(key, value)
