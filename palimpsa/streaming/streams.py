@@ -106,18 +106,18 @@ def throttled_stream(
     return (
         events.select(key, time, order)
         .groupBy(key)
-        .transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="ProcessingTime")
+        .transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="None")
     )
 
 
 class HistoryProcessor(StatefulProcessor):
-    """State per key: the newest entries, dropped when a key stays silent for a week."""
+    """State per key: the newest entries, dropped when a key stays silent past the time to live."""
 
-    def __init__(self, key: str, time: str, order: str, length: int) -> None:
-        self.key, self.time, self.order, self.length = key, time, order, length
+    def __init__(self, key: str, time: str, order: str, length: int, ttl_ms: int | None) -> None:
+        self.key, self.time, self.order, self.length, self.ttl_ms = key, time, order, length, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entries = handle.getListState("entries", "t long, id long", ttlDurationMs=HISTORY_TTL_MS)
+        self.entries = handle.getListState("entries", "t long, id long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         newest = [(int(t), int(i)) for t, i in self.entries.get()]
@@ -145,14 +145,22 @@ def history_stream(
     time: str = "ts",
     order: str = "event_id",
     length: int = activity.HISTORY_LENGTH,
+    ttl_ms: int | None = HISTORY_TTL_MS,
 ) -> DataFrame:
-    """The current history of every key that had events in the micro-batch."""
+    """The current history of every key that had events in the micro-batch.
+
+    A time to live needs the processing-time mode, which keeps running empty
+    micro-batches: use it with a continuous trigger, and ``None`` with a bounded one.
+    """
     schema = T.StructType([events.schema[key], events.schema[order], T.StructField("recency", T.IntegerType())])
     return (
         events.select(key, time, order)
         .groupBy(key)
         .transformWithStateInPandas(
-            HistoryProcessor(key, time, order, length), schema, outputMode="Update", timeMode="ProcessingTime"
+            HistoryProcessor(key, time, order, length, ttl_ms),
+            schema,
+            outputMode="Update",
+            timeMode="None" if ttl_ms is None else "ProcessingTime",
         )
     )
 

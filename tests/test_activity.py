@@ -103,7 +103,7 @@ def test_streamed_throttle_and_history(spark, tmp_path):
         for r in batch.collect():
             seen.setdefault((number, r.user_id), []).append((r.recency, r.event_id))
 
-    history = streams.history_stream(streams.event_stream(spark, path, 1), length=4)
+    history = streams.history_stream(streams.event_stream(spark, path, 1), length=4, ttl_ms=None)
     query = (
         history.writeStream.foreachBatch(keep).outputMode("update")
         .option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
