@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsa.suite import detection
+from palimpsa.suite import detection, quality
 from palimpsa.suite.corpus import whole_numbers
 
-MODULES = [detection]
+MODULES = [detection, quality]
 
 
 def _checked(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
