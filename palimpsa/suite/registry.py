@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsa.suite import detection, quality
+from palimpsa.suite import detection, events, quality, sourcecode, wording
 from palimpsa.suite.corpus import whole_numbers
 
-MODULES = [detection, quality]
+MODULES = [detection, quality, wording, sourcecode, events]
 
 
 def _checked(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
