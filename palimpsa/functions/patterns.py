@@ -68,11 +68,23 @@ def quote(literal: str) -> str:
     return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def _prefix_tree(phrases: list[str]) -> str:
+    """Alternation with shared beginnings, longest first, so few branches are tried per position."""
+    rest: dict[str, list[str]] = {}
+    for phrase in phrases:
+        if phrase:
+            rest.setdefault(phrase[0], []).append(phrase[1:])
+    if not rest:
+        return ""
+    branches = "|".join(quote(first) + _prefix_tree(tails) for first, tails in sorted(rest.items()))
+    ends_here = "?" if "" in phrases else ""
+    return branches if len(rest) == 1 and not ends_here else f"(?:{branches}){ends_here}"
+
+
 def whole_phrases(phrases: list[str]) -> str:
-    """Longest-first alternation of literals between word boundaries, any case."""
-    ordered = sorted(phrases, key=len, reverse=True)
-    body = "|".join(quote(p) for p in ordered)
-    return rf"(?iu)(?<!{WORD_CHAR})(?:{body})(?!{WORD_CHAR})"
+    """Longest of the literals between word boundaries, any case."""
+    tree = _prefix_tree(sorted(set(phrases)))
+    return rf"(?iu)(?<!{WORD_CHAR})(?:{tree})(?!{WORD_CHAR})"
 
 
 def flags(case_sensitive: bool) -> str:

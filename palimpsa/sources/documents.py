@@ -29,9 +29,22 @@ TEXT_EXTENSIONS = [
 ]
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Give every core some rows when the input has too few splits.
+
+    Text work is bound by CPU, and a small file may be one row group, that is one
+    task. Fewer splits than cores also means less than one split size per core,
+    which bounds what this moves; larger inputs are returned as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() >= 2 * cores:
+        return frame
+    return frame.repartition(cores, key)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Declared schema, never inferred; only the columns used later are read."""
-    return spark.read.schema(DOCUMENT_SCHEMA).parquet(path)
+    return spread(spark.read.schema(DOCUMENT_SCHEMA).parquet(path), "doc_id")
 
 
 def with_filename(documents: DataFrame, filename: Column | None = None) -> DataFrame:

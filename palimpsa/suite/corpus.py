@@ -41,6 +41,10 @@ SNIPPETS = [
 ]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(spark, f"{sf_dir}/documents.parquet")
+
+
 def _pick(values: list[str], index: str) -> str:
     whens = " ".join(f"when {i} then {v}" for i, v in enumerate(values))
     return f"case {index} {whens} end"
@@ -71,7 +75,7 @@ def _marked(chars: str, newline: str) -> str:
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with invisible characters, keywords and stock phrases."""
-    base = read_documents(spark, f"{sf_dir}/documents.parquet")
+    base = documents(spark, sf_dir)
     chars = _pick([f"'{chr(c)}'" for c in PLANTED], "doc_id % 10")
     text = f"{_prefix()} || ({_marked(chars, sql_literal(chr(10)))}) || {_suffix()}".format(s="string")
     return base.selectExpr(
@@ -88,7 +92,7 @@ def marked_sql() -> str:
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after a Spanish passage with phrases, lists, passives, short and long sentences."""
-    base = read_documents(spark, f"{sf_dir}/documents.parquet")
+    base = documents(spark, sf_dir)
     passage = _pick([sql_literal(p) for p in PASSAGES], "doc_id % 6")
     return base.selectExpr("doc_id", "source", f"{passage} || '\\n\\n' || text as text")
 
@@ -100,7 +104,7 @@ def prose_sql() -> str:
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source texts: a snippet followed by the document, every third one as a block comment."""
-    base = read_documents(spark, f"{sf_dir}/documents.parquet")
+    base = documents(spark, sf_dir)
     code = _pick([sql_literal(c) for c, _ in SNIPPETS], "doc_id % 10")
     names = _pick(["cast(null as string)" if n is None else f"'{n}'" for _, n in SNIPPETS], "doc_id % 10")
     body = "case when doc_id % 3 = 0 then '/* ' || text || ' */' else text end"

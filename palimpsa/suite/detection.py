@@ -10,7 +10,7 @@ from palimpsa.operators.detect import DetectionConfig
 from palimpsa.plans import jobs
 from palimpsa.sources import sinks
 from palimpsa.suite import sqltext as q
-from palimpsa.suite.corpus import files, files_sql, marked, marked_sql, table
+from palimpsa.suite.corpus import documents, files, files_sql, marked, marked_sql
 
 CONFIG = DetectionConfig(keywords=["wm-0", " M-00 ", "confidential"])
 SENSITIVE = DetectionConfig(keywords=["CONFIDENTIAL", "confidential"], case_sensitive=True, detect_invisible=False)
@@ -172,7 +172,7 @@ def removed_by_source(spark, sf_dir):
 
 def digit_offsets(spark, sf_dir):
     config = DetectionConfig(keywords=["[0-9]{3,}"], use_regex=True, detect_invisible=False)
-    return detect.findings_table(table(spark, sf_dir, "documents"), config).select(
+    return detect.findings_table(documents(spark, sf_dir), config).select(
         "doc_id", "matched_text", "position", "line", "column"
     )
 

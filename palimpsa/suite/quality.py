@@ -12,7 +12,7 @@ from palimpsa.plans import jobs
 from palimpsa.sources import documents as docs
 from palimpsa.sources import files as raw
 from palimpsa.suite import sqltext as q
-from palimpsa.suite.corpus import files, files_sql, marked, marked_sql, prose, prose_sql, table
+from palimpsa.suite.corpus import documents, files, files_sql, marked, marked_sql, prose, prose_sql, table
 from palimpsa.suite.detection import BODY, CONFIG, COUNTS
 
 P = marked_sql()
@@ -20,7 +20,7 @@ CUSTOM = ["confidential", "the ", "cabe"]
 
 
 def sentence_split(spark, sf_dir):
-    split = table(spark, sf_dir, "documents").select(
+    split = documents(spark, sf_dir).select(
         "doc_id", F.transform(texts.sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"))).alias("_s")
     )
     return rows_of(split, ("doc_id",), "_s", "n")
@@ -60,7 +60,7 @@ def custom_phrases(spark, sf_dir):
 
 
 def sentence_statistics(spark, sf_dir):
-    described = style.ratios(style.add_features(table(spark, sf_dir, "documents")))
+    described = style.ratios(style.add_features(documents(spark, sf_dir)))
     return described.select(
         "doc_id", F.round("mean_len", 6).alias("mean_len"), F.round("stdev_len", 6).alias("stdev_len"),
         F.round("type_token", 6).alias("type_token"),
@@ -129,7 +129,7 @@ def file_routing(spark, sf_dir):
 
 
 def bytes_fallback(spark, sf_dir):
-    data = table(spark, sf_dir, "documents").select(
+    data = documents(spark, sf_dir).select(
         "doc_id",
         F.when(
             (F.col("doc_id") % 3 == 0) & (F.col("lang") == "es"),
@@ -148,7 +148,7 @@ def fragment_assembly(spark, sf_dir):
 
 
 def keyword_fields(spark, sf_dir):
-    fields = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", " ", ",").alias("field"))
+    fields = documents(spark, sf_dir).select("doc_id", F.translate("text", " ", ",").alias("field"))
     return docs.keyword_rows(fields, "doc_id", "field")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsa.operators import code
 from palimpsa.plans import jobs
+from palimpsa.sources.documents import spread
 from palimpsa.suite import sqltext as q
 from palimpsa.suite.corpus import sources, sources_sql, table
 
@@ -41,7 +42,7 @@ def formal_openers(spark, sf_dir):
 
 
 def page_comments(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("code"))
+    pages = spread(table(spark, sf_dir, "pages"), "page_id").select(F.col("page_id").alias("doc_id"), F.col("html").alias("code"))
     found = code.partition_features(pages.withColumn("language", F.lit("html")).withColumn(
         "comments", code.comments(F.col("code"), F.lit("html"))
     ))
