@@ -59,11 +59,12 @@ def segments(text: Column, pattern: str) -> Column:
     return let(F.concat(F.lit(_OPEN), _fill(text)), cut)
 
 
-def find_all(text: Column, pattern: str) -> Column:
+def find_all(text: Column, pattern: str | Column) -> Column:
     """Non-overlapping matches, left to right, empty ones included."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def cut(opening: Column, closing: Column) -> Column:
-        marked = F.regexp_replace(text, F.lit(pattern), F.concat(opening, F.lit("$0"), closing))
+        marked = F.regexp_replace(text, pattern, F.concat(opening, F.lit("$0"), closing))
         return let(F.split(marked, opening, -1), lambda pieces: place(pieces, closing))
 
     def place(pieces: Column, closing: Column) -> Column:

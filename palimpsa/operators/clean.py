@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsa.functions import chars, spans
 from palimpsa.functions.scan import find_all
-from palimpsa.operators.detect import DetectionConfig, keyword_pattern, usable_keywords
+from palimpsa.operators.detect import DetectionConfig, keyword_list, usable_keywords
 
 SPAN_TYPE = "array<struct<start:int,end:int>>"
 
@@ -38,8 +38,11 @@ def invisible_spans(text: Column) -> Column:
 
 def keyword_spans(text: Column, keywords: list[str], config: DetectionConfig) -> Column:
     """Spans of every keyword, keyword by keyword; equal spans are kept, they count separately."""
-    parts = [_as_spans(find_all(text, keyword_pattern(k, config))) for k in keywords]
-    return F.concat(*parts) if parts else F.array().cast(SPAN_TYPE)
+    if not keywords:
+        return F.array().cast(SPAN_TYPE)
+    return F.flatten(
+        F.transform(keyword_list(keywords, config), lambda k: _as_spans(find_all(text, k["pattern"])))
+    )
 
 
 def _chosen(spans_: Column, prefix: str, ids: str | None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsa.functions import chars, patterns
+from palimpsa.functions.arrays import sql_literal
 from palimpsa.functions.scan import find_all
 
 # Limits on user-supplied keywords and patterns.
@@ -107,23 +108,40 @@ def keyword_pattern(keyword: str, config: DetectionConfig) -> str:
     return patterns.flags(config.case_sensitive) + body
 
 
-def keyword_findings(text: Column, keyword: str, ordinal: int, config: DetectionConfig) -> Column:
-    """Matches of one keyword; the pattern is a literal so it compiles once per task."""
-    return F.transform(
-        find_all(text, keyword_pattern(keyword, config)),
-        lambda m: F.struct(
-            F.lit("keyword").alias("kind"),
-            F.lit(ordinal).alias("kw_ord"),
-            F.concat_ws(":", F.lit("kw"), m["position"], m["position"] + F.length(m["matched"])).alias("id"),
-            F.lit(None).cast("string").alias("codepoint"),
-            F.lit(None).cast("string").alias("name"),
-            m["matched"].alias("matched_text"),
-            F.lit(keyword).alias("keyword"),
-            m["position"].alias("position"),
-            m["line"].alias("line"),
-            m["column"].alias("column"),
-        ),
+def keyword_list(keywords: list[str], config: DetectionConfig) -> Column:
+    """Constant array of struct<ordinal, keyword, pattern>: at most 100 entries.
+
+    The keywords are walked inside the row, so the plan stays the same size for
+    any number of them; compiling a pattern costs little next to reading a text.
+    """
+    entries = ", ".join(
+        f"struct({i} as ordinal, {sql_literal(k)} as keyword, {sql_literal(keyword_pattern(k, config))} as pattern)"
+        for i, k in enumerate(keywords, start=1)
     )
+    return F.expr(f"array({entries})")
+
+
+def keyword_findings(text: Column, keywords: list[str], config: DetectionConfig) -> Column:
+    """Matches keyword by keyword, each in text order."""
+
+    def one(k: Column) -> Column:
+        return F.transform(
+            find_all(text, k["pattern"]),
+            lambda m: F.struct(
+                F.lit("keyword").alias("kind"),
+                k["ordinal"].alias("kw_ord"),
+                F.concat_ws(":", F.lit("kw"), m["position"], m["position"] + F.length(m["matched"])).alias("id"),
+                F.lit(None).cast("string").alias("codepoint"),
+                F.lit(None).cast("string").alias("name"),
+                m["matched"].alias("matched_text"),
+                k["keyword"].alias("keyword"),
+                m["position"].alias("position"),
+                m["line"].alias("line"),
+                m["column"].alias("column"),
+            ),
+        )
+
+    return F.flatten(F.transform(keyword_list(keywords, config), one))
 
 
 def usable_keywords(spark: SparkSession, config: DetectionConfig) -> list[str]:
@@ -135,8 +153,9 @@ def findings(spark: SparkSession, text: Column, config: DetectionConfig) -> Colu
     """All findings of a text as one array: invisible ones first, then keyword by keyword."""
     text = F.coalesce(text, F.lit(""))
     parts = [invisible_findings(text)] if config.detect_invisible else []
-    for ordinal, keyword in enumerate(usable_keywords(spark, config), start=1):
-        parts.append(keyword_findings(text, keyword, ordinal, config))
+    keywords = usable_keywords(spark, config)
+    if keywords:
+        parts.append(keyword_findings(text, keywords, config))
     if not parts:
         return F.array().cast(FINDING_TYPE)
     return F.concat(*parts)

@@ -30,10 +30,14 @@ def local_session(cores: int | str = 8, app: str = "palimpsa") -> SparkSession:
     return spark
 
 
+_fallback: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="palimpsa-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured
+    if not _fallback:
+        _fallback.append(tempfile.mkdtemp(prefix="palimpsa-checkpoint-"))
+    return _fallback[0]

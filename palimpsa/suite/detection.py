@@ -56,12 +56,16 @@ def invisible_scan(spark, sf_dir):
 
 
 def invisible_by_source(spark, sf_dir):
-    """Flagged characters by source and class with subtotals; no offsets are needed for counts."""
+    """Flagged characters by source and class with subtotals; no offsets are needed for counts.
+
+    Counted first and rolled up after, so the rows are not expanded once per subtotal level.
+    """
     ch = marked(spark, sf_dir).select(
         "source", F.explode_outer(F.regexp_extract_all("text", F.lit(chars.FLAGGED_CLASS), F.lit(0))).alias("ch")
     )
     named = ch.filter(F.col("ch").isNotNull()).withColumn("class", chars.char_class(F.col("ch")))
-    return named.rollup("source", "class").agg(F.count("*").alias("n"))
+    counted = named.groupBy("source", "class").agg(F.count("*").alias("n"))
+    return counted.rollup("source", "class").agg(F.sum("n").alias("n"))
 
 
 def invisible_names(spark, sf_dir):

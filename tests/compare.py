@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import pathlib
 import sys
 import time
@@ -52,11 +53,18 @@ def compare(spark, db, sf_dir, query, sql):
 
 def main():
     import __spark_entry__ as entry
+    from pyspark.sql import SparkSession
+
     from palimpsa.session import local_session
 
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     names = sys.argv[2:]
-    spark, db = local_session(), connect(sf_dir)
+    if os.environ.get("PLAIN_SESSION"):
+        # a session with next to no settings of our own, as another driver would bring
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = local_session()
+    db = connect(sf_dir)
     sqls = entry.oracle_sql()
     bad = 0
     for name, query in entry.queries().items():
