@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from palimpsa.operators import activity
+from palimpsa.operators.activity import HISTORY_LENGTH, REQUEST_LIMIT, WINDOW_SECONDS, admit
 from palimpsa.operators.clean import clean
 from palimpsa.operators.detect import DetectionConfig, add_findings, count_kind
 from palimpsa.sources.documents import DOCUMENT_SCHEMA
@@ -80,7 +80,7 @@ class ThrottleProcessor(StatefulProcessor):
         frame = pd.concat(list(rows), ignore_index=True).sort_values([self.time, self.order], kind="stable")
         times = frame[self.time].to_numpy().astype("datetime64[us]").astype(np.int64)
         recent = [row[0] for row in self.log.get()]
-        accepted, kept = activity.admit(times, recent, self.limit, self.window)
+        accepted, kept = admit(times, recent, self.limit, self.window)
         self.log.put([(int(t),) for t in kept])
         yield pd.DataFrame(
             {self.key: frame[self.key].to_numpy(), self.order: frame[self.order].to_numpy(), "accepted": accepted}
@@ -95,8 +95,8 @@ def throttled_stream(
     key: str = "user_id",
     time: str = "ts",
     order: str = "event_id",
-    limit: int = activity.REQUEST_LIMIT,
-    window_seconds: int = activity.WINDOW_SECONDS,
+    limit: int = REQUEST_LIMIT,
+    window_seconds: int = WINDOW_SECONDS,
 ) -> DataFrame:
     """Admission per event. Needs the RocksDB state store (``use_keyed_state``)."""
     schema = T.StructType(
@@ -144,7 +144,7 @@ def history_stream(
     key: str = "user_id",
     time: str = "ts",
     order: str = "event_id",
-    length: int = activity.HISTORY_LENGTH,
+    length: int = HISTORY_LENGTH,
     ttl_ms: int | None = HISTORY_TTL_MS,
 ) -> DataFrame:
     """The current history of every key that had events in the micro-batch.
