@@ -22,6 +22,8 @@ def _refined(rows: DataFrame, text: Column, prefix_chars: int, digest_all: bool)
         .join(lengths, "_size", "left_semi")
         .select("_size", "_prefix", F.lit(True).alias("_again"))
     )
+    # Written, so that the join has plain exchanges on both sides: only then can a hot class be split.
+    classes = settle(classes, "classes")
     # Level 3: whole texts of the classes that are left.
     wanted = F.lit(True) if digest_all else F.col("_again")
     marked = sized.join(classes, ["_size", "_prefix"], "left").withColumns(
@@ -42,7 +44,7 @@ def _met(marked: DataFrame) -> DataFrame:
     groups = shared.groupBy("_size", "_prefix", "_sha").agg(
         F.max(F.struct("_key", "_row")).alias("_best"), F.count("*").alias("_members")
     )
-    met = shared.join(groups, ["_size", "_prefix", "_sha"])
+    met = shared.join(settle(groups, "groups"), ["_size", "_prefix", "_sha"])
     met = met.withColumns({"_keep": F.col("_best._key"), "_kept": F.col("_best._row") == F.col("_row")}).drop("_best")
     return alone.unionByName(met)
 

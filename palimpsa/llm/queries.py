@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsa.llm import exact, pii, sharding, urls
+from palimpsa.llm import exact, jaccard, leaks, pii, sharding, urls
 from palimpsa.llm.common import table
 
 # Host labels of the listed sites.
@@ -81,9 +81,19 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
 from documents window same as (partition by coalesce(text, ''))
 """
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filter": (op1_url_filter, OP1_SQL),
     "op2_personal_data": (op2_personal_data, None),
     "op6_sharding": (op6_sharding, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op8_ngram_jaccard": (op8_ngram_jaccard, None),
+    "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
 }
