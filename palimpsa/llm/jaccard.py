@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,27 @@ BLOCK = 2048  # entries of a tile's side
 SEEN = 50_000  # sets that a task remembers so as not to repeat their entries
 
 
+KEY = np.dtype([("x", "<u8"), ("y", "<u8")])  # the 16 bytes that name a set
+
+
+def to_keys(names: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """Names of sets as a column of bytes."""
+    offsets = np.arange(len(names) + 1, dtype=np.int32) * 16
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(names).tobytes())]
+    out = pa.Array.from_buffers(pa.binary(), len(names), buffers)
+    return out if missing is None else pc.if_else(pa.array(missing), pa.scalar(None, pa.binary()), out)
+
+
+def from_keys(column: pa.ChunkedArray) -> np.ndarray:
+    """The names in a column of bytes; all of them are there and have 16 bytes."""
+    parts = []
+    for c in column.chunks:
+        if len(c):
+            start = np.frombuffer(c.buffers()[1], np.int32, 1, c.offset * 4)[0]
+            parts.append(np.frombuffer(c.buffers()[2], KEY, len(c), int(start)))
+    return np.concatenate(parts) if parts else np.zeros(0, KEY)
+
+
 @dataclass(frozen=True)
 class Threshold:
     """Sets link when ``over * intersection >= under * union``: the similarity is under / over."""
@@ -71,8 +93,8 @@ def _describe(words: int):
         counts = np.zeros(1 << BUCKET_BITS, np.int32)
         for part in text_slices(batches, "_text"):
             sets = shingle_sets(part.column("_text"), words)
-            for values in sets:
-                np.add.at(counts, (values >> shift).astype(np.int64), 1)
+            if sets:
+                counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("_key"),
@@ -122,7 +144,7 @@ def _entries(words: int, rule: Threshold, counters):
         seen: set[bytes] = set()
         counts = counters.value
         for part in text_slices(batches, "_text"):
-            tokens, keys, sizes = [], [], []
+            tokens, keys = [], []
             for values in shingle_sets(part.column("_text"), words):
                 n = len(values)
                 key = set_key(values)
@@ -132,12 +154,13 @@ def _entries(words: int, rule: Threshold, counters):
                     seen.add(key)
                 rank = np.argsort(counts[(values >> shift).astype(np.int64)], kind="stable")
                 tokens.append(values[rank[: rule.prefix(n)]].astype(np.int64))
-                keys += [key] * len(tokens[-1])
-                sizes += [n] * len(tokens[-1])
+                keys.append((key, n))
             if tokens:
+                which = np.repeat(np.arange(len(keys)), [len(t) for t in tokens])
+                names = np.frombuffer(b"".join(k for k, _ in keys), KEY)[which]
+                sizes = np.array([n for _, n in keys], np.int64)[which]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())],
-                    ["_token", "_set", "_n"],
+                    [pa.array(np.concatenate(tokens)), to_keys(names), pa.array(sizes)], ["_token", "_set", "_n"]
                 )
 
     return run
@@ -152,7 +175,7 @@ def _neighbours(rule: Threshold):
 
         def cut(rows: pa.Table, before, final: bool) -> tuple[pa.RecordBatch | None, pa.Table, object]:
             token = rows.column("_token").to_numpy()
-            names = np.array(rows.column("_set").to_pylist(), dtype=object)
+            names = from_keys(rows.column("_set"))
             n = rows.column("_n").to_numpy()
             # Copies of a set's entry stand side by side; the first of them counts.
             first = np.ones(len(rows), bool)
@@ -165,15 +188,14 @@ def _neighbours(rule: Threshold):
             same = np.zeros(len(token) + 1, bool)
             same[1:-1] = token[1:] == token[:-1]
             same[0] = before is not None and before[0] == token[0]
-            prior_name = np.concatenate([[before[1] if before else None], names[:-1]])
-            prior_n = np.concatenate([[before[2] if before else 0], n[:-1]])
+            prior_name, prior_n = np.roll(names, 1), np.roll(n, 1)
+            prior_name[0], prior_n[0] = before[1:] if before is not None else (names[0], 0)
             # An entry is kept if another set has its shingle too.
             keep = np.flatnonzero((same[:-1] | same[1:])[:stop])
             near = same[:-1][keep] & (rule.over * prior_n[keep] >= rule.under * n[keep])
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array(token[keep]), pa.array(list(names[keep]), pa.binary()), pa.array(n[keep]),
-                    pa.array([b if ok else None for b, ok in zip(prior_name[keep], near, strict=True)], pa.binary()),
+                    pa.array(token[keep]), to_keys(names[keep]), pa.array(n[keep]), to_keys(prior_name[keep], ~near),
                 ],
                 ["_token", "_set", "_n", "_before"],
             )

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsa.llm import exact, jaccard, leaks, pii, sharding, urls
-from palimpsa.llm.common import table
+from palimpsa.llm import exact, jaccard, langid, leaks, pieces, pii, sharding, suffixes, toxicity, urls
+from palimpsa.llm.common import remainder, table
+
+# A public vocabulary file; the path is a parameter of the query.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 # Host labels of the listed sites.
 LISTED_WORDS = ("spam", "pills", "casino")
@@ -64,6 +67,31 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
+    model = pieces.load_model(model_file)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, model), model)
+    return coded.select(
+        "doc_id", "pieces", F.size("pieces").alias("n_pieces"),
+        F.sha2(F.coalesce("decoded", F.lit("")).cast("binary"), 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("restored"),
+    )
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 3) == 1
+    model = langid.fit_languages(docs.filter(~held_out))
+    return langid.add_language(docs.drop("lang"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("language.name").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -89,11 +117,24 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 4) == 2
+    labelled = toxicity.labelled_texts(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    scored = toxicity.add_toxicity(docs, toxicity.fit_toxicity(labelled), into="score")
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 QUERIES = {
     "op1_url_filter": (op1_url_filter, OP1_SQL),
     "op2_personal_data": (op2_personal_data, None),
+    "op3_sentencepiece": (op3_sentencepiece, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
+    "op5_language": (op5_language, None),
     "op6_sharding": (op6_sharding, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_ngram_jaccard": (op8_ngram_jaccard, None),
     "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
