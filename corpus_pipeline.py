@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsa.llm import exact
+from palimpsa.llm import exact, jaccard, leaks, pieces, toxicity
 from palimpsa.llm.common import settle, table
+from palimpsa.llm.queries import MODEL_FILE
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at its threshold or above go; it learns from the labelled ones among them."""
+    labelled = toxicity.labelled_texts(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.add_toxicity(docs, toxicity.fit_toxicity(labelled), into="_toxicity")
+    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +24,30 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of texts whose sets of five words are alike by 0.8 or more, the row with the least id stays."""
+    return jaccard.drop_near(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is found go."""
+    return leaks.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each text, and whether they decode to it."""
+    model = pieces.load_model(MODEL_FILE)
+    coded = pieces.decode(pieces.encode(docs, model), model)
+    restored = F.col("decoded").eqNullSafe(F.col("text"))
+    return coded.select("doc_id", "lang", "source", "pieces", F.size("pieces").alias("n_pieces"), restored.alias("restored"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_filter),
     ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
 ]
 
 # The classifier and the tokenizer cannot be said in SQL.
