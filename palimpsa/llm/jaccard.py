@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -18,7 +17,7 @@ from palimpsa.llm.shingles import set_key, shingle_sets
 
 BUCKET_BITS = 20  # counters by which shingles are ordered, rare ones first: 4 MB, whatever the input
 CHUNK = 1 << 14
-MIN_WIDTH, MAX_WIDTH = 64, 8192  # bits of a signature
+MIN_WIDTH, MAX_WIDTH = 512, 8192  # bits of a signature
 BLOCK = 2048  # entries of a tile's side
 SEEN = 50_000  # sets that a task remembers so as not to repeat their entries
 
@@ -85,6 +84,26 @@ def folded(bitmap: bytes, width: int) -> np.ndarray:
     return words
 
 
+def folded_all(bitmaps: list[bytes]) -> np.ndarray:
+    """All bitmaps at the least width, a row each."""
+    out = np.empty((len(bitmaps), MIN_WIDTH // 64), np.uint64)
+    sizes = np.array([len(b) for b in bitmaps])
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        words = np.frombuffer(b"".join(bitmaps[i] for i in rows), np.uint64).reshape(len(rows), -1)
+        while words.shape[1] > out.shape[1]:
+            half = words.shape[1] // 2
+            words = words[:, :half] ^ words[:, half:]
+        out[rows] = words
+    return out
+
+
+def may_link(a: bytes, b: bytes, sizes: int, rule: Threshold) -> bool:
+    """Whether the signatures at their common width leave room for a link."""
+    width = 8 * min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum()) <= rule.apart(sizes)
+
+
 def _describe(words: int):
     """Per text its set's size, key and signature, and per task the shingle counters in chunks."""
     shift = np.uint64(64 - BUCKET_BITS)
@@ -212,47 +231,76 @@ def _neighbours(rule: Threshold):
     return run
 
 
+PAIR = "a binary, b binary"
+TILE = ["_token", "_band", "_low", "_high"]
+
+
 def _tiles(rule: Threshold):
     """Sorted tile members: pairs of different components that sizes and signatures allow to link."""
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame | None:
-        rows = rows.sort_values(["_n", "_set"], kind="stable").drop_duplicates("_set").reset_index(drop=True)
-        n, side = rows["_n"].to_numpy(), rows["_side"].to_numpy()
-        names, root = rows["_set"].to_numpy(), pd.factorize(rows["_root"])[0]
-        width = 8 * min(map(len, rows["_bits"]))
-        bits = np.stack([folded(b, width) for b in rows["_bits"]])
-        out_a, out_b = [], []
-        ends = np.searchsorted(n, n * rule.over // rule.under, "right")
-        for i in range(len(rows) - 1):
-            j = slice(i + 1, ends[i])
-            sizes = n[j] + n[i]
-            near = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= rule.apart(sizes)
-            # Two sides of a tile meet; a tile of one side meets itself.
-            near &= (root[j] != root[i]) & ((side[j] != side[i]) | (side[i] == 2))
-            for k in np.flatnonzero(near) + i + 1:
-                out_a.append(min(names[i], names[k]))
-                out_b.append(max(names[i], names[k]))
-        return pd.DataFrame({"a": out_a, "b": out_b}) if out_a else None
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        tile = ["_token", "_band", "_low", "_high"]
-        for frame in frames:
-            if frame.empty:
-                continue
-            held.append(frame)
-            names = [tuple(frame.iloc[0][tile]), tuple(frame.iloc[-1][tile])]
-            if len(held) > 1 and names[1] == tuple(held[0].iloc[0][tile]):
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        tile = np.stack([rows.column(c).to_numpy() for c in TILE], axis=1)
+        n, side = (rows.column(c).to_numpy() for c in ("_n", "_side"))
+        names, root = from_keys(rows.column("_set")), from_keys(rows.column("_root"))
+        bitmaps = rows.column("_bits").to_pylist()
+        bits = folded_all(bitmaps)
+        number = np.concatenate([[0], np.cumsum((tile[1:] != tile[:-1]).any(axis=1))])
+        end = np.searchsorted(number, number, "right")
+        out = []
+        live, step = np.arange(len(n)), 1
+        # Members of a tile stand by size: once a member's partner is too large, so are all after it.
+        while len(live):
+            live = live[live + step < end[live]]
+            live = live[rule.under * n[live + step] <= rule.over * n[live]]
+            i, j = live, live + step
+            near = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            i, j = i[near], j[near]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            near = apart <= rule.apart(n[i] + n[j])
+            out.append(np.stack([i[near], j[near]], axis=1))
+            step += 1
+        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        wide = [may_link(bitmaps[i], bitmaps[j], int(n[i] + n[j]), rule) for i, j in found.tolist()]
+        found = found[np.array(wide, bool)]
+        x, y = names[found[:, 0]], names[found[:, 1]]
+        return pa.RecordBatch.from_arrays([to_keys(x), to_keys(y)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < 4 * BLOCK or not batch.num_rows:
                 continue
-            rows = pd.concat(held)
-            key = rows[tile].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
-                if (found := pairs(rows.iloc[a:b])) is not None:
-                    yield found
-            held = [rows.iloc[cuts[-1] :]] if len(cuts) else [rows]
-        if held and (found := pairs(pd.concat(held))) is not None:
-            yield found
+            table = pa.Table.from_batches(held)
+            same = np.ones(size, bool)
+            for c in TILE:
+                values = table.column(c).to_numpy()
+                same &= values == values[-1]
+            last = int(np.argmax(same))  # the last tile may go on
+            if last:
+                yield pairs(table.slice(0, last))
+                held, size = table.slice(last).to_batches(), size - last
+        if size:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _possible(rule: Threshold):
+    """Pairs whose signatures leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("_bits_a").to_pylist(), batch.column("_bits_b").to_pylist()
+            sizes = batch.column("_n_a").to_numpy() + batch.column("_n_b").to_numpy()
+            apart = np.bitwise_count(folded_all(left) ^ folded_all(right)).sum(axis=1, dtype=np.int64)
+            near = apart <= rule.apart(sizes)
+            for i in np.flatnonzero(near):
+                near[i] = may_link(left[i], right[i], int(sizes[i]), rule)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return run
 
@@ -276,7 +324,7 @@ def _verified(words: int, rule: Threshold):
 def _links(pairs: DataFrame, texts: DataFrame, words: int, rule: Threshold) -> DataFrame:
     sides = [texts.select(F.col("_set").alias(s), F.col("_text").alias(f"_text_{s}")) for s in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "_text_a", "_text_b")
-    return joined.mapInArrow(_verified(words, rule), "a binary, b binary")
+    return joined.mapInArrow(_verified(words, rule), PAIR)
 
 
 def similarity_classes(
@@ -321,10 +369,14 @@ def similarity_classes(
     named = rows.mapInArrow(_named(words), "_set binary, _text string")
     texts = settle(named.join(wanted, "_set", "left_semi").dropDuplicates(["_set"]), "texts")
 
+    signed = described.filter("_n > 0").select("_set", "_n", "_bits").dropDuplicates(["_set"])
+    signed = settle(signed.join(wanted, "_set", "left_semi"), "signed")
     chained = entries.filter("_before is not null").select(
         F.least("_set", "_before").alias("a"), F.greatest("_set", "_before").alias("b")
-    )
-    first = settle(_links(chained.distinct(), texts, words, rule), "first-links")
+    ).distinct()
+    for s in "ab":
+        chained = chained.join(signed.toDF(s, f"_n_{s}", f"_bits_{s}"), s)
+    first = settle(_links(chained.mapInArrow(_possible(rule), PAIR), texts, words, rule), "first-links")
     roots = components(first)
 
     # Shingles whose sets are in different components: their tiles.
@@ -341,18 +393,18 @@ def similarity_classes(
     loads = loads.filter("_load > 1 and _used").select("_token", "_band", F.ceil(F.col("_load") / BLOCK).alias("_blocks"))
     members = homes.join(loads, ["_token", "_band"]).withColumn("_own", F.pmod(F.xxhash64("_set"), F.col("_blocks")))
     members = members.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    bits = described.filter("_n > 0").select("_set", "_bits").join(wanted, "_set", "left_semi").dropDuplicates(["_set"])
     tiles = (
         members.select(
             "_token", "_band", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"),
             "_set", "_n", "_root",
             F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1).alias("_side"),
         )
-        .join(bits, "_set")
-        .repartition("_token", "_band", "_low", "_high")
-        .sortWithinPartitions("_token", "_band", "_low", "_high")
+        .join(signed.select("_set", "_bits"), "_set")
+        .repartition(*TILE)
+        .sortWithinPartitions(*TILE, "_n", "_set")
     )
-    candidates = tiles.mapInPandas(_tiles(rule), "a binary, b binary").distinct()
+    found = tiles.mapInArrow(_tiles(rule), PAIR)
+    candidates = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = settle(_links(candidates, texts, words, rule), "second-links")
     roots = components(first.unionByName(second))
 
