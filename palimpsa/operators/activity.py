@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # History length, dashboard length, request limit and its window.
 HISTORY_LENGTH = 50
@@ -83,28 +82,35 @@ def throttle(
 ) -> DataFrame:
     """Events with ``accepted``: at most ``limit`` admissions per key in any sliding window.
 
-    Admission depends on earlier admissions, so each burst of a key is one ordered
-    pass; bursts are independent and spread over tasks, small ones are admitted
-    whole without leaving the JVM, and the pass keeps ``limit`` times, not the
-    burst. ``exempt`` events are admitted and leave no trace.
+    Admission depends on earlier admissions, so each burst of a key is one ordered pass over its times; bursts are
+    independent and spread over tasks. A burst of at most ``limit`` events is admitted whole: no window inside it can
+    hold more. The pass sees key, burst, time and ``order`` only, keeps ``limit`` times and sends back admitted events,
+    which join the full rows by ``order`` (it tells the events of a key apart), so wide rows of a hot key never meet.
+    Events without a key are one client; those without a time have a null ``accepted``. ``exempt`` events are admitted
+    and leave no trace.
     """
     window = window_seconds * 1_000_000
     free = F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)
-    timed = events.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp"))).withColumn(
-        "_slot", F.floor(F.col("_t") / window)
+    named = events.withColumns(
+        {
+            "_client": F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-")),
+            "_t": F.unix_micros(F.col(time).cast("timestamp")),
+        }
     )
-    burst = _with_bursts(timed.filter(~free), key, window)
-    columns = events.columns
-    calm = burst.filter(F.col("_burst_n") <= limit).select(*columns, F.lit(True).alias("accepted"))
-    busy = burst.filter(F.col("_burst_n") > limit).select(*columns, "_t", "_burst")
-    ordered = busy.repartition(F.col(key), F.col("_burst")).sortWithinPartitions(key, "_burst", "_t", order)
-    schema = T.StructType([*events.schema.fields, T.StructField("accepted", T.BooleanType())])
+    timed = named.filter(~free & F.col("_t").isNotNull()).select(
+        "_client", "_t", F.col(order).alias("_order"), F.floor(F.col("_t") / window).alias("_slot")
+    )
+    burst = _with_bursts(timed, "_client", window)
+    calm = burst.filter(F.col("_burst_n") <= limit).select("_client", "_order")
+    busy = burst.filter(F.col("_burst_n") > limit).select("_client", "_burst", "_t", "_order")
+    ordered = busy.repartition("_client", "_burst").sortWithinPartitions("_client", "_burst", "_t", "_order")
+    schema = busy.select("_client", "_order").schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent = None, []
         for frame in batches:
             times = frame["_t"].to_numpy()
-            keys, numbers = frame[key].to_numpy(), frame["_burst"].to_numpy()
+            keys, numbers = frame["_client"].to_numpy(), frame["_burst"].to_numpy()
             accepted = np.zeros(len(frame), dtype=bool)
             fresh = (keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])
             edges = [0, *(np.flatnonzero(fresh) + 1).tolist(), len(frame)]
@@ -115,9 +121,12 @@ def throttle(
                 if group != current:
                     current, recent = group, []
                 accepted[start:end], recent = admit(times[start:end], recent, limit, window)
-            yield frame[columns].assign(accepted=accepted)
-
-    result = calm.unionByName(ordered.mapInPandas(run, schema))
-    if exempt is not None:
-        result = result.unionByName(events.filter(free).withColumn("accepted", F.lit(True)))
-    return result
+            yield frame.loc[accepted, ["_client", "_order"]]
+
+    admitted = calm.unionByName(ordered.mapInPandas(run, schema)).withColumns(
+        {"_admitted": F.lit(True), "_whose": F.col("_client"), "_which": F.col("_order")}
+    ).select("_whose", "_which", "_admitted")
+    same = (F.col("_client") == F.col("_whose")) & F.col(order).eqNullSafe(F.col("_which"))
+    judged = named.join(admitted, same, "left")
+    verdict = F.when(free, True).when(F.col("_t").isNotNull(), F.coalesce("_admitted", F.lit(False)))
+    return judged.select(*events.columns, verdict.alias("accepted"))

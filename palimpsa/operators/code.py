@@ -63,29 +63,36 @@ FORMAL_OPENERS = [
     "important:",
 ]
 
-SNIFF_CHARS = 2000
 COMMENT_TYPE = "array<struct<kind:string,line:int,body:string>>"
 
 
-def sniff_language(code: Column) -> Column:
-    """First rule that fits the head of the code; brace languages by default."""
-    head = F.substring(code, 1, SNIFF_CHARS)
-
-    def seen(pattern: str, flags: str = "") -> Column:
-        return head.rlike(f"(?d{flags})" + to_java(pattern))
-
-    return (
-        F.when(
-            seen(r"^\s*#!.*python") | seen(r"\bdef \w+\(.*\):") | seen(r"^\s*(?:import|from)\s+\w+", "m"), "python"
-        )
-        .when(F.contains(head, F.lit("<?php")), "php")
-        .when(seen(r"<!DOCTYPE html>|<html[\s>]", "iu"), "html")
-        .when(F.contains(head, F.lit("public class")) | seen(r"^\s*package\s+[\w.]+;", "m"), "java")
-        .when(seen(r"\bfn \w+\(") & F.contains(head, F.lit("->")), "rust")
-        .when(seen(r"^\s*package\s+\w+", "m") & seen(r"\bfunc \w+\("), "go")
-        .when(seen(r"\b(?:SELECT|INSERT INTO|UPDATE|DELETE FROM)\b", "iu"), "sql")
-        .otherwise("javascript")
-    )
+# Marks of languages, tried in this order. A language fits when one of its groups fits, a group when
+# all of its patterns (with their flags) are found.
+MARKS = [
+    ("python", [[(r"^\s*#!.*python", "")], [(r"\bdef \w+\(.*\):", "")], [(r"^\s*(?:import|from)\s+\w+", "m")]]),
+    ("php", [[(r"<\?php", "")]]),
+    ("html", [[(r"<!DOCTYPE html>|<html[\s>]", "iu")]]),
+    ("java", [[(r"public class", "")], [(r"^\s*package\s+[\w.]+;", "m")]]),
+    ("rust", [[(r"\bfn \w+\(", ""), (r"->", "")]]),
+    ("go", [[(r"^\s*package\s+\w+", "m"), (r"\bfunc \w+\(", "")]]),
+    ("sql", [[(r"\b(?:SELECT|INSERT INTO|UPDATE|DELETE FROM)\b", "iu")]]),
+]
+UNMARKED = "javascript"
+
+
+def sniff_language(code: Column, head_chars: int | None = None) -> Column:
+    """The first language with a mark in the code, or in its first ``head_chars`` characters if that is given."""
+    head = code if head_chars is None else F.substring(code, 1, head_chars)
+    out = F.lit(UNMARKED)
+    for language, groups in reversed(MARKS):
+        found = F.lit(False)
+        for group in groups:
+            whole = F.lit(True)
+            for pattern, flags in group:
+                whole = whole & head.rlike(f"(?d{flags})" + to_java(pattern))
+            found = found | whole
+        out = F.when(found, language).otherwise(out)
+    return out
 
 
 def resolve_language(code: Column, filename: Column | None = None, language: Column | None = None) -> Column:

@@ -30,6 +30,11 @@ def violations(
     return F.array_compact(F.array(*tests))
 
 
+def code_violations(source: Column, max_chars: int = MAX_CODE_CHARS) -> Column:
+    """Codes of the limits a source text breaks."""
+    return F.array_compact(F.array(F.when(F.length(source) > max_chars, "too_long"), F.when(is_blank(source), "blank")))
+
+
 def with_status(documents: DataFrame, broken: Column) -> DataFrame:
     """Errors are data: every row keeps its place with a status and a message."""
     return (
@@ -45,13 +50,19 @@ def split_quarantine(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def oversized_batches(files: DataFrame, batch: str = "batch", cap: int = MAX_BATCH_FILES) -> DataFrame:
-    """Batches with more files than allowed; partial counts make a hot batch cheap."""
+    """Batches with more files than allowed; partial counts make a hot batch cheap. Files without a batch are one."""
     return files.groupBy(batch).agg(F.count("*").alias("n_files")).filter(F.col("n_files") > cap)
 
 
-def reject_oversized_batches(files: DataFrame, batch: str = "batch", cap: int = MAX_BATCH_FILES) -> DataFrame:
-    """Drop every file of a batch that holds too many. A hot batch is one the cap removes."""
-    return files.join(oversized_batches(files.select(batch), batch, cap), batch, "left_anti")
+def flag_oversized_batches(files: DataFrame, batch: str = "batch", cap: int = MAX_BATCH_FILES) -> DataFrame:
+    """Every file with ``status`` and ``message``: a batch with too many files is refused whole, row by row."""
+    over = oversized_batches(files, batch, cap).select(F.col(batch).alias("_over"), F.lit(True).alias("_refused"))
+    return (
+        files.join(over, F.col(batch).eqNullSafe(F.col("_over")), "left")
+        .withColumn("status", F.when(F.col("_refused"), "error").otherwise("ok"))
+        .withColumn("message", F.when(F.col("_refused"), "too_many_files"))
+        .drop("_over", "_refused")
+    )
 
 
 def running_total(
@@ -59,21 +70,29 @@ def running_total(
 ) -> DataFrame:
     """Cumulative sum per key in the order of a whole-number column, safe for a hot key.
 
-    Rows are windowed per (key, chunk of the order), and the chunk totals per
-    key, which are fewer by the chunk size, are windowed on their own.
+    Each key's span of the order is cut into stretches of about ``chunk_rows`` rows. Rows are windowed per (key,
+    stretch), and the totals of stretches, which are fewer by the chunk size, per key. A missing key is a key of its
+    own; rows without an order come first in their key.
     """
-    chunked = rows.withColumn("_chunk", F.floor(F.col(order) / chunk_rows).cast("bigint"))
-    totals = chunked.groupBy(key, "_chunk").agg(F.sum(value).alias("_total"))
-    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_chunk", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    spans = rows.groupBy(F.col(key).alias("_key")).agg(
+        F.min(order).alias("_low"), (F.max(order) - F.min(order) + 1).cast("double").alias("_span"),
+        F.ceil(F.count("*") / chunk_rows).alias("_pieces"),
+    )
+    chunked = rows.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
+        "_chunk", F.coalesce(F.floor((F.col(order) - F.col("_low")) / F.col("_span") * F.col("_pieces")), F.lit(-1))
+    ).drop("_key", "_low", "_span", "_pieces")
+    totals = chunked.groupBy(F.col(key).alias("_key"), F.col("_chunk").alias("_at")).agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_key", "_at", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     inside = (
         Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_at"))
     return (
         chunked.withColumn("_inside", F.sum(value).over(inside))
-        .join(offsets, [key, "_chunk"])
+        .join(offsets, same)
         .withColumn(out, F.col("_inside") + F.col("_offset"))
-        .drop("_chunk", "_inside", "_offset")
+        .drop("_chunk", "_inside", "_offset", "_key", "_at")
     )
 
 
@@ -91,7 +110,19 @@ def apply_byte_budget(
     )
 
 
+def batch_verdicts(files: DataFrame, max_files: int = MAX_BATCH_FILES, max_bytes: int = MAX_BATCH_BYTES) -> DataFrame:
+    """(batch, ord, running_bytes, status, message) of every file: too many files come before a spent budget."""
+    flagged = flag_oversized_batches(files.select("batch", "ord", "bytes"), cap=max_files)
+    totalled = running_total(flagged, "batch", "ord", "bytes", "running_bytes")
+    spent = F.col("running_bytes") > max_bytes
+    message = F.coalesce("message", F.when(spent, F.lit("batch_budget_exceeded")))
+    return totalled.withColumn("message", message).withColumn(
+        "status", F.when(F.col("message").isNull(), "ok").otherwise("error")
+    ).drop("bytes")
+
+
 def batch_summary(results: DataFrame, batch: str = "batch") -> DataFrame:
+    """Files, errors and findings per batch; a refused batch is listed with as many errors as files."""
     return results.groupBy(batch).agg(
         F.count("*").alias("n_files"),
         F.count_if(F.col("status") == "error").alias("n_errors"),

@@ -31,9 +31,17 @@ def scan_corpus(documents: DataFrame, config: DetectionConfig) -> DataFrame:
     return style.add_score(scanned).withColumn("band", style.band(F.col("score")))
 
 
+def _only_accepted(judged: DataFrame, columns: list[str]) -> DataFrame:
+    """Results of refused rows are unknown, so they are null: neither findings nor a clean flag."""
+    accepted = F.col("status") == "ok"
+    return judged.withColumns({c: F.when(accepted, F.col(c)) for c in columns})
+
+
 def scan_files(spark: SparkSession, path: str, config: DetectionConfig) -> DataFrame:
-    """Files to findings; unreadable and oversized ones stay as error rows."""
-    return scan_corpus(read_files(spark, path), config)
+    """Files to findings; unreadable and oversized ones stay as error rows without results."""
+    read = read_files(spark, path)
+    scanned = scan_corpus(read, config)
+    return _only_accepted(scanned, [c for c in scanned.columns if c not in read.columns])
 
 
 def clean_corpus(documents: DataFrame, config: DetectionConfig, **chosen: str) -> DataFrame:
@@ -47,24 +55,25 @@ def scan_batches(
     max_files: int = validate.MAX_BATCH_FILES,
     max_bytes: int = validate.MAX_BATCH_BYTES,
 ) -> DataFrame:
-    """Batches of files: too many files reject a batch, a spent budget the rest of it.
+    """Batches of files: too many files refuse a batch, a spent budget the rest of it. Every file keeps its row.
 
-    Both limits run on metadata (key, order, size), so texts are shuffled once, by
-    the join that brings the verdict back.
+    Files are scanned where they are and their texts dropped; only results meet the verdicts, which come from
+    metadata (batch, order, size). ``ord`` tells the files of a batch apart.
     """
-    meta = files.select("batch", "ord", "bytes")
-    admitted = validate.reject_oversized_batches(meta, cap=max_files)
-    verdict = validate.apply_byte_budget(admitted, cap=max_bytes).drop("bytes")
-    judged = files.join(verdict, ["batch", "ord"])
-    accepted = F.col("status") == "ok"
-    scanned = scan_corpus(judged.withColumn("text", F.when(accepted, F.col("text"))), config)
-    return scanned.withColumn("total_findings", F.when(accepted, F.col("total_findings")))
+    verdicts = validate.batch_verdicts(files, max_files, max_bytes)
+    verdicts = verdicts.withColumnRenamed("batch", "_batch").withColumnRenamed("ord", "_ord")
+    scanned = scan_corpus(files, config)
+    results = [c for c in scanned.columns if c not in files.columns]
+    same = F.col("batch").eqNullSafe(F.col("_batch")) & F.col("ord").eqNullSafe(F.col("_ord"))
+    judged = scanned.drop("text", "bytes").join(verdicts, same).drop("_batch", "_ord")
+    return _only_accepted(judged, results)
 
 
 def clean_batches(files: DataFrame, config: DetectionConfig, max_files: int = validate.MAX_BATCH_FILES) -> DataFrame:
-    """Cleaning knows the file cap but no byte budget."""
-    refused = validate.oversized_batches(files.select("batch"), cap=max_files)
-    return clean_corpus(files.join(refused.select("batch"), "batch", "left_anti"), config)
+    """Cleaning knows the file cap but no byte budget; files of refused batches keep their rows without results."""
+    cleaned = clean_corpus(files, config)
+    flagged = validate.flag_oversized_batches(cleaned, cap=max_files)
+    return _only_accepted(flagged, [c for c in cleaned.columns if c not in files.columns])
 
 
 def rewrite_corpus(documents: DataFrame, intensity: str = "medium") -> DataFrame:
@@ -72,8 +81,11 @@ def rewrite_corpus(documents: DataFrame, intensity: str = "medium") -> DataFrame
     return style.compare(lexicon.rewrite(documents, intensity), "text", "rewritten")
 
 
-def audit_code(sources: DataFrame) -> DataFrame:
-    return code.partition_features(code.with_comments(sources, "code", "filename"))
+def audit_code(sources: DataFrame, max_chars: int = validate.MAX_CODE_CHARS) -> DataFrame:
+    """Comment and code sizes per source; one over the size limit keeps its row with a status and no results."""
+    audited = code.partition_features(code.with_comments(sources, "code", "filename"))
+    judged = validate.with_status(audited, validate.code_violations(F.col("code"), max_chars))
+    return _only_accepted(judged, [c for c in audited.columns if c not in sources.columns])
 
 
 def session_activity(events: DataFrame, limit: int, window_seconds: int) -> DataFrame:

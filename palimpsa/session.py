@@ -34,10 +34,12 @@ _fallback: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
+    """The shared folder named by the cluster; a temporary one only on a single machine where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="palimpsa-checkpoint-"))
     return _fallback[0]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsa.functions.texts import file_extension, strip
+from palimpsa.operators.validate import running_total
 
+# The name of a text without one, and the limit on keywords.
 DEFAULT_FILENAME = "pasted_text.txt"
+MAX_KEYWORDS = 100
 
 DOCUMENT_SCHEMA = T.StructType(
     [
@@ -29,22 +32,9 @@ TEXT_EXTENSIONS = [
 ]
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Give every core some rows when the input has too few splits.
-
-    Text work is bound by CPU, and a small file may be one row group, that is one
-    task. Fewer splits than cores also means less than one split size per core,
-    which bounds what this moves; larger inputs are returned as they are.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= 2 * cores:
-        return frame
-    return frame.repartition(cores, key)
-
-
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Declared schema, never inferred; only the columns used later are read."""
-    return spread(spark.read.schema(DOCUMENT_SCHEMA).parquet(path), "doc_id")
+    return spark.read.schema(DOCUMENT_SCHEMA).parquet(path)
 
 
 def with_filename(documents: DataFrame, filename: Column | None = None) -> DataFrame:
@@ -85,23 +75,21 @@ def assemble(fragments: DataFrame, key: str, order: list[str], text: str = "text
     )
 
 
-def keyword_rows(fields: DataFrame, key: str, field: str, cap: int = 100) -> DataFrame:
-    """Keywords of a comma-separated field: blanks dropped, the first ``cap`` kept, then trimmed.
+def keyword_rows(fields: DataFrame, key: str, field: str, limit: int = MAX_KEYWORDS) -> DataFrame:
+    """All keywords of a comma-separated field, trimmed, blanks dropped, in their order.
 
-    The cap applies inside one field, in the row, so no ranking shuffle is needed.
+    ``within_limit`` tells the first ``limit`` of a field from the rest; to cut there is the caller's choice.
     """
-    usable = F.slice(F.filter(F.split(F.col(field), ","), lambda k: strip(k) != ""), 1, cap)
+    usable = F.filter(F.split(F.col(field), ","), lambda k: strip(k) != "")
     listed = fields.select(key, F.transform(usable, strip).alias("_kws"))
     return (
         listed.select(key, F.posexplode_outer("_kws").alias("_pos", "keyword"))
         .filter(F.col("_pos").isNotNull())
-        .select(key, (F.col("_pos") + 1).alias("kw_ord"), "keyword")
+        .select(key, (F.col("_pos") + 1).alias("kw_ord"), "keyword", (F.col("_pos") < limit).alias("within_limit"))
     )
 
 
-def first_keywords(keywords: DataFrame, key: str, order: str, cap: int = 100) -> DataFrame:
-    """First ``cap`` keywords per key from a keyword table; the rank limit is applied before the shuffle too."""
-    ranked = Window.partitionBy(key).orderBy(order)
-    return (
-        keywords.withColumn("kw_ord", F.row_number().over(ranked)).filter(F.col("kw_ord") <= cap)
-    )
+def ranked_keywords(keywords: DataFrame, key: str, order: str, limit: int = MAX_KEYWORDS) -> DataFrame:
+    """All keywords of a table with their rank in a key and ``within_limit``; safe for a hot key."""
+    counted = running_total(keywords.withColumn("_one", F.lit(1)), key, order, "_one", "kw_ord").drop("_one")
+    return counted.withColumn("within_limit", F.col("kw_ord") <= limit)

@@ -31,9 +31,11 @@ HISTORY_TTL_MS = 7 * 24 * 60 * 60 * 1000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+def document_stream(
+    spark: SparkSession, path: str, files_per_trigger: int = 1000, schema: T.StructType = DOCUMENT_SCHEMA
+) -> DataFrame:
     """Documents as they arrive, in micro-batches of bounded size."""
-    reader = spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
 
 
@@ -69,22 +71,29 @@ def finding_windows(scanned: DataFrame, time: str, width: str = "1 day", latenes
 class ThrottleProcessor(StatefulProcessor):
     """State per key: at most ``limit`` admitted times. Micro-batch size bounds what is sorted."""
 
-    def __init__(self, key: str, time: str, order: str, limit: int, window_seconds: int) -> None:
-        self.key, self.time, self.order = key, time, order
+    def __init__(self, key: str, time: str, order: str, limit: int, window_seconds: int, ttl_ms: int | None) -> None:
+        self.key, self.time, self.order, self.ttl_ms = key, time, order, ttl_ms
         self.limit, self.window = limit, window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getListState("admitted", "t long", ttlDurationMs=None)
+        self.log = handle.getListState("admitted", "t long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values([self.time, self.order], kind="stable")
-        times = frame[self.time].to_numpy().astype("datetime64[us]").astype(np.int64)
+        # Two numbers per event of this key and micro-batch; nothing else of a row is kept.
+        parts = [
+            (f[self.time].to_numpy().astype("datetime64[us]").astype(np.int64), f[self.order].to_numpy()) for f in rows
+        ]
+        times, numbers = (np.concatenate(column) for column in zip(*parts))
+        sorted_by_time = np.lexsort((numbers, times))
+        times, numbers = times[sorted_by_time], numbers[sorted_by_time]
         recent = [row[0] for row in self.log.get()]
         accepted, kept = admit(times, recent, self.limit, self.window)
         self.log.put([(int(t),) for t in kept])
-        yield pd.DataFrame(
-            {self.key: frame[self.key].to_numpy(), self.order: frame[self.order].to_numpy(), "accepted": accepted}
-        )
+        for start in range(0, len(times), 10_000):
+            part = slice(start, start + 10_000)
+            yield pd.DataFrame(
+                {self.key: [key[0]] * len(times[part]), self.order: numbers[part], "accepted": accepted[part]}
+            )
 
     def close(self) -> None:
         pass
@@ -97,16 +106,23 @@ def throttled_stream(
     order: str = "event_id",
     limit: int = REQUEST_LIMIT,
     window_seconds: int = WINDOW_SECONDS,
+    ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Admission per event. Needs the RocksDB state store (``use_keyed_state``)."""
+    """Admission per event. Needs the RocksDB state store (``use_keyed_state``).
+
+    With a continuous trigger over events as they happen, a ``ttl_ms`` of at least the window drops the logs of keys
+    that have gone silent; it needs the processing-time mode, so a bounded trigger goes without.
+    """
     schema = T.StructType(
         [events.schema[key], events.schema[order], T.StructField("accepted", T.BooleanType())]
     )
-    processor = ThrottleProcessor(key, time, order, limit, window_seconds)
+    processor = ThrottleProcessor(key, time, order, limit, window_seconds, ttl_ms)
     return (
         events.select(key, time, order)
         .groupBy(key)
-        .transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="None")
+        .transformWithStateInPandas(
+            processor, schema, outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime"
+        )
     )
 
 
@@ -170,17 +186,22 @@ def use_keyed_state(spark: SparkSession) -> None:
 
 
 def write_with_history(
-    scanned: DataFrame, results_path: str, history_path: str, checkpoint: str, session: str = "source"
+    scanned: DataFrame, results_path: str, history_path: str, checkpoint: str, session: str = "source",
+    time: str = "ts", filename: str = "filename",
 ) -> StreamingQuery:
     """Results and history rows of one micro-batch together.
 
-    Both land under the batch number, so a repeated batch overwrites itself.
+    Both land under the batch number, so a repeated batch overwrites itself. History comes from the results that were
+    written, so findings are computed once; its rows carry time and filename, which the newest-N rule needs.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{results_path}/batch={number}")
-        history = batch.select(
-            F.col(session).alias("session_id"), "doc_id", F.size("findings").alias("findings")
+        path = f"{results_path}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        written = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        history = written.select(
+            F.col(session).alias("session_id"), "doc_id", F.col(filename).alias("filename"), F.col(time).alias("ts"),
+            F.size("findings").alias("findings"),
         )
         history.write.mode("overwrite").parquet(f"{history_path}/batch={number}")
 
@@ -192,6 +213,21 @@ def write_with_history(
     )
 
 
+def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str) -> StreamingQuery:
+    """Each micro-batch under its number; a repeated one overwrites itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.format("parquet")

@@ -8,7 +8,6 @@ from palimpsa.functions import chars
 from palimpsa.operators import clean, detect
 from palimpsa.operators.detect import DetectionConfig
 from palimpsa.plans import jobs
-from palimpsa.sources import sinks
 from palimpsa.suite import sqltext as q
 from palimpsa.suite.corpus import documents, files, files_sql, marked, marked_sql
 
@@ -124,7 +123,7 @@ def selected_removal(spark, sf_dir):
         "*",
         "case when doc_id % 2 = 0 then null when doc_id % 3 = 0 then array() "
         "else array('inv:' || length(text), 'inv:' || (length(text) - 1), 'inv:' || (length(text) - 2)) end as inv",
-        "case when doc_id % 5 = 0 then array('kw:1:2') end as kw",
+        "case when doc_id % 5 = 0 then array('kw:' || (length(text) - 12) || ':' || length(text)) end as kw",
     )
     return clean.clean(chosen, CONFIG, "inv", "kw", with_preview=False).select(
         "doc_id", "cleaned", "removed_invisible", "removed_keyword"
@@ -140,9 +139,7 @@ def chosen_findings(spark, sf_dir):
 
 
 def untouched_documents(spark, sf_dir):
-    docs = marked(spark, sf_dir)
-    found = detect.findings_table(docs, CONFIG).select("doc_id")
-    return docs.select("doc_id", "source").join(found, "doc_id", "left_anti")
+    return detect.add_findings(marked(spark, sf_dir), CONFIG).filter(F.size("findings") == 0).select("doc_id", "source")
 
 
 def _span_table(spark, sf_dir):
@@ -190,23 +187,6 @@ def most_flagged_documents(spark, sf_dir):
     )
 
 
-def scan_corpus(spark, sf_dir):
-    return jobs.scan_corpus(marked(spark, sf_dir).drop("filename"), CONFIG).select(
-        "doc_id", "filename", "file_type", "original_length", "n_invisible", "n_keyword", "total_findings", "clean"
-    )
-
-
-def nested_results(spark, sf_dir):
-    nested = sinks.nested_result(jobs.scan_corpus(marked(spark, sf_dir).na.fill({"filename": "x"}), CONFIG))
-    return nested.select(
-        "doc_id",
-        "result.filename",
-        "result.original_length",
-        F.size("result.invisible_chars").alias("n_invisible"),
-        F.array_join("result.keyword_matches.id", ",").alias("keyword_ids"),
-    )
-
-
 def clean_corpus(spark, sf_dir):
     named = marked(spark, sf_dir).na.fill({"filename": "pasted_text.txt"})
     return jobs.clean_corpus(named, CONFIG, with_preview=False).select("doc_id", "out_name", "out_path", "cleaned")
@@ -214,7 +194,7 @@ def clean_corpus(spark, sf_dir):
 
 def clean_batches(spark, sf_dir):
     return jobs.clean_batches(files(spark, sf_dir).na.fill({"filename": "x"}), CONFIG, 17).select(
-        "batch", "doc_id", "out_name", "cleaned"
+        "batch", "doc_id", "status", "message", "out_name", "cleaned", "removed_invisible", "removed_keyword"
     )
 
 
@@ -291,7 +271,7 @@ QUERIES = {
         selected_removal,
         f"with {P}, {INV}, {KWS}, all_{SPANS}, sel as (select doc_id, length(text) as n from planted), "
         "spans as (select a.* from all_spans a join sel using (doc_id) where case when kind = 'keyword' "
-        "then doc_id % 5 <> 0 or id = 'kw:1:2' else doc_id % 2 = 0 or (doc_id % 3 <> 0 and id in "
+        "then doc_id % 5 <> 0 or id = 'kw:' || (n - 12) || ':' || n else doc_id % 2 = 0 or (doc_id % 3 <> 0 and id in "
         f"('inv:' || n, 'inv:' || (n - 1), 'inv:' || (n - 2))) end), {ISL}, {SEG}, {COUNTS}, "
         f"built as (select doc_id, {CLEANED} from seg group by doc_id) select doc_id, cleaned, "
         "coalesce(removed_invisible, 0) as removed_invisible, coalesce(removed_keyword, 0) as removed_keyword "
@@ -329,20 +309,6 @@ QUERIES = {
         most_flagged_documents,
         f"with {BODY}, {COUNTS} select doc_id, total_findings from ({PER_DOC}) order by total_findings desc, doc_id limit 25",
     ),
-    "scan_corpus": (
-        scan_corpus,
-        f"with {BODY}, {COUNTS} select doc_id, 'pasted_text.txt' as filename, 'txt' as file_type, "
-        f"length(text) as original_length, n_invisible, n_keyword, total_findings, clean from ({PER_DOC}) join planted "
-        "using (doc_id)",
-    ),
-    "nested_results": (
-        nested_results,
-        f"with {BODY}, {COUNTS}, ids as (select doc_id, string_agg('kw:' || position || ':' || (position + length(m)), "
-        "',' order by kw_ord, position) as keyword_ids from kws group by doc_id) select doc_id, "
-        "coalesce(filename, 'x') as filename, length(text) as original_length, coalesce(removed_invisible, 0) "
-        "as n_invisible, coalesce(keyword_ids, '') as keyword_ids from planted left join counts using (doc_id) "
-        "left join ids using (doc_id)",
-    ),
     "clean_corpus": (
         clean_corpus,
         f"with {BODY}, {ISL}, {SEG}, built as (select doc_id, {CLEANED} from seg group by doc_id) select doc_id, "
@@ -351,8 +317,12 @@ QUERIES = {
     ),
     "clean_batches": (
         clean_batches,
-        f"with {BODY}, {files_sql()}, {ISL}, {SEG}, built as (select doc_id, {CLEANED} from seg group by doc_id) "
-        "select batch, doc_id, 'clean_' || coalesce(filename, 'x') as out_name, cleaned from built join files "
-        "using (doc_id) where batch in (select batch from files group by batch having count(*) <= 17)",
+        f"with {BODY}, {COUNTS}, {files_sql()}, {ISL}, {SEG}, built as (select doc_id, {CLEANED} from seg group by doc_id), "
+        "sized as (select *, count(*) over (partition by batch) <= 17 as fits from files) "
+        "select batch, doc_id, case when fits then 'ok' else 'error' end as status, case when not fits then 'too_many_files' "
+        "end as message, case when fits then 'clean_' || coalesce(filename, 'x') end as out_name, "
+        "case when fits then cleaned end as cleaned, case when fits then coalesce(removed_invisible, 0) end as removed_invisible, "
+        "case when fits then coalesce(removed_keyword, 0) end as removed_keyword "
+        "from built join sized using (doc_id) left join counts using (doc_id)",
     ),
 }

@@ -10,8 +10,8 @@ from palimpsa.operators import activity
 from palimpsa.plans import jobs
 from palimpsa.session import checkpoint_dir
 from palimpsa.streaming import streams
-from palimpsa.suite.corpus import table
-from palimpsa.suite.detection import CONFIG
+from palimpsa.suite.corpus import marked, table
+from palimpsa.suite.detection import BODY, CLEANED, CONFIG, COUNTS, ISL, SEG
 
 LIMIT, WINDOW = 3, 86_400
 
@@ -20,12 +20,22 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
 
 
+def _gapped(spark, sf_dir):
+    """The events, some without a user and some without a time."""
+    return _events(spark, sf_dir).withColumns(
+        {
+            "user_id": F.when(F.col("event_id") % 11 != 5, F.col("user_id")),
+            "ts": F.when(F.col("event_id") % 17 != 9, F.col("ts")),
+        }
+    )
+
+
 def _newest():
     return [F.col("ts").desc(), F.col("event_id").desc()]
 
 
 def throttle(spark, sf_dir):
-    admitted = activity.throttle(_events(spark, sf_dir), "user_id", "ts", "event_id", LIMIT, WINDOW)
+    admitted = activity.throttle(_gapped(spark, sf_dir), "user_id", "ts", "event_id", LIMIT, WINDOW)
     return admitted.select("event_id", "user_id", "accepted")
 
 
@@ -62,48 +72,108 @@ def _work_dir(spark):
     return f"{checkpoint_dir(spark)}/palimpsa-{uuid.uuid4().hex}"
 
 
+def _planted_stream(spark, sf_dir, work, parts=3):
+    """The planted corpus as a stream: files that arrive one after another, a micro-batch each."""
+    planted = marked(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3600))
+    for part in range(parts):
+        rows = planted.filter(F.col("doc_id") % parts == part)
+        rows.write.mode("append").parquet(f"{work}/in")
+    return streams.document_stream(spark, f"{work}/in", 1, planted.schema)
+
+
+def _ordered_stream(spark, sf_dir, work, parts=4):
+    """Events in files by time, the earliest first, one per micro-batch; so state is carried from batch to batch."""
+    events = table(spark, sf_dir, "events")
+    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile(
+        "t", [i / parts for i in range(1, parts)], 0.01
+    )
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")]):
+        events.filter((at >= F.lit(low)) & (at < F.lit(high))).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    return streams.event_stream(spark, f"{work}/in", 1)
+
+
 def stream_clean(spark, sf_dir):
     """Documents as a stream, cleaned by the batch function, appended to a table."""
     work = _work_dir(spark)
-    stream = streams.document_stream(spark, f"{sf_dir}/documents*.parquet").filter("text is not null")
-    cleaned = streams.cleaned_stream(stream, CONFIG).select("doc_id", F.length("cleaned").alias("cleaned_length"))
+    cleaned = streams.cleaned_stream(_planted_stream(spark, sf_dir, work), CONFIG).select(
+        "doc_id", "cleaned", "removed_invisible", "removed_keyword"
+    )
     streams.append_to(cleaned, f"{work}/out", f"{work}/checkpoint").awaitTermination()
-    return spark.read.schema("doc_id bigint, cleaned_length int").parquet(f"{work}/out")
+    return spark.read.schema(cleaned.schema).parquet(f"{work}/out")
 
 
 def stream_throttle(spark, sf_dir):
-    """The throttle with keyed state; one file is one micro-batch, sorted by time inside."""
+    """The throttle with keyed state over several micro-batches."""
     work = _work_dir(spark)
     streams.use_keyed_state(spark)
-    events = streams.event_stream(spark, f"{sf_dir}/events*.parquet", 1)
-    admitted = streams.throttled_stream(events, limit=LIMIT, window_seconds=WINDOW)
+    admitted = streams.throttled_stream(_ordered_stream(spark, sf_dir, work), limit=LIMIT, window_seconds=WINDOW)
     streams.append_to(admitted, f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return spark.read.schema("user_id bigint, event_id bigint, accepted boolean").parquet(f"{work}/out")
 
 
+def stream_recent(spark, sf_dir):
+    """Keyed history over several micro-batches: the last state of each key."""
+    work = _work_dir(spark)
+    streams.use_keyed_state(spark)
+    history = streams.history_stream(_ordered_stream(spark, sf_dir, work), ttl_ms=None)
+    streams.write_batches(history, f"{work}/out", f"{work}/checkpoint", "update").awaitTermination()
+    states = spark.read.schema("user_id bigint, event_id bigint, recency int, batch int").parquet(f"{work}/out")
+    last = states.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return states.join(last, ["user_id", "batch"]).select("user_id", "recency", "event_id")
+
+
+def stream_windows(spark, sf_dir):
+    """Documents and findings per day of a stream, as the last micro-batch leaves them."""
+    work = _work_dir(spark)
+    scanned = streams.scanned_stream(_planted_stream(spark, sf_dir, work), CONFIG)
+    windows = streams.finding_windows(scanned, "ts", lateness="10000 days")
+    streams.write_batches(windows, f"{work}/out", f"{work}/checkpoint", "complete").awaitTermination()
+    every = spark.read.schema(
+        "window_start timestamp, n_docs bigint, n_invisible bigint, n_keyword bigint, batch int"
+    ).parquet(f"{work}/out")
+    last = every.agg(F.max("batch").alias("batch"))
+    return every.join(F.broadcast(last), "batch").select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n_docs", "n_invisible", "n_keyword"
+    )
+
+
 def stream_history(spark, sf_dir):
-    """Scan results and their history rows written together per micro-batch."""
+    """Scan results and their history rows written together per micro-batch; the newest three rows per session."""
     work = _work_dir(spark)
-    scanned = streams.scanned_stream(streams.document_stream(spark, f"{sf_dir}/documents*.parquet"), CONFIG)
+    scanned = streams.scanned_stream(_planted_stream(spark, sf_dir, work), CONFIG)
     streams.write_with_history(scanned, f"{work}/results", f"{work}/history", f"{work}/checkpoint").awaitTermination()
-    history = spark.read.schema("session_id string, doc_id bigint, findings int, batch int").parquet(f"{work}/history")
-    return history.groupBy("session_id").agg(F.count("*").alias("n_docs"), F.sum("findings").alias("findings"))
+    history = spark.read.schema(
+        "session_id string, doc_id bigint, filename string, ts timestamp, findings int, batch int"
+    ).parquet(f"{work}/history")
+    newest = activity.latest(history, "session_id", [F.col("ts").desc(), F.col("doc_id").desc()], 3)
+    return newest.select("session_id", "recency", "doc_id", "filename", "findings")
 
 
-def _throttle_sql(where: str = "") -> str:
+GAPPED = (
+    "gapped as (select event_id, event_type, case when event_id % 11 <> 5 then user_id end as user_id, "
+    "case when event_id % 17 <> 9 then ts end as ts from events)"
+)
+
+
+def _throttle_sql(where: str = "", source: str = "events", also: str = "") -> str:
     ok = f"(len(log) < {LIMIT} or t - log[-{LIMIT}] > {WINDOW * 1_000_000})"
-    return f"""with recursive e as (select event_id, user_id, event_type, epoch_us(ts) as t,
-        row_number() over (partition by user_id order by ts, event_id) as rn from events{where}),
+    return f"""with recursive {also}e as (select event_id, user_id, event_type, epoch_us(ts) as t,
+        row_number() over (partition by user_id order by ts, event_id) as rn from {source}{where}),
       r as (select user_id, rn, event_id, event_type, true as accepted, [t] as log from e where rn = 1
         union all select e.user_id, e.rn, e.event_id, e.event_type, {ok},
           case when {ok} then list_append(log, t)[-{LIMIT}:] else log end
-        from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)"""
+        from r join e on e.user_id is not distinct from r.user_id and e.rn = r.rn + 1)"""
 
 
 RANK = "row_number() over (partition by user_id order by ts desc, event_id desc) as recency"
 
 QUERIES = {
-    "throttle": (throttle, f"{_throttle_sql()} select event_id, user_id, accepted from r"),
+    "throttle": (
+        throttle,
+        _throttle_sql(" where ts is not null", "gapped", f"{GAPPED}, ") + " select event_id, user_id, accepted from r union all "
+        "select event_id, user_id, null from gapped where ts is null",
+    ),
     "throttle_with_exemptions": (
         throttle_with_exemptions,
         _throttle_sql(" where event_type <> 'click'")
@@ -128,13 +198,22 @@ QUERIES = {
     ),
     "stream_clean": (
         stream_clean,
-        "select doc_id, length(regexp_replace(text, '(?i)wm-0|m-00|confidential', '', 'g')) as cleaned_length from documents",
+        f"with {BODY}, {ISL}, {SEG}, {COUNTS}, built as (select doc_id, {CLEANED} from seg group by doc_id) select doc_id, "
+        "cleaned, coalesce(removed_invisible, 0) as removed_invisible, coalesce(removed_keyword, 0) as removed_keyword "
+        "from built left join counts using (doc_id)",
     ),
     "stream_throttle": (stream_throttle, f"{_throttle_sql()} select event_id, user_id, accepted from r"),
+    "stream_recent": (stream_recent, f"select user_id, {RANK}, event_id from events qualify recency <= 50"),
+    "stream_windows": (
+        stream_windows,
+        f"with {BODY}, {COUNTS} select strftime(to_timestamp(1700000000 + doc_id * 3600) at time zone 'UTC', '%Y-%m-%d') as day, "
+        "count(*) as n_docs, cast(sum(coalesce(removed_invisible, 0)) as bigint) as n_invisible, "
+        "cast(sum(coalesce(removed_keyword, 0)) as bigint) as n_keyword from planted left join counts using (doc_id) group by 1",
+    ),
     "stream_history": (
         stream_history,
-        "select source as session_id, count(*) as n_docs, cast(sum(len(regexp_extract_all(text, '(?i)wm-0')) + "
-        "len(regexp_extract_all(text, '(?i)m-00')) + len(regexp_extract_all(text, '(?i)confidential'))) as bigint) as findings "
-        "from documents group by source",
+        f"with {BODY}, {COUNTS} select source as session_id, row_number() over (partition by source order by doc_id desc) as recency, "
+        "doc_id, filename, coalesce(removed_invisible, 0) + coalesce(removed_keyword, 0) as findings "
+        "from planted left join counts using (doc_id) qualify recency <= 3",
     ),
 }

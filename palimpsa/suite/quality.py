@@ -13,6 +13,7 @@ from palimpsa.sources import documents as docs
 from palimpsa.sources import files as raw
 from palimpsa.suite import sqltext as q
 from palimpsa.suite.corpus import documents, files, files_sql, marked, marked_sql, prose, prose_sql, table
+from palimpsa.sources import sinks
 from palimpsa.suite.detection import BODY, CONFIG, COUNTS
 
 P = marked_sql()
@@ -100,17 +101,51 @@ def quarantine(spark, sf_dir):
 
 
 def batch_file_cap(spark, sf_dir):
-    return validate.reject_oversized_batches(files(spark, sf_dir).select("batch", "doc_id"), cap=17)
+    return validate.flag_oversized_batches(files(spark, sf_dir).select("batch", "doc_id"), cap=17)
 
 
 def batch_budget(spark, sf_dir):
-    meta = files(spark, sf_dir).select("batch", "ord", "bytes")
+    """Some files have no batch and one has no order; none may be lost."""
+    meta = files(spark, sf_dir).selectExpr(
+        "doc_id", "case when doc_id % 10 = 7 then null else batch end as batch",
+        "case when doc_id = 3 then null else ord end as ord", "bytes",
+    )
     return validate.apply_byte_budget(meta, cap=40_000)
 
 
 def batch_scan(spark, sf_dir):
     scanned = jobs.scan_batches(files(spark, sf_dir).na.fill({"filename": "x"}), CONFIG, 17, 30_000)
-    return scanned.select("batch", "doc_id", "status", "message", "total_findings")
+    return scanned.select(
+        "batch", "doc_id", "status", "message", "original_length", "n_invisible", "n_keyword", "total_findings", "clean",
+        "score", "band", F.array_join("signals", ",").alias("signals"), F.size("findings").alias("n_rows"),
+    )
+
+
+def scan_corpus(spark, sf_dir):
+    """The whole job: findings with their places, counts, clean flag, score, band and signals."""
+    scanned = jobs.scan_corpus(marked(spark, sf_dir).drop("filename"), CONFIG)
+    return scanned.select(
+        "doc_id", "filename", "file_type", "original_length", "n_invisible", "n_keyword", "total_findings", "clean",
+        "score", "band", F.array_join("signals", ",").alias("signals"),
+        _places(F.col("findings"), "invisible").alias("invisible_places"),
+        _places(F.col("findings"), "keyword").alias("keyword_places"),
+    )
+
+
+def _places(found, kind):
+    """Findings of a kind in their order, written out."""
+    rows = F.filter(found, lambda f: f["kind"] == kind)
+    return F.array_join(F.transform(rows, lambda f: F.concat_ws(":", f["id"], f["codepoint"], f["keyword"])), ",")
+
+
+def nested_results(spark, sf_dir):
+    nested = sinks.nested_result(jobs.scan_corpus(marked(spark, sf_dir).na.fill({"filename": "x"}), CONFIG))
+    return nested.select(
+        "doc_id", "result.filename", "result.original_length", "result.total_findings", "result.clean",
+        "result.style.score", F.array_join("result.style.signals", ",").alias("signals"),
+        _places(F.col("result.invisible_chars"), "invisible").alias("invisible_places"),
+        _places(F.col("result.keyword_matches"), "keyword").alias("keyword_places"),
+    )
 
 
 def batch_summary(spark, sf_dir):
@@ -153,9 +188,9 @@ def keyword_fields(spark, sf_dir):
 
 
 def ranked_keywords(spark, sf_dir):
-    """The same cap over a keyword table, where the rank limit runs before the shuffle."""
+    """The same over a keyword table: ranks of a hot key come from stretches of it."""
     listed = table(spark, sf_dir, "events").select("event_type", "event_id", F.col("props").alias("keyword"))
-    return docs.first_keywords(listed, "event_type", "event_id").select("event_type", "kw_ord", "keyword")
+    return docs.ranked_keywords(listed, "event_type", "event_id").select("event_type", "kw_ord", "keyword", "within_limit")
 
 
 def default_filenames(spark, sf_dir):
@@ -233,17 +268,37 @@ LIMITED = (
     f"case when {q.strip('coalesce(text, chr(32))')} = '' then 'blank' end, case when strlen(text) > 4000 then 'too_many_bytes' end, "
     "case when length(filename) > 255 then 'filename_too_long' end), '') as message from lim)"
 )
-TOTALS = (
-    "totals as (select batch, ord, bytes, cast(sum(bytes) over (partition by batch order by ord) as bigint) as running_bytes "
-    "from files{0})"
-)
-CAPPED = " where batch in (select batch from files group by batch having count(*) <= 17)"
+SCORED = f"{FEATURES}, {_score_sql(style.CONNECTOR_PHRASES)}"
+RESULTS = {
+    "original_length": "length(scored.text)",
+    "n_invisible": "coalesce(removed_invisible, 0)",
+    "n_keyword": "coalesce(removed_keyword, 0)",
+    "total_findings": "coalesce(removed_invisible, 0) + coalesce(removed_keyword, 0)",
+    "n_rows": "coalesce(removed_invisible, 0) + coalesce(removed_keyword, 0)",
+    "clean": "counts.doc_id is null",
+    "score": "score",
+    "band": BAND.format("score"),
+    "signals": SIGNALS,
+}
 JUDGED = (
-    f"with {BODY}, {COUNTS}, {files_sql()}, {TOTALS.format(CAPPED)}, judged as (select f.batch, f.doc_id, "
-    "case when running_bytes > 30000 then 'error' else 'ok' end as status, "
-    "case when running_bytes > 30000 then 'batch_budget_exceeded' end as message, "
-    "case when running_bytes <= 30000 then coalesce(removed_invisible, 0) + coalesce(removed_keyword, 0) end as total_findings "
-    "from files f join totals t on f.batch = t.batch and f.ord = t.ord left join counts using (doc_id))"
+    f"with {BODY}, {COUNTS}, {SCORED}, {files_sql()}, sized as (select batch, doc_id, count(*) over (partition by batch) as n_files, "
+    "sum(bytes) over (partition by batch order by ord) as running_bytes from files), verdict as (select *, "
+    "case when n_files > 17 then 'too_many_files' when running_bytes > 30000 then 'batch_budget_exceeded' end as message from sized), "
+    "judged as (select batch, verdict.doc_id, message, case when message is null then 'ok' else 'error' end as status, "
+    + ", ".join(f"case when message is null then {sql} end as {name}" for name, sql in RESULTS.items())
+    + " from verdict join scored on scored.doc_id = verdict.doc_id left join counts on counts.doc_id = verdict.doc_id)"
+)
+PLACES = (
+    "inv_places as (select doc_id, string_agg('inv:' || position || ':' || " + q.label("ord(m)") + ", ',' order by position) as "
+    "invisible_places from inv group by doc_id), kw_places as (select doc_id, string_agg('kw:' || position || ':' || "
+    "(position + length(m)) || ':' || keyword, ',' order by kw_ord, position) as keyword_places from kws group by doc_id)"
+)
+JOB = (
+    f"with {BODY}, {COUNTS}, {SCORED}, {PLACES}, job as (select scored.doc_id, filename, "
+    + ", ".join(f"{sql} as {name}" for name, sql in RESULTS.items() if name != "score")
+    + ", score, coalesce(invisible_places, '') as invisible_places, coalesce(keyword_places, '') as keyword_places "
+    "from scored join planted using (doc_id) left join counts on counts.doc_id = scored.doc_id "
+    "left join inv_places on inv_places.doc_id = scored.doc_id left join kw_places on kw_places.doc_id = scored.doc_id)"
 )
 EXT = r"lower(regexp_extract(filename, '([.][^.]*)$', 1))"
 KNOWN = ", ".join(f"'{e}'" for e in [*docs.TEXT_EXTENSIONS, ""])
@@ -313,15 +368,30 @@ QUERIES = {
         f"with {P}, {LIMITED} select message, count(*) as n from broken where message is not null group by message",
     ),
     "batch_file_cap": (
-        batch_file_cap, f"with {P}, {files_sql()} select batch, doc_id from files{CAPPED}",
+        batch_file_cap,
+        f"with {P}, {files_sql()}, sized as (select batch, doc_id, count(*) over (partition by batch) > 17 as over_cap from files) "
+        "select batch, doc_id, case when over_cap then 'error' else 'ok' end as status, "
+        "case when over_cap then 'too_many_files' end as message from sized",
     ),
     "batch_budget": (
         batch_budget,
-        f"with {P}, {files_sql()}, {TOTALS.format('')} select batch, ord, bytes, running_bytes, "
-        "case when running_bytes > 40000 then 'error' else 'ok' end as status, "
+        f"with {P}, {files_sql()}, meta as (select doc_id, case when doc_id % 10 = 7 then null else batch end as batch, "
+        "case when doc_id = 3 then null else ord end as ord, bytes from files), totals as (select *, cast(sum(bytes) over "
+        "(partition by batch order by ord nulls first) as bigint) as running_bytes from meta) "
+        "select doc_id, batch, ord, bytes, running_bytes, case when running_bytes > 40000 then 'error' else 'ok' end as status, "
         "case when running_bytes > 40000 then 'batch_budget_exceeded' end as message from totals",
     ),
     "batch_scan": (batch_scan, f"{JUDGED} select * from judged"),
+    "scan_corpus": (
+        scan_corpus,
+        f"{JOB} select doc_id, 'pasted_text.txt' as filename, 'txt' as file_type, original_length, n_invisible, n_keyword, "
+        "total_findings, clean, score, band, signals, invisible_places, keyword_places from job",
+    ),
+    "nested_results": (
+        nested_results,
+        f"{JOB} select doc_id, coalesce(filename, 'x') as filename, original_length, total_findings, clean, score, signals, "
+        "invisible_places, keyword_places from job",
+    ),
     "batch_summary": (
         batch_summary,
         f"{JUDGED} select batch, count(*) as n_files, count(*) filter (status = 'error') as n_errors, "
@@ -349,12 +419,12 @@ QUERIES = {
         keyword_fields,
         f"with k as (select doc_id, generate_subscripts(ks, 1) as kw_ord, unnest(ks) as keyword from (select doc_id, "
         f"list_transform(list_filter(string_split(replace(text, ' ', ','), ','), lambda x: {q.strip('x')} <> ''), "
-        f"lambda x: {q.strip('x')})[1:100] as ks from documents)) select doc_id, kw_ord, keyword from k",
+        f"lambda x: {q.strip('x')}) as ks from documents)) select doc_id, kw_ord, keyword, kw_ord <= 100 as within_limit from k",
     ),
     "ranked_keywords": (
         ranked_keywords,
-        "select event_type, row_number() over (partition by event_type order by event_id) as kw_ord, props as keyword "
-        "from events qualify kw_ord <= 100",
+        "select event_type, kw_ord, keyword, kw_ord <= 100 as within_limit from (select event_type, row_number() over "
+        "(partition by event_type order by event_id) as kw_ord, props as keyword from events)",
     ),
     "default_filenames": (
         default_filenames,

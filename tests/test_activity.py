@@ -72,8 +72,21 @@ def test_running_total_and_budget(spark):
 
 def test_oversized_batches_are_rejected_whole(spark):
     files = spark.createDataFrame([(b, i) for b, n in ((1, 20), (2, 21)) for i in range(n)], "batch int, ord int")
-    kept = validate.reject_oversized_batches(files)
-    assert [r.batch for r in kept.select("batch").distinct().collect()] == [1] and kept.count() == 20
+    got = validate.flag_oversized_batches(files.unionByName(files.limit(1).selectExpr("cast(null as int) as batch", "ord")))
+    seen = {(r.batch, r.status, r.message) for r in got.collect()}
+    assert seen == {(1, "ok", None), (2, "error", "too_many_files"), (None, "ok", None)} and got.count() == 42
+
+
+def test_missing_keys_orders_and_times_stay(spark):
+    rows = [(None, 1, 5), (None, 2, 7), (1, None, 3), (1, 9, 4), (1, 10**12, 1)]
+    files = spark.createDataFrame(rows, "batch int, ord long, bytes long")
+    got = {(r.batch, r.ord): r.running_bytes for r in validate.apply_byte_budget(files, cap=6).collect()}
+    assert got == {(None, 1): 5, (None, 2): 12, (1, None): 3, (1, 9): 7, (1, 10**12): 8}
+    events = spark.sql(
+        "select * from values (1, null, 0), (2, null, 1), (3, 7, null), (4, null, null), (5, 7, 2) e(event_id, user_id, s)"
+    ).select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    got = {r.event_id: r.accepted for r in activity.throttle(events, "user_id", "ts", "event_id", 1, 60).collect()}
+    assert got == {1: True, 2: False, 3: None, 4: None, 5: True}
 
 
 def write_events(spark, tmp_path, rows, parts=3):

@@ -65,7 +65,7 @@ def test_comments_match_a_scanner(spark, language):
         ("package a.b;", None, None, "java"),
         ("select 1; delete from t", None, None, "sql"),
         ("let x = 1", None, None, "javascript"),
-        (" " * 2001 + "import os", None, None, "javascript"),
+        (" " * 2001 + "import os", None, None, "python"),
     ],
 )
 def test_language(spark, text, filename, language, expected):
@@ -74,6 +74,11 @@ def test_language(spark, text, filename, language, expected):
     assert got == expected
 
 
+def test_language_by_a_given_head_only(spark):
+    frame = spark.createDataFrame([(" " * 2001 + "import os",)], "c string")
+    assert frame.select(code.sniff_language(F.col("c"), 2000).alias("r")).first().r == "javascript"
+
+
 def test_audits(spark):
     frame = spark.createDataFrame(
         [(0, "# Nota importante: x\ny = '#' # nota: z\n", "a.py"), (1, "/* Note: a\nb */", "b.js")],

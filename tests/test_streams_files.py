@@ -13,10 +13,11 @@ def test_stream_scan_history_and_windows(spark, tmp_path):
     frame = spark.range(20).select(
         F.col("id").alias("doc_id"), F.concat(F.lit("x​ kw "), F.col("id")).alias("text"),
         F.lit("es").alias("lang"), (F.col("id") % 2).cast("string").alias("source"), F.lit(5).cast("long").alias("n_chars"),
+        F.lit("f").alias("filename"), F.timestamp_seconds("id").alias("ts"),
     )
     frame.repartition(2).write.parquet(source)
     config = DetectionConfig(keywords=["kw"])
-    scanned = streams.scanned_stream(streams.document_stream(spark, source, 1), config)
+    scanned = streams.scanned_stream(streams.document_stream(spark, source, 1, frame.schema), config)
     streams.write_with_history(
         scanned, str(tmp_path / "r"), str(tmp_path / "h"), str(tmp_path / "cp")
     ).awaitTermination()
@@ -50,6 +51,7 @@ def test_files_are_decoded_labelled_and_capped(spark, tmp_path):
     assert rows["x.pdf"].status == "error" and rows["big.txt"].message == "too_many_bytes"
     scanned = {r.filename: r for r in jobs.scan_files(spark, str(tmp_path), DetectionConfig()).collect()}
     assert scanned["bom.md"].total_findings == 1 and scanned["bom.md"].file_type == "md"
+    assert (scanned["x.pdf"].total_findings, scanned["x.pdf"].clean, scanned["x.pdf"].score) == (None, None, None)
     listed = files.list_files(spark, str(tmp_path))
     assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
 
@@ -60,7 +62,12 @@ def test_fragments_and_keyword_fields(spark):
     assert got == {1: "\nb\nc", 2: "z"}
     fields = spark.createDataFrame([(1, " a, ,b c ,," + ",".join(f"k{i}" for i in range(200)))], "id int, f string")
     rows = docs.keyword_rows(fields, "id", "f").orderBy("kw_ord").collect()
-    assert [r.keyword for r in rows[:3]] == ["a", "b c", "k0"] and len(rows) == 100
+    assert [r.keyword for r in rows[:3]] == ["a", "b c", "k0"] and len(rows) == 202
+    assert [r.within_limit for r in rows] == [True] * 100 + [False] * 102
+    assert docs.keyword_rows(fields, "id", "f", 2).filter("within_limit").count() == 2
+    table = spark.range(3000).selectExpr("id % 2 as k", "id * id as o", "id as keyword")
+    ranks = {(r.k, r.keyword): r.kw_ord for r in docs.ranked_keywords(table, "k", "o").collect()}
+    assert ranks == {(i % 2, i): i // 2 + 1 for i in range(3000)}
 
 
 def test_limits_become_codes_and_quarantine(spark, tmp_path):
@@ -93,7 +100,15 @@ def test_result_and_cleaned_sinks(spark, tmp_path):
 def test_batches(spark):
     rows = [(b, o, b * 100 + o, "t​" * 10, 20) for b, n in ((0, 5), (1, 25)) for o in range(n)]
     frame = spark.createDataFrame(rows, "batch int, ord int, doc_id long, text string, bytes long")
-    got = jobs.scan_batches(frame, DetectionConfig(), max_bytes=60).orderBy("ord").collect()
-    assert [r.status for r in got] == ["ok"] * 3 + ["error"] * 2
-    assert [r.total_findings for r in got] == [10] * 3 + [None] * 2
-    assert jobs.clean_batches(frame, DetectionConfig()).count() == 5
+    got = jobs.scan_batches(frame, DetectionConfig(), max_bytes=60).orderBy("batch", "ord").collect()
+    assert [r.message for r in got] == [None] * 3 + ["batch_budget_exceeded"] * 2 + ["too_many_files"] * 25
+    assert [r.total_findings for r in got] == [10] * 3 + [None] * 27
+    assert all((r.clean, r.score, r.findings, r.band) == (None,) * 4 for r in got if r.status == "error")
+    cleaned = jobs.clean_batches(frame, DetectionConfig()).collect()
+    assert len(cleaned) == 30 and sum(r.cleaned is None for r in cleaned) == 25
+
+
+def test_code_over_its_limit_has_no_results(spark):
+    frame = spark.createDataFrame([("a.py", "# x\n" * 30), ("b.py", "# x\n")], "filename string, code string")
+    got = {r.filename: (r.status, r.n_comment_lines) for r in jobs.audit_code(frame, 100).collect()}
+    assert got == {"a.py": ("error", None), "b.py": ("ok", 1)}
