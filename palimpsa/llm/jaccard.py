@@ -61,6 +61,10 @@ class Threshold:
         """``sizes`` is the sum of both sizes."""
         return (self.over + self.under) * common >= self.under * sizes
 
+    def band(self, n: np.ndarray) -> np.ndarray:
+        """Numbers of bands; sizes in one band, and only those in neighbouring ones, allow a link."""
+        return np.floor(np.log(np.maximum(n, 1)) / np.log(self.over / self.under)).astype(np.int64)
+
     def apart(self, sizes: np.ndarray) -> np.ndarray:
         """The most members that only one of two linked sets may have."""
         return sizes * (self.over - self.under) // (self.over + self.under)
@@ -186,11 +190,11 @@ def _entries(words: int, rule: Threshold, counters):
 
 
 def _neighbours(rule: Threshold):
-    """Sorted entries: those whose shingle another set has too, each with the set before it if sizes allow a link."""
+    """Sorted entries: those whose shingle another set has too, each with the first such set of its band of sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.schema([("_token", pa.int64()), ("_set", pa.binary()), ("_n", pa.int64())]).empty_table()
-        last = None  # the last entry before the held ones, of the same shingle or not
+        last = None  # shingle, band and name of the last judged entry's first set
 
         def cut(rows: pa.Table, before, final: bool) -> tuple[pa.RecordBatch | None, pa.Table, object]:
             token = rows.column("_token").to_numpy()
@@ -204,21 +208,27 @@ def _neighbours(rule: Threshold):
             stop = len(token) if final else len(token) - 1
             if stop <= 0:
                 return None, rows, before
+            band = rule.band(n)
             same = np.zeros(len(token) + 1, bool)
             same[1:-1] = token[1:] == token[:-1]
             same[0] = before is not None and before[0] == token[0]
-            prior_name, prior_n = np.roll(names, 1), np.roll(n, 1)
-            prior_name[0], prior_n[0] = before[1:] if before is not None else (names[0], 0)
+            opens = ~same[:-1]
+            opens[1:] |= band[1:] != band[:-1]
+            opens[0] |= before is not None and before[1] != band[0]
+            heads = np.maximum.accumulate(np.where(opens, np.arange(len(token)), -1))
+            head = names[np.maximum(heads, 0)]
+            if before is not None:
+                head[heads < 0] = before[2]
             # An entry is kept if another set has its shingle too.
             keep = np.flatnonzero((same[:-1] | same[1:])[:stop])
-            near = same[:-1][keep] & (rule.over * prior_n[keep] >= rule.under * n[keep])
+            near = ~opens[keep]
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array(token[keep]), to_keys(names[keep]), pa.array(n[keep]), to_keys(prior_name[keep], ~near),
+                    pa.array(token[keep]), to_keys(names[keep]), pa.array(n[keep]), to_keys(head[keep], ~near),
                 ],
                 ["_token", "_set", "_n", "_before"],
             )
-            return out, rows.slice(stop), (token[stop - 1], names[stop - 1], n[stop - 1])
+            return out, rows.slice(stop), (token[stop - 1], band[stop - 1], head[stop - 1])
 
         for batch in batches:
             out, held, last = cut(pa.concat_tables([held, pa.Table.from_batches([batch])]), last, False)
@@ -384,7 +394,7 @@ def similarity_classes(
     placed = placed.select("_token", "_set", "_n", F.coalesce("root", "_set").alias("_root"))
     split = placed.groupBy("_token").agg(F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x <> _y")
     open_entries = settle(placed.join(split.select("_token"), "_token", "left_semi"), "open")
-    ratio = float(np.log(rule.over / rule.under))
+    ratio = float(np.log(rule.over / rule.under)) * (1 + 1e-9)  # rounding must not push partners two bands apart
     banded = open_entries.withColumn("_band", F.floor(F.log(F.col("_n").cast("double")) / ratio).cast("long"))
     # A set meets its own band (as the upper side, with the band below as the lower side of the same tile).
     homes = banded.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_up"))
