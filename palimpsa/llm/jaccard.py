@@ -15,7 +15,7 @@ from palimpsa.llm.common import settle, text_slices, whole
 from palimpsa.llm.components import components
 from palimpsa.llm.shingles import set_key, shingle_sets
 
-BUCKET_BITS = 20  # counters by which shingles are ordered, rare ones first: 4 MB, whatever the input
+BUCKET_BITS = 22  # counters by which shingles are ordered, rare ones first: 16 MB, whatever the input
 CHUNK = 1 << 14
 MIN_WIDTH, MAX_WIDTH = 512, 8192  # bits of a signature
 BLOCK = 2048  # entries of a tile's side
@@ -135,7 +135,7 @@ def _describe(words: int):
                 pa.nulls(len(used), pa.int64()),
                 pa.array([0] * len(used), pa.int64()),
                 pa.array([b""] * len(used), pa.binary()),
-                pa.array([chunks[i].tobytes() for i in used], pa.binary()),
+                pa.array([chunks[i].astype(np.min_scalar_type(chunks[i].max())).tobytes() for i in used], pa.binary()),
                 pa.array(used.astype(np.int32), pa.int32()),
             ],
             ["_key", "_n", "_set", "_bits", "_chunk"],
@@ -148,7 +148,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, bits in zip(batch.column("_chunk").to_pylist(), batch.column("_bits"), strict=True):
-            own = np.frombuffer(bits.as_buffer(), np.int32).astype(np.int64)
+            # Counters of a task come as narrow as they fit.
+            own = np.frombuffer(bits.as_buffer(), f"<u{len(bits.as_buffer()) // CHUNK}").astype(np.int64)
             sums[chunk] = sums[chunk] + own if chunk in sums else own
     yield pa.RecordBatch.from_arrays(
         [
@@ -242,6 +243,7 @@ def _neighbours(rule: Threshold):
 
 
 PAIR = "a binary, b binary"
+SIGNED = "_set binary, _n long, _bits binary"
 TILE = ["_token", "_band", "_low", "_high"]
 
 
@@ -253,8 +255,7 @@ def _tiles(rule: Threshold):
         tile = np.stack([rows.column(c).to_numpy() for c in TILE], axis=1)
         n, side = (rows.column(c).to_numpy() for c in ("_n", "_side"))
         names, root = from_keys(rows.column("_set")), from_keys(rows.column("_root"))
-        bitmaps = rows.column("_bits").to_pylist()
-        bits = folded_all(bitmaps)
+        bits = folded_all(rows.column("_short").to_pylist())
         number = np.concatenate([[0], np.cumsum((tile[1:] != tile[:-1]).any(axis=1))])
         end = np.searchsorted(number, number, "right")
         out = []
@@ -271,8 +272,6 @@ def _tiles(rule: Threshold):
             out.append(np.stack([i[near], j[near]], axis=1))
             step += 1
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        wide = [may_link(bitmaps[i], bitmaps[j], int(n[i] + n[j]), rule) for i, j in found.tolist()]
-        found = found[np.array(wide, bool)]
         x, y = names[found[:, 0]], names[found[:, 1]]
         return pa.RecordBatch.from_arrays([to_keys(x), to_keys(y)], ["a", "b"])
 
@@ -299,6 +298,14 @@ def _tiles(rule: Threshold):
     return run
 
 
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures with a second one of the least width, which tiles compare."""
+    for batch in batches:
+        short = folded_all(batch.column("_bits").to_pylist())
+        values = pa.array([row.tobytes() for row in short], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "_short"])
+
+
 def _possible(rule: Threshold):
     """Pairs whose signatures leave room for a link."""
 
@@ -355,8 +362,8 @@ def similarity_classes(
 
     Texts with equal sets count once from the first step on, so copies never meet each other. A set sends its rarest
     shingles only (a prefix that any partner must touch), shingles of one set drop out, and candidates are verified by
-    their whole sets: first neighbours in size order, which joins most groups, then whatever tiles of different
-    components still allow. Tiles of a hot shingle are split into bands of sizes and blocks of at most ``BLOCK`` sets.
+    their whole sets: first each set against the smallest one near its size that shares shingles with it, which joins
+    most groups, then whatever tiles of different components still allow. Tiles of a hot shingle are split into bands of sizes and blocks of at most ``BLOCK`` sets.
     """
     rule = Threshold(*similarity)
     spark = docs.sparkSession
@@ -366,7 +373,7 @@ def similarity_classes(
     thin = described.filter("_chunk < 0").select("_key", "_n", "_set")
     chunks = described.filter("_chunk >= 0").select("_chunk", "_bits").repartition("_chunk")
     counts = np.zeros(1 << BUCKET_BITS, np.int32)
-    for row in chunks.mapInArrow(_summed, "_chunk int, _bits binary").collect():  # 64 chunks of 64 KB
+    for row in chunks.mapInArrow(_summed, "_chunk int, _bits binary").collect():  # 256 chunks of 64 KB
         counts[row["_chunk"] * CHUNK : (row["_chunk"] + 1) * CHUNK] = np.frombuffer(row["_bits"], np.int32)
     counters = spark.sparkContext.broadcast(counts)
 
@@ -379,14 +386,20 @@ def similarity_classes(
     named = rows.mapInArrow(_named(words), "_set binary, _text string")
     texts = settle(named.join(wanted, "_set", "left_semi").dropDuplicates(["_set"]), "texts")
 
-    signed = described.filter("_n > 0").select("_set", "_n", "_bits").dropDuplicates(["_set"])
-    signed = settle(signed.join(wanted, "_set", "left_semi"), "signed")
-    chained = entries.filter("_before is not null").select(
+    signed = described.filter("_n > 0").select("_set", "_n", "_bits").join(wanted, "_set", "left_semi")
+    signed = settle(signed.dropDuplicates(["_set"]).mapInArrow(_shortened, f"{SIGNED}, _short binary"), "signed")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        for s in "ab":
+            pairs = pairs.join(signed.select(F.col("_set").alias(s), F.col("_n").alias(f"_n_{s}"), F.col("_bits").alias(f"_bits_{s}")), s)
+        return pairs.mapInArrow(_possible(rule), PAIR)
+
+    # Pairs with one shared shingle only are left to the tiles; most of them do not link.
+    heads = entries.filter("_before is not null").select(
         F.least("_set", "_before").alias("a"), F.greatest("_set", "_before").alias("b")
-    ).distinct()
-    for s in "ab":
-        chained = chained.join(signed.toDF(s, f"_n_{s}", f"_bits_{s}"), s)
-    first = settle(_links(chained.mapInArrow(_possible(rule), PAIR), texts, words, rule), "first-links")
+    )
+    heads = heads.groupBy("a", "b").agg(F.count("*").alias("_shared")).filter("_shared > 1").select("a", "b")
+    first = settle(_links(possible(heads), texts, words, rule), "first-links")
     roots = components(first)
 
     # Shingles whose sets are in different components: their tiles.
@@ -409,13 +422,13 @@ def similarity_classes(
             "_set", "_n", "_root",
             F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1).alias("_side"),
         )
-        .join(signed.select("_set", "_bits"), "_set")
+        .join(signed.select("_set", "_short"), "_set")
         .repartition(*TILE)
         .sortWithinPartitions(*TILE, "_n", "_set")
     )
     found = tiles.mapInArrow(_tiles(rule), PAIR)
     candidates = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = settle(_links(candidates, texts, words, rule), "second-links")
+    second = settle(_links(possible(candidates), texts, words, rule), "second-links")
     roots = components(first.unionByName(second))
 
     ids = thin.join(roots.withColumnRenamed("node", "_set"), "_set", "left")
