@@ -19,7 +19,7 @@ MAX_KEYWORD_CHARS = 300
 MAX_PATTERN_CHARS = 200
 MAX_PATTERN_GROUPS = 20
 
-# Shapes that backtrack without bound: a repeated group whose body ends in a
+# Fixed value: shapes that backtrack without bound: a repeated group whose body ends in a
 # repeat, the same with an open count, and three wildcards in a row.
 RISKY_SHAPE = r"\([^()]*[+*]\)(?:[+*]|\{\p{Nd}*,)|(?:\.[+*]){3,}"
 

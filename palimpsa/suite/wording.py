@@ -8,7 +8,6 @@ from palimpsa.functions.arrays import let
 from palimpsa.functions.draws import text_seed, threshold
 from palimpsa.functions.phrases import (
     INTENSITIES,
-    INTENSITY_EXTRAS,
     IRREGULAR_PARTICIPLES,
     SPLIT_STARTERS,
     SPLIT_STOP_WORDS,
@@ -244,8 +243,8 @@ PASSIVE = (
     rf"([a-záéíóúñ]+(?:ados|adas|ado|ada|idos|idas|ido|ida)){q.WS}+por{q.WS}+({NAME}+(?:{q.WS}+{NAME}+){{0,4}})"
 )
 PARAMS = ", ".join(
-    f"('{n}', {p['synonym_p']}::double, {p['merge_p']}::double, {p['split_p']}::double, {INTENSITY_EXTRAS[n][0]}::double, "
-    f"{p['phrase_p']}::double, {p['merge_words']}::bigint, {p['split_words']}::bigint, {INTENSITY_EXTRAS[n][1]}::double)"
+    f"('{n}', {p['synonym_p']}::double, {p['merge_p']}::double, {p['split_p']}::double, {p['passive_p']}::double, "
+    f"{p['phrase_p']}::double, {p['merge_words']}::bigint, {p['split_words']}::bigint, {p['aside_p']}::double)"
     for n, p in INTENSITIES.items()
 )
 
