@@ -24,7 +24,11 @@ _ESCAPES = {
     "w": WORD_CHAR, "W": NOT_WORD_CHAR, "s": WS, "S": NOT_WS,
     "d": r"\p{Nd}", "D": r"\P{Nd}", "b": _BOUNDARY, "B": _NO_BOUNDARY, "Z": r"\z",
 }
-_PIECE = re.compile(r"\(\?P<(?P<group>\w+)>|\(\?P=(?P<back>\w+)\)|\\(?P<esc>.)|(?P<other>.)", re.DOTALL)
+_PIECE = re.compile(
+    r"\(\?P<(?P<group>\w+)>|\(\?P=(?P<back>\w+)\)|(?P<comment>\(\?\#[^)]*\))|(?P<upto>\{,(?P<most>\d+)\})"
+    r"|\\(?P<esc>.)|(?P<other>.)",
+    re.DOTALL,
+)
 
 
 def _group_name(name: str) -> str:
@@ -42,6 +46,12 @@ def to_java(pattern: str) -> str:
         esc, other = piece["esc"], piece["other"]
         if piece["group"]:
             out.append(f"(?<{_group_name(piece['group'])}>")
+        elif piece["comment"] and not in_class:
+            continue
+        elif piece["upto"] and not in_class:
+            out.append(f"{{0,{piece['most']}}}")
+        elif piece["comment"] or piece["upto"]:
+            out.append(re.sub(r"[\[&]", r"\\\g<0>", piece[0]))
         elif piece["back"]:
             out.append(rf"\k<{_group_name(piece['back'])}>")
         elif esc is not None:
@@ -58,9 +68,27 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
+_ALTERNATIVES = re.compile(r"\((?:\?:)?((?:\w\|)+\w)\)(?=[*+]|\{\d*,)")
+
+
+def flat_alternatives(pattern: str) -> str:
+    """A repeated choice of single characters as a class: the matcher then needs no stack for each repeat.
+
+    Only groups that no back reference can name are changed.
+    """
+    if re.search(r"\\[1-9]|\(\?P=|\(\?\(", pattern):
+        return pattern
+    return _ALTERNATIVES.sub(lambda m: "[" + m[1].replace("|", "") + "]", pattern)
+
+
+def is_deep(pattern: str) -> bool:
+    """Whether a repeated group is left that the JVM's matcher enters once per repeat, so long texts end its stack."""
+    return re.search(r"(?<!\\)\)(?:[*+]|\{\d*,\d*\})(?!\+)", flat_alternatives(pattern)) is not None
+
+
 def anywhere(pattern: str) -> str:
     """A user pattern that may match empty but never between the halves of a surrogate pair."""
-    return rf"(?![\x{{DC00}}-\x{{DFFF}}])(?:{to_java(pattern)})"
+    return rf"(?![\x{{DC00}}-\x{{DFFF}}])(?:{to_java(flat_alternatives(pattern))})"
 
 
 def quote(literal: str) -> str:

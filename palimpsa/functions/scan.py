@@ -8,6 +8,10 @@ skew a stage.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +102,27 @@ def find_all(text: Column, pattern: str | Column) -> Column:
         ),
         lambda marks: cut(marks["opening"], marks["closing"]),
     )
+
+
+def find_all_deep(text: Column, pattern: str, case_sensitive: bool) -> Column:
+    """The same for patterns whose repeats would exhaust the JVM's stack on long texts; batches go through Python."""
+    compiled = re.compile(pattern, 0 if case_sensitive else re.IGNORECASE)
+
+    def matches(value: str) -> list[dict]:
+        out, line, start, seen = [], 1, 0, 0
+        for m in compiled.finditer(value):
+            breaks = value.count("\n", seen, m.start())
+            if breaks:
+                line, start = line + breaks, value.rfind("\n", seen, m.start()) + 1
+            seen = m.start()
+            out.append({"position": seen, "line": line, "column": seen - start + 1, "matched": m.group()})
+        return out
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        numbers = [(name, pa.int32()) for name in ("position", "line", "column")]
+        kind = pa.list_(pa.struct([*numbers, ("matched", pa.string())]))
+        for texts in batches:
+            yield pa.array([matches(t.as_py()) if t.is_valid else None for t in texts], kind)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, MATCH_TYPE)(text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsa.functions import chars, spans
 from palimpsa.functions.scan import find_all
-from palimpsa.operators.detect import DetectionConfig, keyword_list, usable_keywords
+from palimpsa.operators.detect import DetectionConfig, each_keyword, usable_keywords
 
 SPAN_TYPE = "array<struct<start:int,end:int>>"
 
@@ -40,9 +40,7 @@ def keyword_spans(text: Column, keywords: list[str], config: DetectionConfig) ->
     """Spans of every keyword, keyword by keyword; equal spans are kept, they count separately."""
     if not keywords:
         return F.array().cast(SPAN_TYPE)
-    return F.flatten(
-        F.transform(keyword_list(keywords, config), lambda k: _as_spans(find_all(text, k["pattern"])))
-    )
+    return each_keyword(text, keywords, config, lambda ordinal, keyword, matches: _as_spans(matches))
 
 
 def _chosen(spans_: Column, prefix: str, ids: str | None) -> Column:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import groupby
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsa.functions import chars, patterns
 from palimpsa.functions.arrays import sql_literal
-from palimpsa.functions.scan import find_all
+from palimpsa.functions.scan import find_all, find_all_deep
 
 # Limits on user-supplied keywords and patterns.
 MAX_KEYWORDS = 100
@@ -37,12 +39,14 @@ class DetectionConfig:
     use_regex: bool = False
     case_sensitive: bool = False
     detect_invisible: bool = True
+    max_keywords: int = MAX_KEYWORDS
+    max_keyword_chars: int = MAX_KEYWORD_CHARS
 
     def __post_init__(self) -> None:
-        if len(self.keywords) > MAX_KEYWORDS:
-            raise ValueError(f"at most {MAX_KEYWORDS} keywords")
-        if any(len(k) > MAX_KEYWORD_CHARS for k in self.keywords):
-            raise ValueError(f"a keyword may hold at most {MAX_KEYWORD_CHARS} characters")
+        if len(self.keywords) > self.max_keywords:
+            raise ValueError(f"at most {self.max_keywords} keywords")
+        if any(len(k) > self.max_keyword_chars for k in self.keywords):
+            raise ValueError(f"a keyword may hold at most {self.max_keyword_chars} characters")
 
 
 def is_risky_pattern(pattern: Column) -> Column:
@@ -55,19 +59,20 @@ def is_risky_pattern(pattern: Column) -> Column:
 
 
 def _compiles(spark: SparkSession, pattern: str) -> bool:
-    """Ask the engine itself, on one row; a bad pattern in the real query would fail the job."""
+    """Ask the engine's own compiler, on the driver; a bad pattern in the real query would fail the job."""
     try:
         re.compile(pattern)
-        spark.range(1).select(F.lit("x").rlike(patterns.anywhere(pattern))).collect()
+        if not patterns.is_deep(pattern):
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(patterns.anywhere(pattern))
         return True
-    except (re.error, PySparkException):
+    except (re.error, Py4JJavaError):
         return False
 
 
 def vet_patterns(spark: SparkSession, keywords: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
     """Usable patterns, and (pattern, reason) for those that are set aside.
 
-    Works on the job's configuration (at most 100 strings), never on data.
+    Works on the job's configuration, never on data: one small job for the shapes, no job per pattern.
     """
     if not keywords:
         return [], []
@@ -84,6 +89,14 @@ def vet_patterns(spark: SparkSession, keywords: list[str]) -> tuple[list[str], l
     return usable, rejected
 
 
+def rejected_keywords(spark: SparkSession, config: DetectionConfig) -> Column:
+    """Constant array of (keyword, reason) for patterns that do not run, so that no text passes as clean for them."""
+    stripped = [k.strip() for k in config.keywords if k.strip()]
+    rejected = vet_patterns(spark, stripped)[1] if config.use_regex else []
+    entries = ", ".join(f"struct({sql_literal(k)} as keyword, {sql_literal(r)} as reason)" for k, r in rejected)
+    return F.expr(f"cast(array({entries}) as array<struct<keyword:string,reason:string>>)")
+
+
 def invisible_findings(text: Column) -> Column:
     """Flagged characters in text order."""
     return F.transform(
@@ -108,40 +121,68 @@ def keyword_pattern(keyword: str, config: DetectionConfig) -> str:
     return patterns.flags(config.case_sensitive) + body
 
 
-def keyword_list(keywords: list[str], config: DetectionConfig) -> Column:
-    """Constant array of struct<ordinal, keyword, pattern>: at most 100 entries.
+def keyword_list(keywords: list[tuple[int, str]], config: DetectionConfig) -> Column:
+    """Constant array of struct<ordinal, keyword, pattern>.
 
     The keywords are walked inside the row, so the plan stays the same size for
     any number of them; compiling a pattern costs little next to reading a text.
     """
     entries = ", ".join(
         f"struct({i} as ordinal, {sql_literal(k)} as keyword, {sql_literal(keyword_pattern(k, config))} as pattern)"
-        for i, k in enumerate(keywords, start=1)
+        for i, k in keywords
     )
     return F.expr(f"array({entries})")
 
 
+def _any_keyword(keywords: list[tuple[int, str]], config: DetectionConfig) -> str | None:
+    """One pattern that is found wherever one of the keywords is; none if groups would get other numbers or names."""
+    if config.use_regex and any(re.search(r"\\[1-9]|\(\?P|\(\?[a-zA-Z]", k) for _, k in keywords):
+        return None
+    bodies = [patterns.anywhere(k) if config.use_regex else patterns.quote(k) for _, k in keywords]
+    return patterns.flags(config.case_sensitive) + "|".join(f"(?:{b})" for b in bodies)
+
+
+def each_keyword(text: Column, keywords: list[str], config: DetectionConfig, report: Callable) -> Column:
+    """``report(ordinal, keyword, matches)`` of every keyword, one after another, in one array.
+
+    Neighbouring keywords are walked together, and only in texts that hold any of them. Patterns that the JVM's matcher
+    cannot run on long texts go through Python instead.
+    """
+    numbered = list(enumerate(keywords, start=1))
+    parts = []
+    for deep, run in groupby(numbered, lambda k: config.use_regex and patterns.is_deep(k[1])):
+        run = list(run)
+        if deep:
+            parts += [report(F.lit(i), F.lit(k), find_all_deep(text, k, config.case_sensitive)) for i, k in run]
+            continue
+        walk = lambda k: report(k["ordinal"], k["keyword"], find_all(text, k["pattern"]))
+        found = F.flatten(F.transform(keyword_list(run, config), walk))
+        some = _any_keyword(run, config)
+        parts.append(found if some is None else F.when(text.rlike(some), found).otherwise(F.array()))
+    return F.concat(*parts)
+
+
 def keyword_findings(text: Column, keywords: list[str], config: DetectionConfig) -> Column:
     """Matches keyword by keyword, each in text order."""
 
-    def one(k: Column) -> Column:
+    def one(ordinal: Column, keyword: Column, matches: Column) -> Column:
         return F.transform(
-            find_all(text, k["pattern"]),
+            matches,
             lambda m: F.struct(
                 F.lit("keyword").alias("kind"),
-                k["ordinal"].alias("kw_ord"),
+                ordinal.alias("kw_ord"),
                 F.concat_ws(":", F.lit("kw"), m["position"], m["position"] + F.length(m["matched"])).alias("id"),
                 F.lit(None).cast("string").alias("codepoint"),
                 F.lit(None).cast("string").alias("name"),
                 m["matched"].alias("matched_text"),
-                k["keyword"].alias("keyword"),
+                keyword.alias("keyword"),
                 m["position"].alias("position"),
                 m["line"].alias("line"),
                 m["column"].alias("column"),
             ),
         )
 
-    return F.flatten(F.transform(keyword_list(keywords, config), one))
+    return each_keyword(text, keywords, config, one)
 
 
 def usable_keywords(spark: SparkSession, config: DetectionConfig) -> list[str]:

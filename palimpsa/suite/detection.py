@@ -31,6 +31,40 @@ COUNTS = (
 )
 
 
+DEEP = DetectionConfig(
+    keywords=["(?:wm|-)+0", "(?:a|b)+", "(?:ab|ba)+", "m{,2}-"], use_regex=True, detect_invisible=False
+)
+MANY = DetectionConfig(keywords=[f"wm-0{i:02d}" for i in range(100)], detect_invisible=False)
+
+
+def deep_patterns(spark, sf_dir):
+    """Repeated groups over texts of which some are very long; none may end an executor."""
+    long = marked(spark, sf_dir).withColumn(
+        "text", F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.repeat(F.lit("abba"), 50_000))).otherwise(F.col("text"))
+    )
+    found = detect.add_findings(long, DEEP)
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter("findings", lambda f: f["kw_ord"] == i)).alias(f"n{i}")  # noqa: B023
+            for i in range(1, 5)
+        ],
+        F.coalesce(F.array_max(F.transform("findings", lambda f: F.length(f["matched_text"]))), F.lit(0)).alias("longest"),
+    )
+
+
+def many_keywords(spark, sf_dir):
+    """A hundred keywords at once."""
+    return detect.findings_table(marked(spark, sf_dir), MANY).select("doc_id", "keyword", "position")
+
+
+def rejected_patterns(spark, sf_dir):
+    """What did not run stands beside what was found."""
+    found = detect.add_findings(marked(spark, sf_dir), REGEX)
+    rejected = F.transform(detect.rejected_keywords(spark, REGEX), lambda r: F.concat_ws(":", r["keyword"], r["reason"]))
+    return found.select("doc_id", F.size("findings").alias("n"), F.array_join(rejected, ",").alias("rejected"))
+
+
 def _rows(config):
     def run(spark, sf_dir):
         return detect.findings_table(marked(spark, sf_dir), config).select(
@@ -235,6 +269,23 @@ QUERIES = {
     "keywords_exact_case": (
         _rows(SENSITIVE), _keyword_sql([(1, "CONFIDENTIAL", "CONFIDENTIAL"), (2, "confidential", "confidential")])
     ),
+    "deep_patterns": (
+        deep_patterns,
+        f"with {P}, t as (select doc_id, case when doc_id % 100 = 0 then text || repeat('abba', 50000) else text end as text from planted), "
+        "f as (select doc_id, regexp_extract_all(text, '(?i)(?:wm|-)+0') as a, regexp_extract_all(text, '(?i)[ab]+') as b, "
+        "regexp_extract_all(text, '(?i)(?:ab|ba)+') as c, regexp_extract_all(text, '(?i)m{0,2}-') as d from t) "
+        "select doc_id, len(a) as n1, len(b) as n2, len(c) as n3, len(d) as n4, coalesce(list_max(list_transform("
+        "list_concat(a, b, c, d), lambda x: length(x))), 0) as longest from f",
+    ),
+    "many_keywords": (
+        many_keywords,
+        f"with {P} select doc_id, lower(m) as keyword, position from ({q.sites('planted', 'text', '(?i)wm-0[0-9]{2}')})",
+    ),
+    "rejected_patterns": (
+        rejected_patterns,
+        f"with {P} select doc_id, len(regexp_extract_all(text, '(?i)WM-[0-9]{{4}}')) + len(regexp_extract_all(text, '(?i)conf[a-z]+')) "
+        "as n, '(:invalid,(a+)+$:unsafe' as rejected from planted",
+    ),
     "keywords_regex_vetted": (
         _rows(REGEX), _keyword_sql([(1, r"WM-\d{4}", "(?i)WM-[0-9]{4}"), (2, "conf[a-z]+", "(?i)conf[a-z]+")])
     ),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palimpsa.functions import texts
 from palimpsa.operators import clean, style, validate
-from palimpsa.operators.detect import DetectionConfig
 from palimpsa.operators.detect import rows_of
 from palimpsa.plans import jobs
+from palimpsa.session import checkpoint_dir
 from palimpsa.sources import documents as docs
 from palimpsa.sources import files as raw
 from palimpsa.suite import sqltext as q
@@ -198,17 +200,33 @@ def default_filenames(spark, sf_dir):
     return named.groupBy("filename").agg(F.count("*").alias("n"))
 
 
+FILE_ROWS = 100
+
+
+def _text_files(spark, sf_dir):
+    """The planted corpus as text files in the shared folder, by source, of at most 100 documents each."""
+    path = f"{checkpoint_dir(spark)}/palimpsa-{uuid.uuid4().hex}"
+    rows = marked(spark, sf_dir).select("source", F.col("text").alias("value")).repartition("source")
+    rows.write.partitionBy("source").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    return path
+
+
 def scanned_files(spark, sf_dir):
-    """The table files themselves as raw files: sizes, labels and findings per file type."""
-    listed = raw.list_files(spark, f"{sf_dir}/*.parquet")
-    return listed.groupBy(docs.file_label(F.col("filename")).alias("file_type")).agg(
+    """Metadata of the files only: number, bytes and label by folder."""
+    listed = raw.list_files(spark, _text_files(spark, sf_dir)).filter(F.col("filename").startswith("part-"))
+    folder = F.regexp_extract("path", r"/source=([^/]*)/", 1)
+    return listed.groupBy(folder.alias("source"), docs.file_label(F.col("filename")).alias("file_type")).agg(
         F.count("*").alias("n_files"), F.sum("bytes").alias("bytes")
     )
 
 
 def file_findings(spark, sf_dir):
-    return jobs.scan_files(spark, f"{sf_dir}/[rns]*.parquet", DetectionConfig()).select(
-        "filename", "status", "file_type", "total_findings"
+    """Whole files scanned by the file job, summed by folder."""
+    scanned = jobs.scan_files(spark, _text_files(spark, sf_dir), CONFIG).filter(F.col("filename").startswith("part-"))
+    folder = F.regexp_extract("path", r"/source=([^/]*)/", 1)
+    return scanned.groupBy(folder.alias("source"), "status", "file_type").agg(
+        F.sum("n_invisible").alias("n_invisible"), F.sum("n_keyword").alias("n_keyword"),
+        F.sum("original_length").alias("original_length"), F.count_if("clean").alias("n_clean"),
     )
 
 
@@ -430,6 +448,16 @@ QUERIES = {
         default_filenames,
         f"with {P} select coalesce(filename, 'pasted_text.txt') as filename, count(*) as n from planted group by 1",
     ),
-    "scanned_files": (scanned_files, None),
-    "file_findings": (file_findings, None),
+    "scanned_files": (
+        scanned_files,
+        f"with {P} select source, 'txt' as file_type, cast(ceil(count(*) / 100.0) as bigint) as n_files, "
+        "cast(sum(strlen(text) + 1) as bigint) as bytes from planted group by source",
+    ),
+    "file_findings": (
+        file_findings,
+        f"with {BODY}, {COUNTS} select source, 'ok' as status, 'txt' as file_type, "
+        "cast(sum(coalesce(removed_invisible, 0)) as bigint) as n_invisible, "
+        "cast(sum(coalesce(removed_keyword, 0)) as bigint) as n_keyword, cast(sum(length(text) + 1) as bigint) as original_length, "
+        "0 as n_clean from planted left join counts using (doc_id) group by source",
+    ),
 }

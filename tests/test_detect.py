@@ -198,3 +198,24 @@ def test_span_table_form_equals_row_form(spark, texts):
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "s"))), lambda x: x["s"]), "").alias("c"))
     )
     assert rebuilt.join(by_table.withColumnRenamed("c", "d"), "doc_id").filter("c <> d").count() == 0
+
+
+def test_repeated_groups_survive_long_texts(spark, texts):
+    long = "x" + "ab" * 100_000 + "\n" + "cd" * 100_000
+    config = detect.DetectionConfig(keywords=["(?:a|b)+", "(?:ab|x)+", "(cd)+"], use_regex=True, detect_invisible=False)
+    rows = detect.findings_table(texts([long]), config).orderBy("kw_ord").collect()
+    assert [(r.position, r.line, r.column, len(r.matched_text)) for r in rows] == [
+        (1, 1, 2, 200_000), (0, 1, 1, 200_001), (200_002, 2, 1, 200_000),
+    ]
+
+
+def test_rejected_patterns_are_told(spark):
+    config = detect.DetectionConfig(keywords=["ok", "(", "(a+)+$"], use_regex=True)
+    (row,) = spark.range(1).select(detect.rejected_keywords(spark, config).alias("r")).collect()
+    assert [tuple(r) for r in row.r] == [("(", "invalid"), ("(a+)+$", "unsafe")]
+
+
+def test_counts_up_to_and_comments_translate(texts):
+    config = detect.DetectionConfig(keywords=["a{,2}b", "(?#note)c"], use_regex=True, detect_invisible=False)
+    rows = detect.findings_table(texts(["aaab c"]), config).orderBy("kw_ord").collect()
+    assert [r.matched_text for r in rows] == ["aab", "c"]
