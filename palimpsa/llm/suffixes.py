@@ -327,18 +327,21 @@ def _cleared(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "_text"):
             data, bounds = text_bytes(part.column("_text"))
-            change = np.zeros(len(data) + 1, np.int32)
+            windows = np.zeros(len(data) + 1, np.int64)  # one where a repeated window starts
             lists = part.column("_hits")
             flat = lists.flatten()
             if len(flat):
                 row = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 low = bounds[row] + flat.field("_low").to_numpy()
-                for begin, bits in zip(low, flat.field("_bits"), strict=True):
-                    flags = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), bitorder="little").astype(np.int8)
-                    steps = np.diff(np.concatenate([[0], flags, [0]]))
-                    np.add.at(change, begin + np.flatnonzero(steps > 0), 1)
-                    np.add.at(change, begin + np.flatnonzero(steps < 0) - 1 + length, -1)
-            covered = np.cumsum(change[:-1]) > 0
+                packed, cuts = text_bytes(flat.field("_bits"))
+                sizes = 8 * np.diff(cuts)
+                flags = np.unpackbits(packed, bitorder="little").astype(bool)
+                places = np.arange(len(flags)) + np.repeat(low - 8 * cuts[:-1], sizes)
+                windows[places[flags] + 1] = 1
+            np.cumsum(windows, out=windows)
+            covered = windows[1:].copy()
+            covered[length:] -= windows[1:][:-length] if len(data) > length else 0
+            covered = covered > 0
             begins = covered.copy()
             begins[1:] &= ~covered[:-1]
             starts = bounds[:-1][bounds[:-1] < len(data)]
