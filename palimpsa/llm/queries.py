@@ -120,8 +120,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 4) == 2
-    labelled = toxicity.labelled_texts(docs.filter(~held_out), table(spark, sf_dir, "labels"))
-    scored = toxicity.add_toxicity(docs, toxicity.fit_toxicity(labelled), into="score")
+    model = toxicity.fit_from_labels(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    scored = toxicity.add_toxicity(docs, model, into="score")
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 

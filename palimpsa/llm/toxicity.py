@@ -9,19 +9,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import whole
+from palimpsa.llm.common import settle, whole
 from palimpsa.llm.streams import array_slices, gram_hashes, letter_stream, letter_table
 
 ORDERS = range(5, 7)
-BITS = 22
-FEATURES = 2048
+BITS = 62  # of a gram's hash: different grams must not share a feature
+FIRST_BITS = 22  # of the table that most grams are turned away by
+FEATURES = 1024
 SAMPLE = 6000  # labelled rows of each class, about
 RIDGE = 1e-4
 FAIRNESS = 10.0  # weight of the counterfactual penalty
-STEPS = 400
+STEPS = 20  # Newton steps at most
 THRESHOLD = 0.3
 
 # Groups of identity terms; a term is swapped for the next of its group.
@@ -49,15 +50,15 @@ TERM = re.compile(r"\b(?:" + "|".join(sorted(NEXT_TERM, key=len, reverse=True))
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    buckets: np.ndarray  # the bucket of each feature
+    grams: np.ndarray  # the hash of each feature, no two with the same first bits
     weights: np.ndarray
     bias: float
 
-    def lookup(self) -> np.ndarray:
-        """Bucket to feature, -1 where there is none."""
-        out = np.full(1 << BITS, -1, np.int16)
-        out[self.buckets] = np.arange(len(self.buckets))
-        return out
+    def lookup(self) -> tuple[np.ndarray, np.ndarray]:
+        """First bits of a hash to its feature (-1 where there is none), and the hashes of features."""
+        out = np.full(1 << FIRST_BITS, -1, np.int16)
+        out[self.grams >> (BITS - FIRST_BITS)] = np.arange(len(self.grams))
+        return out, self.grams
 
 
 def swapped(text: str) -> str | None:
@@ -66,94 +67,129 @@ def swapped(text: str) -> str | None:
     return out if n else None
 
 
-def text_features(texts: list[str], letters: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def text_features(
+    texts: list[str], letters: np.ndarray, lookup: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) pairs, each once."""
     stream, owner = letter_stream(texts, letters)
+    first, grams = lookup
     pairs = []
-    for text, bucket in gram_hashes(stream, owner, ORDERS, BITS):
-        feature = lookup[bucket]
-        hit = feature >= 0
-        pairs.append(text[hit] * FEATURES + feature[hit])
+    for text, gram in gram_hashes(stream, owner, ORDERS, BITS):
+        feature = first[gram >> (BITS - FIRST_BITS)]
+        near = np.flatnonzero(feature >= 0)
+        near = near[grams[feature[near]] == gram[near]]
+        pairs.append(text[near] * FEATURES + feature[near])
     found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
     return found // FEATURES, found % FEATURES
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts of either class that have each bucket."""
+    """Texts of either class that have each gram, summed by parts of a task."""
     letters = letter_table()
-    counts = np.zeros((2, 1 << BITS), np.int32)
     for frame in frames:
-        for label, text in zip(frame["_label"], frame["_text"], strict=True):
-            stream, owner = letter_stream([text], letters)
-            for _, bucket in gram_hashes(stream, owner, ORDERS, BITS):
-                counts[label][np.unique(bucket)] += 1
-    used = np.flatnonzero(counts.any(axis=0))
-    for start in range(0, len(used), 100_000):
-        part = used[start : start + 100_000]
-        yield pd.DataFrame({"_bucket": part, "_toxic": counts[1][part], "_clean": counts[0][part]})
-
-
-def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps; ``change``: feature changes of swapped texts."""
+        for start in range(0, len(frame), 256):
+            part = frame.iloc[start : start + 256]
+            found: list[list[np.ndarray]] = [[], []]
+            for label, text in zip(part["_label"], part["_text"], strict=True):
+                stream, owner = letter_stream([text], letters)
+                found[label] += [np.unique(gram) for _, gram in gram_hashes(stream, owner, ORDERS, BITS)]
+            for label, name in enumerate(("_clean", "_toxic")):
+                if found[label]:
+                    grams, n = np.unique(np.concatenate(found[label]), return_counts=True)
+                    yield pd.DataFrame({"_gram": grams, "_toxic": 0, "_clean": 0} | {name: n})
+
+
+def _solved(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps; ``change``: feature changes of swapped texts."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     change = np.hstack([change, np.zeros((len(change), 1), np.float32)])
-    total = weight.sum()
-
-    def top(matrix: np.ndarray, scale: np.ndarray | float) -> float:
-        v = np.ones(x.shape[1], np.float32)
-        for _ in range(20):
-            v = matrix.T @ (scale * (matrix @ v))
-            v /= max(np.linalg.norm(v), 1e-12)
-        return float(v @ (matrix.T @ (scale * (matrix @ v))))
-
-    steep = 0.25 * top(x, (weight / total).astype(np.float32)) + RIDGE
+    share = (weight / weight.sum()).astype(np.float32)
+    held = np.diag(np.append(np.full(x.shape[1] - 1, RIDGE), 1e-9))
     if len(change):
-        steep += 2 * FAIRNESS / len(change) * top(change, 1.0)
-    w = ahead = np.zeros(x.shape[1], np.float32)
-    for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        grad = x.T @ ((weight / total) * (p - y)).astype(np.float32) + RIDGE * ahead * (np.arange(len(w)) < len(w) - 1)
-        if len(change):
-            grad = grad + 2 * FAIRNESS / len(change) * (change.T @ (change @ ahead))
-        new = ahead - grad / steep
-        ahead = new + (step - 1) / (step + 2) * (new - w)
-        w = new
+        held += 2 * FAIRNESS / len(change) * (change.T @ change).astype(np.float64)
+
+    def loss(w: np.ndarray) -> float:
+        raw = x @ w.astype(np.float32)
+        return float(share @ (np.logaddexp(0, raw) - y * raw)) + 0.5 * float(w @ held @ w)
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        slope = x.T @ (share * (p - y)).astype(np.float32) + held @ w
+        bend = (x * (share * p * (1 - p)).astype(np.float32)[:, None]).T @ x + held
+        step = np.linalg.solve(bend, slope)
+        size = 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-4:
+            size /= 2
+        if now - then < 1e-7:
+            break
+        w, now = w - size * step, then
     return w[:-1], float(w[-1])
 
 
 def fit_toxicity(
-    labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
-    sample: int = SAMPLE,
+    labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE
 ) -> ToxicityModel | None:
     """A model from rows with a label of 0 or 1; None unless both occur.
 
-    About ``sample`` rows of each class are used, drawn by a hash of key and text, whole texts each, and weighted so that
-    classes count as in all rows. Features are the ``FEATURES`` buckets of letter 5- and 6-grams whose log-odds between
-    classes are surest. The loss adds ``FAIRNESS`` times the mean squared change of the raw score when the identity terms
-    of a drawn text are swapped.
+    About ``sample`` rows of each class are used, drawn by a hash of the key, whole texts each, and weighted so that
+    classes count as in all rows. Features are the ``FEATURES`` letter 5- and 6-grams whose log-odds between
+    toxic and other rows are surely the greatest. The loss adds ``FAIRNESS`` times the mean squared change of the raw score when the identity
+    terms of a drawn text are swapped.
     """
-    rows = labelled.select(F.col(label).cast("int").alias("_label"), whole(text).alias("_text"), F.xxhash64(key, text).alias("_draw"))
+    rows = labelled.select(F.col(label).cast("int").alias("_label"), whole(text).alias("_text"), F.xxhash64(key).alias("_draw"))
     rows = rows.filter("_label in (0, 1)")
     counts = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
+    return _fit(rows.filter(_is_drawn(counts, sample)), counts, sample)
+
+
+def fit_from_labels(
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE
+) -> ToxicityModel | None:
+    """The same from a table of texts and one of labels. Keys are drawn first, so no other text meets its label.
+
+    Of repeated labels of a key the largest counts; keys that are missing on either side join nothing. The drawn keys,
+    about ``sample`` a class, are broadcast.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
+    known = settle(known.withColumn("_draw", F.xxhash64("_key")), "labels")
+    there = docs.select(F.col(key).alias("_key")).join(known, "_key")
+    counts = {r["_label"]: r["n"] for r in there.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return None
+    drawn = F.broadcast(known.filter(_is_drawn(counts, sample)))
+    rows = docs.select(F.col(key).alias("_key"), whole(text).alias("_text")).join(drawn, "_key")
+    return _fit(rows.select("_label", "_text", "_draw"), counts, sample)
+
+
+def _is_drawn(counts: dict[int, int], sample: int) -> Column:
     rate = F.when(F.col("_label") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
-    drawn = rows.filter(F.pmod("_draw", F.lit(1 << 30)) / float(1 << 30) < rate).repartition(8, "_draw")
+    return F.pmod(F.col("_draw"), F.lit(1 << 30)) / float(1 << 30) < rate
+
+
+def _fit(rows: DataFrame, counts: dict[int, int], sample: int) -> ToxicityModel | None:
+    drawn = settle(rows.repartition(8, "_draw"), "drawn")
     sizes = {0: min(sample, counts[0]), 1: min(sample, counts[1])}
 
-    def odds(n: str, size: int):
+    def odds(n: str, size: int) -> Column:
         return F.log((F.col(n) + 0.5) / (F.greatest(F.lit(size) - F.col(n), F.lit(0)) + 0.5))
 
-    sure = (odds("_toxic", sizes[1]) - odds("_clean", sizes[0])) / F.sqrt(1 / (F.col("_toxic") + 0.5) + 1 / (F.col("_clean") + 0.5))
+    # The least log-odds that the counts leave room for; a mere significance would choose common grams of long texts.
+    spread = F.sqrt(1 / (F.col("_toxic") + 0.5) + 1 / (F.col("_clean") + 0.5))
+    sure = odds("_toxic", sizes[1]) - odds("_clean", sizes[0]) - 2 * spread
     chosen = (
-        drawn.mapInPandas(_counted, "_bucket long, _toxic long, _clean long")
-        .groupBy("_bucket").agg(F.sum("_toxic").alias("_toxic"), F.sum("_clean").alias("_clean"))
-        .filter("_toxic + _clean >= 4")
-        .select("_bucket", F.abs(sure).alias("_sure"))
-        .orderBy(F.desc("_sure"), "_bucket").limit(FEATURES)
+        drawn.mapInPandas(_counted, "_gram long, _toxic long, _clean long")
+        .groupBy("_gram").agg(F.sum("_toxic").alias("_toxic"), F.sum("_clean").alias("_clean"))
+        .filter("_toxic >= 4")
+        .select("_gram", sure.alias("_sure"))
+        .orderBy(F.desc("_sure"), "_gram").limit(FEATURES)
     )
-    buckets = np.array(sorted(r["_bucket"] for r in chosen.collect()), np.int64)
-    draft = ToxicityModel(buckets, np.zeros(len(buckets)), 0.0)
+    grams = np.array([r["_gram"] for r in chosen.collect()], np.int64)
+    grams = grams[np.unique(grams >> (BITS - FIRST_BITS), return_index=True)[1]]
+    draft = ToxicityModel(grams, np.zeros(len(grams)), 0.0)
     shared = drawn.sparkSession.sparkContext.broadcast(draft)
 
     def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,15 +216,15 @@ def fit_toxicity(
     def matrix(column: pd.Series) -> np.ndarray:
         rows = [np.frombuffer(b, np.uint8) for b in column]
         packed = np.stack(rows) if rows else np.zeros((0, FEATURES // 8), np.uint8)
-        return np.unpackbits(packed, axis=1)[:, : len(buckets)].astype(np.float32)
+        return np.unpackbits(packed, axis=1)[:, : len(grams)].astype(np.float32)
 
     y = got["_label"].to_numpy()
     if len(set(y)) < 2:
         return None
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
     told = got[got["_other"].notna()]
-    weights, bias = _descend(matrix(got["_own"]), y, weight, matrix(told["_other"]) - matrix(told["_own"]))
-    return ToxicityModel(buckets, weights.astype(np.float64), bias)
+    weights, bias = _solved(matrix(got["_own"]), y, weight, matrix(told["_other"]) - matrix(told["_own"]))
+    return ToxicityModel(grams, weights.astype(np.float64), bias)
 
 
 def add_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text", into: str = "toxicity") -> DataFrame:
@@ -214,9 +250,3 @@ def add_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(into, F.arrow_udf(scored, "double")(whole(text)))
-
-
-def labelled_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """Texts with labels; of repeated labels of a key the largest counts, keys that are missing join nothing."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_toxic"))
-    return docs.select(F.col(key), "text").join(known, key).withColumnRenamed("_toxic", label)

@@ -83,6 +83,13 @@ def test_swapping_identities_hardly_moves_the_score(spoiled, docs, monkeypatch):
     assert fair < 0.5 * unfair and score < toxicity.THRESHOLD
 
 
+def test_labels_in_a_table_of_their_own(spoiled):
+    told = spoiled.filter("doc_id % 5 <> 1").select("doc_id", "toxic")
+    model = toxicity.fit_from_labels(spoiled.drop("toxic"), told)
+    got = toxicity.add_toxicity(spoiled.filter("doc_id % 5 = 1"), model).collect()
+    assert sum((r.toxicity >= toxicity.THRESHOLD) == (r.toxic == 1) for r in got) >= 0.97 * len(got)
+
+
 def test_swaps():
     assert toxicity.swapped("Women and men, no womenfolk") == "men and women, no womenfolk"
     assert toxicity.swapped("nobody here") is None
@@ -94,8 +101,9 @@ def test_toxicity_of_odd_rows(spark, spoiled, docs):
     got = {r.doc_id: r.toxicity for r in toxicity.add_toxicity(docs(rows), model).collect()}
     assert got[1] == got[2] == got[3] < toxicity.THRESHOLD <= got[None] and got[4] >= toxicity.THRESHOLD
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (3, 0)], "doc_id long, toxic int")
-    joined = toxicity.labelled_texts(docs(rows), labels).collect()
-    assert sorted((r.doc_id, r.toxic) for r in joined) == [(1, 1), (3, 0)]
+    assert toxicity.fit_from_labels(docs(rows), labels) is not None
+    assert toxicity.fit_from_labels(docs(rows), labels.filter("doc_id = 3")) is None
+    assert toxicity.fit_from_labels(docs([]), labels) is None
     assert toxicity.fit_toxicity(spoiled.filter("toxic = 0")) is None
     assert toxicity.add_toxicity(docs([(1, "dimwit")]), None).first().toxicity == 0
     assert toxicity.add_toxicity(docs([]), model).count() == 0
