@@ -14,8 +14,8 @@ from palimpsa.llm.queries import MODEL_FILE
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or above go; it learns from the labelled ones among them."""
-    labelled = toxicity.labelled_texts(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.add_toxicity(docs, toxicity.fit_toxicity(labelled), into="_toxicity")
+    model = toxicity.fit_from_labels(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.add_toxicity(docs, model, into="_toxicity")
     return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
 
 
