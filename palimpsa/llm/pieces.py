@@ -25,7 +25,7 @@ LITERAL = 0x110000  # stands for that sign itself in a text, so that it is not t
 UNKNOWN_PENALTY = 10.0
 NEVER = np.int64(2**62)
 FACTOR = np.uint64(0x100000001B3)
-SLICE_BYTES, SLICE_ROWS = 1 << 21, 4096
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ class PieceModel:
 class Memory:
     """What a task has found out: words by hash, and compatible pairs in a table of fixed size."""
 
-    WORDS, PAIRS = 200_000, 1 << 20
+    WORDS, PAIRS = 100_000, 1 << 20
 
     def __init__(self) -> None:
         self.words: dict[int, np.ndarray] = {}
