@@ -19,6 +19,7 @@ BUCKET_BITS = 22  # counters by which shingles are ordered, rare ones first: 16
 CHUNK = 1 << 14
 MIN_WIDTH, MAX_WIDTH = 512, 8192  # bits of a signature
 BLOCK = 2048  # entries of a tile's side
+BROADCAST_PAIRS = 500_000  # 32 bytes each
 SEEN = 50_000  # sets that a task remembers so as not to repeat their entries
 
 
@@ -247,8 +248,11 @@ SIGNED = "_set binary, _n long, _bits binary"
 TILE = ["_token", "_band", "_low", "_high"]
 
 
-def _tiles(rule: Threshold):
-    """Sorted tile members: pairs of different components that sizes and signatures allow to link."""
+def _tiles(rule: Threshold, one_each: bool):
+    """Sorted tile members: pairs of different components that sizes and signatures allow to link.
+
+    ``one_each``: only the nearest such partner above each member.
+    """
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
@@ -260,6 +264,7 @@ def _tiles(rule: Threshold):
         end = np.searchsorted(number, number, "right")
         out = []
         live, step = np.arange(len(n)), 1
+        met = np.zeros(len(n), bool)
         # Members of a tile stand by size: once a member's partner is too large, so are all after it.
         while len(live):
             live = live[live + step < end[live]]
@@ -270,6 +275,9 @@ def _tiles(rule: Threshold):
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
             near = apart <= rule.apart(n[i] + n[j])
             out.append(np.stack([i[near], j[near]], axis=1))
+            if one_each:
+                met[i[near]] = True
+                live = live[~met[live]]
             step += 1
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         x, y = names[found[:, 0]], names[found[:, 1]]
@@ -339,6 +347,11 @@ def _verified(words: int, rule: Threshold):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int, rule: Threshold) -> DataFrame:
+    """The pairs that link. Texts that no pair needs stay where they are, as long as the counted pairs can be broadcast."""
+    pairs = settle(pairs, "pairs")
+    if pairs.count() <= BROADCAST_PAIRS:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+        texts = texts.join(F.broadcast(needed), "_set", "left_semi")
     sides = [texts.select(F.col("_set").alias(s), F.col("_text").alias(f"_text_{s}")) for s in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "_text_a", "_text_b")
     return joined.mapInArrow(_verified(words, rule), PAIR)
@@ -402,34 +415,39 @@ def similarity_classes(
     first = settle(_links(possible(heads), texts, words, rule), "first-links")
     roots = components(first)
 
-    # Shingles whose sets are in different components: their tiles.
-    placed = entries.select("_token", "_set", "_n").join(roots.withColumnRenamed("node", "_set"), "_set", "left")
-    placed = placed.select("_token", "_set", "_n", F.coalesce("root", "_set").alias("_root"))
-    split = placed.groupBy("_token").agg(F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x <> _y")
-    open_entries = settle(placed.join(split.select("_token"), "_token", "left_semi"), "open")
-    ratio = float(np.log(rule.over / rule.under)) * (1 + 1e-9)  # rounding must not push partners two bands apart
-    banded = open_entries.withColumn("_band", F.floor(F.log(F.col("_n").cast("double")) / ratio).cast("long"))
-    # A set meets its own band (as the upper side, with the band below as the lower side of the same tile).
-    homes = banded.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_up"))
-    homes = homes.withColumn("_band", F.col("_band") + F.col("_up"))
-    loads = homes.groupBy("_token", "_band").agg(F.count("*").alias("_load"), F.max(F.col("_up") == 0).alias("_used"))
-    loads = loads.filter("_load > 1 and _used").select("_token", "_band", F.ceil(F.col("_load") / BLOCK).alias("_blocks"))
-    members = homes.join(loads, ["_token", "_band"]).withColumn("_own", F.pmod(F.xxhash64("_set"), F.col("_blocks")))
-    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    tiles = (
-        members.select(
-            "_token", "_band", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"),
-            "_set", "_n", "_root",
-            F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1).alias("_side"),
+    def swept(roots: DataFrame, one_each: bool) -> DataFrame:
+        """Links that the tiles of shingles with sets of different components still allow."""
+        placed = entries.select("_token", "_set", "_n").join(roots.withColumnRenamed("node", "_set"), "_set", "left")
+        placed = placed.select("_token", "_set", "_n", F.coalesce("root", "_set").alias("_root"))
+        split = placed.groupBy("_token").agg(F.min("_root").alias("_x"), F.max("_root").alias("_y")).filter("_x <> _y")
+        open_entries = settle(placed.join(split.select("_token"), "_token", "left_semi"), "open")
+        ratio = float(np.log(rule.over / rule.under)) * (1 + 1e-9)  # rounding must not push partners two bands apart
+        banded = open_entries.withColumn("_band", F.floor(F.log(F.col("_n").cast("double")) / ratio).cast("long"))
+        # A set meets its own band (as the upper side, with the band below as the lower side of the same tile).
+        homes = banded.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_up"))
+        homes = homes.withColumn("_band", F.col("_band") + F.col("_up"))
+        loads = homes.groupBy("_token", "_band").agg(F.count("*").alias("_load"), F.max(F.col("_up") == 0).alias("_used"))
+        loads = loads.filter("_load > 1 and _used").select("_token", "_band", F.ceil(F.col("_load") / BLOCK).alias("_blocks"))
+        members = homes.join(loads, ["_token", "_band"]).withColumn("_own", F.pmod(F.xxhash64("_set"), F.col("_blocks")))
+        members = members.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        tiles = (
+            members.select(
+                "_token", "_band", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"),
+                "_set", "_n", "_root",
+                F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1).alias("_side"),
+            )
+            .join(signed.select("_set", "_short"), "_set")
+            .repartition(*TILE)
+            .sortWithinPartitions(*TILE, "_n", "_set")
         )
-        .join(signed.select("_set", "_short"), "_set")
-        .repartition(*TILE)
-        .sortWithinPartitions(*TILE, "_n", "_set")
-    )
-    found = tiles.mapInArrow(_tiles(rule), PAIR)
-    candidates = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = settle(_links(possible(candidates), texts, words, rule), "second-links")
-    roots = components(first.unionByName(second))
+        found = tiles.mapInArrow(_tiles(rule, one_each), PAIR)
+        candidates = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return settle(_links(possible(candidates), texts, words, rule), "tile-links")
+
+    # One partner for each member first: it joins what is left of large groups, so that the whole sweep finds few pairs.
+    links = first.unionByName(swept(roots, one_each=True))
+    links = links.unionByName(swept(components(links), one_each=False))
+    roots = components(links)
 
     ids = thin.join(roots.withColumnRenamed("node", "_set"), "_set", "left")
     alone = F.col("_n") == 0
