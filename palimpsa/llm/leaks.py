@@ -15,11 +15,26 @@ BROADCAST_WINDOWS = 1 << 20  # 16 bytes each
 STOPS = (".", "!", "?", "\n")
 PIECES = r"[.!?\n]|\p{L}+|[0-9]+(?:[.,][0-9]+)*"
 UNITS = (
-    "mm", "cm", "km", "meter", "meters", "metre", "metres", "mile", "miles", "foot", "feet", "inch", "inches",
-    "mg", "kg", "gram", "grams", "ton", "tons", "pound", "pounds", "ounce", "ounces", "ml", "liter", "liters",
-    "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days",
-    "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent",
-    "cents", "celsius", "fahrenheit", "watt", "watts", "volt", "volts", "byte", "bytes", "mph", "kmh",
+    "mm", "cm", "km", "millimeter", "millimeters", "millimetre", "millimetres", "centimeter", "centimeters", "centimetre",
+    "centimetres", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "mile",
+    "miles", "yard", "yards", "foot", "feet", "inch", "inches", "acre", "acres", "hectare", "hectares", "mg", "kg",
+    "milligram", "milligrams", "gram", "grams", "gramme", "grammes", "kilogram", "kilograms", "kilogramme", "kilogrammes",
+    "kilo", "kilos", "ton", "tons", "tonne", "tonnes", "pound", "pounds", "ounce", "ounces", "ml", "cl", "milliliter",
+    "milliliters", "millilitre", "millilitres", "centiliter", "centiliters", "centilitre", "centilitres", "liter",
+    "liters", "litre", "litres", "gallon", "gallons", "quart", "quarts", "pint", "pints", "cup", "cups", "teaspoon",
+    "teaspoons", "tablespoon", "tablespoons", "millisecond", "milliseconds", "second", "seconds", "minute", "minutes",
+    "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "decade", "decades", "century",
+    "centuries", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "penny", "pennies", "pence", "yen",
+    "rupee", "rupees", "degree", "degrees", "celsius", "fahrenheit", "kelvin", "watt", "watts", "kilowatt", "kilowatts",
+    "megawatt", "megawatts", "volt", "volts", "amp", "amps", "ampere", "amperes", "ohm", "ohms", "joule", "joules",
+    "kilojoule", "kilojoules", "calorie", "calories", "newton", "newtons", "pascal", "pascals", "hertz", "kilohertz",
+    "megahertz", "gigahertz", "bit", "bits", "byte", "bytes", "kilobyte", "kilobytes", "megabyte", "megabytes",
+    "gigabyte", "gigabytes", "terabyte", "terabytes", "mph", "kmh", "kph",
+)
+# Units after a number only; elsewhere they are letters or words.
+SHORT_UNITS = (
+    "m", "g", "l", "s", "h", "t", "c", "f", "k", "w", "v", "j", "n", "b", "ft", "yd", "mi", "ha", "lb", "lbs", "oz",
+    "hr", "hrs", "min", "mins", "sec", "secs", "ms", "kw", "mw", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "kj",
 )
 
 
@@ -27,14 +42,21 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
 
 
-def _kind(piece: Column, before: Column) -> Column:
-    """``#`` for a number, ``%`` for a unit, ``@`` for a name (a capital inside a sentence), else the word itself."""
+def _number(piece: Column) -> Column:
+    return (piece >= "0") & (piece < ":")
+
+
+def _kind(piece: Column, before: Column, starts: bool) -> Column:
+    """``#`` for a number, ``%`` for a unit, ``@`` for a name, else the word itself.
+
+    A capital inside a sentence is a name; one at its start is a name in the reading ``starts``, a word in the other.
+    """
     low = F.lower(piece)
     capital = (piece != low) & (F.substring(piece, 2, 1 << 20) == F.substring(low, 2, 1 << 20)) & (F.length(piece) > 1)
     return (
-        F.when((piece >= "0") & (piece < ":"), "#")
-        .when(low.isin(*UNITS), "%")
-        .when(capital & ~before.isin(*STOPS), "@")
+        F.when(_number(piece), "#")
+        .when(low.isin(*UNITS) | (low.isin(*SHORT_UNITS) & _number(before)), "%")
+        .when(capital if starts else capital & ~before.isin(*STOPS), "@")
         .otherwise(low)
     )
 
@@ -44,18 +66,18 @@ def _previous(pieces: Column, at: Column) -> Column:
     return F.when(at > 0, F.get(pieces, at - 1)).otherwise(".")
 
 
-def _hashes(pieces: Column) -> Column:
+def _hashes(pieces: Column, starts: bool) -> Column:
     """The hash of each piece's template; ends of sentences are left out."""
     each = F.transform(
-        pieces, lambda p, i: F.when(~p.isin(*STOPS), F.xxhash64(_kind(p, _previous(pieces, i))))
+        pieces, lambda p, i: F.when(~p.isin(*STOPS), F.xxhash64(_kind(p, _previous(pieces, i), starts)))
     )
     return F.filter(each, lambda h: h.isNotNull())
 
 
-def _slots(pieces: Column) -> Column:
+def _slots(pieces: Column, starts: bool) -> Column:
     """(template, value) of each piece: the value of a placeholder, null of a plain word."""
     def slot(p: Column, i: Column) -> Column:
-        kind = _kind(p, _previous(pieces, i))
+        kind = _kind(p, _previous(pieces, i), starts)
         return F.when(~p.isin(*STOPS), F.struct(kind.alias("kind"), F.when(kind.isin("#", "%", "@"), p).alias("value")))
 
     return F.filter(F.transform(pieces, slot), lambda s: s.isNotNull())
@@ -79,18 +101,23 @@ def _named(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(F.col(key).alias("_key"), F.xxhash64(F.col(key), value).alias("_id"), value.alias("_text"))
 
 
-def _slotted(named: DataFrame, words: int, names: dict[str, str]) -> DataFrame:
-    """One row per window: id, key, window hash, position, and the slots inside it."""
+def _read(named: DataFrame, words: int, names: dict[str, str], starts: bool) -> DataFrame:
+    pieces = F.col("_pieces")
     cut = named.withColumn("_pieces", _pieces(F.col("_text"))).select(
-        "_key", "_id", _slots(F.col("_pieces")).alias("_slots"), _hashes(F.col("_pieces")).alias("_hashes")
+        "_key", "_id", _slots(pieces, starts).alias("_slots"), _hashes(pieces, starts).alias("_hashes")
     )
     run = cut.select("_key", "_id", "_slots", F.posexplode(_windows(F.col("_hashes"), words)).alias("_at", "_window"))
     return run.select(
-        F.col("_key").alias(names["key"]), F.col("_id").alias(names["id"]), "_window", F.col("_at").alias(names["at"]),
-        F.slice("_slots", F.col("_at") + 1, words).alias(names["slots"]),
+        F.col("_key").alias(names["key"]), F.col("_id").alias(names["id"]), F.lit(starts).alias(names["reading"]),
+        "_window", F.col("_at").alias(names["at"]), F.slice("_slots", F.col("_at") + 1, words).alias(names["slots"]),
     )
 
 
+def _slotted(named: DataFrame, words: int, names: dict[str, str]) -> DataFrame:
+    """One row per reading and window: id, key, reading, window hash, position, and the slots inside it."""
+    return _read(named, words, names, False).unionByName(_read(named, words, names, True))
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -103,8 +130,9 @@ def find_leaks(
 ) -> DataFrame:
     """One row per document and benchmark item found in it: key, item, n_windows, found, exact, same_slots.
 
-    Texts become templates: numbers, units and names (capitals inside a sentence) are placeholders, other words are in
-    lower case, punctuation goes. An item is found when at least 80 of 100 of its distinct windows of five templates
+    Texts become templates: numbers, units and names (capitals) are placeholders, other words are in lower case,
+    punctuation goes. A capital at the start of a sentence may be a name or not, so an item has two readings, one for
+    each, and is found by either; documents have the windows of both. An item is found when at least 80 of 100 of its distinct windows of five templates
     are in the document, either with the same values in all slots (``exact`` such windows), or all in one alignment
     (``found`` windows) where each value of the item always stands for the same value of the document and no two
     values for one: a re-parameterised copy. ``same_slots`` tells whether the first holds. An item or document of fewer
@@ -116,35 +144,37 @@ def find_leaks(
     counted bound and shuffled beyond it. Only documents with enough windows of an item are read again for the slots.
     """
     under, over = share
-    theirs = {"key": "_item", "id": "_item_id", "at": "_item_at", "slots": "_item_slots"}
+    theirs = {"key": "_item", "id": "_item_id", "reading": "_reading", "at": "_item_at", "slots": "_item_slots"}
     items = _slotted(_named(benchmark, item, item_text).dropDuplicates(["_id", "_key"]), words, theirs)
     items = settle(items, "items")
     distinct = items.select("_window").distinct()
     distinct = settle(distinct, "windows")
     if distinct.count() <= BROADCAST_WINDOWS:
         distinct = F.broadcast(distinct)
-    needs = items.groupBy("_item_id").agg(F.countDistinct("_window").alias("_n"))
+    needs = items.groupBy("_item_id", "_reading").agg(F.countDistinct("_window").alias("_n"))
     named = _named(docs, key, text)
-    seen = named.withColumn("_pieces", _pieces(F.col("_text"))).withColumn("_hashes", _hashes(F.col("_pieces")))
-    seen = seen.select("_id", F.explode(_windows(F.col("_hashes"), words)).alias("_window"))
+    seen = named.withColumn("_pieces", _pieces(F.col("_text")))
+    seen = seen.select("_id", *[_hashes(F.col("_pieces"), starts).alias(f"_hashes_{starts}") for starts in (False, True)])
+    both = [_windows(F.col(f"_hashes_{starts}"), words) for starts in (False, True)]
+    seen = seen.select("_id", F.explode(F.array_union(*both)).alias("_window"))
     hits = settle(seen.join(distinct, "_window").distinct(), "hits")
-    held = items.select("_item_id", "_window").distinct()
+    held = items.select("_item_id", "_reading", "_window").distinct()
     # Sums per document and item; a document's windows are distinct, so none counts twice.
     enough = (
         hits.join(held, "_window")
-        .groupBy("_id", "_item_id").agg(F.count("*").alias("_found"))
-        .join(needs, "_item_id")
+        .groupBy("_id", "_item_id", "_reading").agg(F.count("*").alias("_found"))
+        .join(needs, ["_item_id", "_reading"])
         .filter(F.col("_found") * over >= F.col("_n") * under)
-        .select("_id", "_item_id", "_n")
+        .select("_id", "_item_id", "_reading", "_n")
     )
     enough = settle(enough, "candidates")
     texts = named.join(enough.select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id", "_key"])
-    again = _slotted(texts, words, {"key": "_key", "id": "_id", "at": "_at", "slots": "_slots"})
+    again = _slotted(texts, words, {"key": "_key", "id": "_id", "reading": "_as", "at": "_at", "slots": "_slots"})
     pairs = (
         again.join(enough, "_id")
-        .join(items, ["_item_id", "_window"])
+        .join(items, ["_item_id", "_reading", "_window"])
         .select(
-            "_key", "_id", "_item", "_item_id", "_n", "_window", (F.col("_at") - F.col("_item_at")).alias("_shift"),
+            "_key", "_id", "_item", "_item_id", "_reading", "_n", "_window", (F.col("_at") - F.col("_item_at")).alias("_shift"),
             (F.col("_slots") == F.col("_item_slots")).alias("_same"),
             F.filter(
                 F.arrays_zip("_item_slots", "_slots"), lambda z: z["_item_slots"]["value"].isNotNull()
@@ -152,28 +182,34 @@ def find_leaks(
         )
     )
     pairs = settle(pairs, "aligned")
-    pair = ["_key", "_id", "_item", "_item_id", "_n"]
+    pair = ["_key", "_id", "_item", "_item_id", "_reading", "_n"]
+    line = ["_id", "_item_id", "_reading", "_shift"]
     same = pairs.filter("_same").groupBy(*pair).agg(F.countDistinct("_window").alias("_exact"))
     aligned = pairs.groupBy(*pair, "_shift").agg(F.countDistinct("_window").alias("_found"))
     # Values on both sides of an alignment: as many distinct pairs as values on either side, by kind.
-    values = pairs.select("_id", "_item_id", "_shift", F.explode("_zipped").alias("_z")).select(
-        "_id", "_item_id", "_shift",
+    values = pairs.select(*line, F.explode("_zipped").alias("_z")).select(
+        *line,
         F.struct(F.col("_z._item_slots.kind"), F.lower("_z._item_slots.value")).alias("_theirs"),
         F.struct(F.col("_z._slots.kind"), F.lower("_z._slots.value")).alias("_ours"),
     ).distinct()
-    clash = values.groupBy("_id", "_item_id", "_shift").agg(
+    clash = values.groupBy(*line).agg(
         (
             (F.count("*") > F.countDistinct("_theirs")) | (F.count("*") > F.countDistinct("_ours"))
         ).alias("_clash")
     )
-    steady = aligned.join(clash, ["_id", "_item_id", "_shift"], "left").filter("_clash is null or not _clash")
+    steady = aligned.join(clash, line, "left").filter("_clash is null or not _clash")
     steady = steady.groupBy(*pair).agg(F.max("_found").alias("_found"))
     both = same.withColumn("_found", F.lit(0).cast("long")).unionByName(steady.withColumn("_exact", F.lit(0).cast("long")))
     both = both.groupBy(*pair).agg(F.max("_exact").alias("_exact"), F.max("_found").alias("_found"))
     long_enough = lambda c: F.col(c) * over >= F.col("_n") * under
-    return both.filter(long_enough("_exact") | long_enough("_found")).select(
-        F.col("_key").alias(key), F.col("_item").alias(item), F.col("_n").alias("n_windows"),
-        F.col("_found").alias("found"), F.col("_exact").alias("exact"), long_enough("_exact").alias("same_slots"),
+    # Of two readings the one with the same values counts, then the one without names at the starts of sentences.
+    best = F.max(F.struct(long_enough("_exact").alias("_same"), (~F.col("_reading")).alias("_plain"), "_n", "_found", "_exact"))
+    both = both.filter(long_enough("_exact") | long_enough("_found"))
+    both = both.groupBy("_key", "_id", "_item", "_item_id").agg(best.alias("_best"))
+    return both.select(
+        F.col("_key").alias(key), F.col("_item").alias(item), F.col("_best._n").alias("n_windows"),
+        F.col("_best._found").alias("found"), F.col("_best._exact").alias("exact"),
+        F.col("_best._same").alias("same_slots"),
     )
 
 

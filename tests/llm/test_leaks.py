@@ -57,3 +57,27 @@ def test_repeated_rows_and_missing_keys(docs, items, prose):
 def test_empty_tables(docs, items):
     assert pairs(leaks.find_leaks(docs([]), items([(0, ITEM)]))) == []
     assert pairs(leaks.find_leaks(docs([(1, ITEM)]), items([]))) == []
+
+
+APPLES = "Tom has 3 apples. Tom buys 5 more apples from his friend Ann. Tom then eats 2 apples. How many apples does Tom have now?"
+TRAIN = (
+    "A train leaves the old station at 9 and runs 120 kilometers to the coast. It carries 40 kilograms of mail for each "
+    "5 kilometers of track. How many kilograms does it carry after 12 m of the last bridge?"
+)
+
+
+def test_names_at_starts_of_sentences(docs, items, prose):
+    renamed = APPLES.replace("Tom", "Sue").replace("Ann", "Bob").replace("3", "14").replace("5", "6").replace("2", "9")
+    rows = [
+        (1, prose(1, 30) + ". " + renamed + " " + prose(2, 30)), (2, prose(3, 30) + ". " + APPLES),
+        (3, prose(4, 30) + " how many tom then. " + renamed), (4, APPLES.replace("How", "how").replace("Tom buys", "tom buys")),
+        (5, prose(5, 30) + ". Then Sue has many apples. Sue eats them."),
+    ]
+    got = {d: s for d, _, s in pairs(leaks.find_leaks(docs(rows), items([(0, APPLES)])))}
+    assert {1: False, 2: True, 3: False}.items() <= got.items() and 5 not in got
+
+
+def test_units_by_full_names_and_letters(docs, items, prose):
+    changed = TRAIN.replace("kilometers", "miles").replace("kilograms", "pounds").replace("12 m ", "12 ft ")
+    rows = [(1, prose(1, 30) + ". " + changed), (2, prose(2, 30) + ". " + changed.replace("pounds", "bags"))]
+    assert pairs(leaks.find_leaks(docs(rows), items([(0, TRAIN)]))) == [(1, 0, False)]
