@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,11 @@ BROADCAST_WINDOWS = 1 << 20  # 16 bytes each
 
 # What ends a sentence, the pieces of a text, and units by their names.
 STOPS = (".", "!", "?", "\n")
-PIECES = r"[.!?\n]|\p{L}+|[0-9]+(?:[.,][0-9]+)*"
+NAME = r"\p{Lu}[\p{L}&&[^\p{Lu}]]++(?!\p{L})"
+FIRST = rf"^{NAME}"
+NUMBER = r"[0-9]{1,3}(?:[ \u00A0\u2009\u202F][0-9]{3})+(?![0-9])(?:[.,][0-9]+)*|[0-9]+(?:[.,][0-9]+)*"
+# A run of names is one piece, so a name may have any number of words.
+PIECES = rf"[.!?\n]|{NAME}(?:[^\p{{L}}0-9.!?\n]++{NAME})*+|\p{{L}}+|{NUMBER}"
 UNITS = (
     "mm", "cm", "km", "millimeter", "millimeters", "millimetre", "millimetres", "centimeter", "centimeters", "centimetre",
     "centimetres", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "mile",
@@ -46,41 +52,47 @@ def _number(piece: Column) -> Column:
     return (piece >= "0") & (piece < ":")
 
 
-def _kind(piece: Column, before: Column, starts: bool) -> Column:
-    """``#`` for a number, ``%`` for a unit, ``@`` for a name, else the word itself.
-
-    A capital inside a sentence is a name; one at its start is a name in the reading ``starts``, a word in the other.
-    """
-    low = F.lower(piece)
-    capital = (piece != low) & (F.substring(piece, 2, 1 << 20) == F.substring(low, 2, 1 << 20)) & (F.length(piece) > 1)
-    return (
-        F.when(_number(piece), "#")
-        .when(low.isin(*UNITS) | (low.isin(*SHORT_UNITS) & _number(before)), "%")
-        .when(capital if starts else capital & ~before.isin(*STOPS), "@")
-        .otherwise(low)
-    )
-
-
 def _previous(pieces: Column, at: Column) -> Column:
     """The piece before position ``at``; a full stop before the first."""
     return F.when(at > 0, F.get(pieces, at - 1)).otherwise(".")
 
 
-def _hashes(pieces: Column, starts: bool) -> Column:
-    """The hash of each piece's template; ends of sentences are left out."""
-    each = F.transform(
-        pieces, lambda p, i: F.when(~p.isin(*STOPS), F.xxhash64(_kind(p, _previous(pieces, i), starts)))
-    )
-    return F.filter(each, lambda h: h.isNotNull())
+def _templates(pieces: Column, leaf: Callable[[Column, Column], Column]) -> Column:
+    """``leaf(kind, value)`` of each piece in two readings, ``plain`` (an array) and ``named``; ends of sentences are left out.
 
+    The kind is ``#`` for a number, ``%`` for a unit, ``@`` for a run of names, else the word itself, whose value is null.
+    A capital inside a sentence is a name. One at its start is a name in the reading ``named`` and a word in ``plain``,
+    where only the rest of its run is a name.
+    """
+    word = lambda low: leaf(low, F.lit(None).cast("string"))
+    names = lambda run: leaf(F.lit("@"), F.regexp_replace(run, r"[^\p{L}]+", " "))
+
+    def both(piece: Column, at: Column) -> Column:
+        before, low = _previous(pieces, at), F.lower(piece)
+        name = (piece != low) & piece.rlike(FIRST)
+        unit = low.isin(*UNITS) | (low.isin(*SHORT_UNITS) & _number(before))
+        one = (
+            F.when(_number(piece), leaf(F.lit("#"), piece)).when(unit, leaf(F.lit("%"), piece))
+            .when(name, names(piece)).otherwise(word(low))
+        )
+        first, rest = F.regexp_extract(piece, FIRST, 0), F.regexp_replace(piece, rf"{FIRST}[^\p{{L}}]*", "")
+        start = F.when(F.lower(first).isin(*UNITS), leaf(F.lit("%"), first)).otherwise(word(F.lower(first)))
+        split = F.when(rest == "", F.array(start)).otherwise(F.array(start, names(rest)))
+        plain = F.when(before.isin(*STOPS) & name & ~unit, split).otherwise(F.array(one))
+        return F.when(~piece.isin(*STOPS), F.struct(plain.alias("plain"), one.alias("named")))
+
+    return F.filter(F.transform(pieces, both), lambda t: t.isNotNull())
 
-def _slots(pieces: Column, starts: bool) -> Column:
-    """(template, value) of each piece: the value of a placeholder, null of a plain word."""
-    def slot(p: Column, i: Column) -> Column:
-        kind = _kind(p, _previous(pieces, i), starts)
-        return F.when(~p.isin(*STOPS), F.struct(kind.alias("kind"), F.when(kind.isin("#", "%", "@"), p).alias("value")))
 
-    return F.filter(F.transform(pieces, slot), lambda s: s.isNotNull())
+def _reading(templates: Column, starts: bool) -> Column:
+    """The leaves of one reading: with names at the starts of sentences, or without."""
+    if starts:
+        return F.transform(templates, lambda t: t["named"])
+    return F.flatten(F.transform(templates, lambda t: t["plain"]))
+
+
+def _slot(kind: Column, value: Column) -> Column:
+    return F.struct(kind.alias("kind"), value.alias("value"))
 
 
 def _window(hashes: Column, at: Column, words: int) -> Column:
@@ -102,10 +114,10 @@ def _named(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _read(named: DataFrame, words: int, names: dict[str, str], starts: bool) -> DataFrame:
-    pieces = F.col("_pieces")
-    cut = named.withColumn("_pieces", _pieces(F.col("_text"))).select(
-        "_key", "_id", _slots(pieces, starts).alias("_slots"), _hashes(pieces, starts).alias("_hashes")
-    )
+    cut = named.withColumn("_pieces", _pieces(F.col("_text")))
+    cut = cut.withColumn("_templates", _templates(F.col("_pieces"), _slot))
+    cut = cut.select("_key", "_id", _reading(F.col("_templates"), starts).alias("_slots"))
+    cut = cut.withColumn("_hashes", F.transform("_slots", lambda s: F.xxhash64(s["kind"])))
     run = cut.select("_key", "_id", "_slots", F.posexplode(_windows(F.col("_hashes"), words)).alias("_at", "_window"))
     return run.select(
         F.col("_key").alias(names["key"]), F.col("_id").alias(names["id"]), F.lit(starts).alias(names["reading"]),
@@ -133,9 +145,12 @@ def find_leaks(
     Texts become templates: numbers, units and names (capitals) are placeholders, other words are in lower case,
     punctuation goes. A capital at the start of a sentence may be a name or not, so an item has two readings, one for
     each, and is found by either; documents have the windows of both. An item is found when at least 80 of 100 of its distinct windows of five templates
-    are in the document, either with the same values in all slots (``exact`` such windows), or all in one alignment
-    (``found`` windows) where each value of the item always stands for the same value of the document and no two
-    values for one: a re-parameterised copy. ``same_slots`` tells whether the first holds. An item or document of fewer
+    are in the document, either with the same values in all slots (``exact`` such windows), or in one stretch of it
+    (``found`` windows) where each value of the item always stands for the same value of the document: a
+    re-parameterised copy. Two values of the item may stand for one. A stretch is one offset between item and document,
+    or offsets that differ by up to twice the window or by the item's length, so words may be put in or left out;
+    windows with a value that most windows of the stretch do not agree on are not counted. Neighbouring names are one
+    placeholder. ``same_slots`` tells whether the first holds. An item or document of fewer
     than five words is one window, which only another of the same words equals. Missing and empty texts have no windows
     and are never found. Rows that repeat key and text give one row; a missing key is a key. Other columns are ignored;
     an empty table on either side gives an empty table.
@@ -154,8 +169,9 @@ def find_leaks(
     needs = items.groupBy("_item_id", "_reading").agg(F.countDistinct("_window").alias("_n"))
     named = _named(docs, key, text)
     seen = named.withColumn("_pieces", _pieces(F.col("_text")))
-    seen = seen.select("_id", *[_hashes(F.col("_pieces"), starts).alias(f"_hashes_{starts}") for starts in (False, True)])
-    both = [_windows(F.col(f"_hashes_{starts}"), words) for starts in (False, True)]
+    seen = seen.select("_id", _templates(F.col("_pieces"), lambda kind, _: F.xxhash64(kind)).alias("_templates"))
+    seen = seen.select("_id", *[_reading(F.col("_templates"), s).alias(f"_hashes_{s}") for s in (False, True)])
+    both = [_windows(F.col(f"_hashes_{s}"), words) for s in (False, True)]
     seen = seen.select("_id", F.explode(F.array_union(*both)).alias("_window"))
     hits = settle(seen.join(distinct, "_window").distinct(), "hits")
     held = items.select("_item_id", "_reading", "_window").distinct()
@@ -176,28 +192,37 @@ def find_leaks(
         .select(
             "_key", "_id", "_item", "_item_id", "_reading", "_n", "_window", (F.col("_at") - F.col("_item_at")).alias("_shift"),
             (F.col("_slots") == F.col("_item_slots")).alias("_same"),
-            F.filter(
-                F.arrays_zip("_item_slots", "_slots"), lambda z: z["_item_slots"]["value"].isNotNull()
-            ).alias("_zipped"),
+            F.transform(
+                F.filter(F.arrays_zip("_item_slots", "_slots"), lambda z: z["_item_slots"]["value"].isNotNull()),
+                lambda z: F.struct(
+                    F.concat(z["_item_slots"]["kind"], F.lower(z["_item_slots"]["value"])).alias("theirs"),
+                    F.lower(z["_slots"]["value"]).alias("ours"),
+                ),
+            ).alias("_values"),
         )
     )
     pairs = settle(pairs, "aligned")
     pair = ["_key", "_id", "_item", "_item_id", "_reading", "_n"]
-    line = ["_id", "_item_id", "_reading", "_shift"]
     same = pairs.filter("_same").groupBy(*pair).agg(F.countDistinct("_window").alias("_exact"))
-    aligned = pairs.groupBy(*pair, "_shift").agg(F.countDistinct("_window").alias("_found"))
-    # Values on both sides of an alignment: as many distinct pairs as values on either side, by kind.
-    values = pairs.select(*line, F.explode("_zipped").alias("_z")).select(
-        *line,
-        F.struct(F.col("_z._item_slots.kind"), F.lower("_z._item_slots.value")).alias("_theirs"),
-        F.struct(F.col("_z._slots.kind"), F.lower("_z._slots.value")).alias("_ours"),
-    ).distinct()
-    clash = values.groupBy(*line).agg(
-        (
-            (F.count("*") > F.countDistinct("_theirs")) | (F.count("*") > F.countDistinct("_ours"))
-        ).alias("_clash")
+    # Stretches of alignments: one offset, and offsets near each other, each in two overlapping bands of the same width.
+    shift = F.col("_shift").cast("long")
+    near = [F.struct(F.lit(0).cast("long").alias("width"), shift.alias("at"))]
+    for width in (F.lit(2 * words).cast("long"), F.greatest(F.col("_n"), F.lit(2 * words + 1)).cast("long")):
+        at = F.floor(shift / width).cast("long")
+        near += [F.struct(width.alias("width"), (at + i).alias("at")) for i in (0, 1)]
+    lines = pairs.select(*pair, "_window", "_values", F.explode(F.array(*near)).alias("_line"))
+    line = ["_id", "_item_id", "_reading", "_line"]
+    # In a stretch each value of the item stands for the one that most windows give it; windows with another are dropped.
+    votes = (
+        lines.select(*line, "_window", F.explode("_values").alias("_value"))
+        .groupBy(*line, "_value").agg(F.countDistinct("_window").alias("_votes"))
+        .groupBy(*line, F.col("_value.theirs").alias("_theirs"))
+        .agg(F.max(F.struct("_votes", F.col("_value.ours").alias("ours")))["ours"].alias("_ours"))
+        .groupBy(*line).agg(F.map_from_entries(F.collect_list(F.struct("_theirs", "_ours"))).alias("_chosen"))
     )
-    steady = aligned.join(clash, line, "left").filter("_clash is null or not _clash")
+    agreed = F.forall("_values", lambda v: F.try_element_at(F.col("_chosen"), v["theirs"]) == v["ours"])
+    steady = lines.join(votes, line, "left").filter((F.size("_values") == 0) | agreed)
+    steady = steady.groupBy(*pair, "_line").agg(F.countDistinct("_window").alias("_found"))
     steady = steady.groupBy(*pair).agg(F.max("_found").alias("_found"))
     both = same.withColumn("_found", F.lit(0).cast("long")).unionByName(steady.withColumn("_exact", F.lit(0).cast("long")))
     both = both.groupBy(*pair).agg(F.max("_exact").alias("_exact"), F.max("_found").alias("_found"))

@@ -81,3 +81,20 @@ def test_units_by_full_names_and_letters(docs, items, prose):
     changed = TRAIN.replace("kilometers", "miles").replace("kilograms", "pounds").replace("12 m ", "12 ft ")
     rows = [(1, prose(1, 30) + ". " + changed), (2, prose(2, 30) + ". " + changed.replace("pounds", "bags"))]
     assert pairs(leaks.find_leaks(docs(rows), items([(0, TRAIN)]))) == [(1, 0, False)]
+
+
+def test_copies_that_move_or_merge_values(docs, items, prose):
+    longer = ITEM.replace("Ravenna", "San Marino").replace("Tom", "Mary Ann").replace("12", "40")
+    more = APPLES.replace("Tom", "Mary Ann").replace("Ann.", "Bob Roe.").replace("3", "1 200")
+    merged = APPLES.replace("Tom", "Sue").replace("3", "4").replace("5", "4")
+    old = " ".join(f"{w} Ida" if i % 12 == 11 else w for i, w in enumerate(prose(9, 60).split()))
+    extra = old.replace("Ida", "Eva").split()
+    extra.insert(25, "really")
+    twice = ITEM.replace("Tom", "Ann") + " " + prose(12, 3) + ". " + ITEM.replace("Tom", "Bob").replace("12", "7")
+    rows = [
+        (1, prose(1, 30) + ". " + longer), (2, prose(2, 30) + ". " + more), (3, prose(3, 30) + ". " + merged),
+        (4, prose(4, 30) + " " + " ".join(extra) + " " + prose(5, 30)), (5, twice),
+        (6, prose(6, 30) + ". " + ITEM.replace("12 km from", "13 km from").replace("3 hours", "8 sacks")),
+    ]
+    got = pairs(leaks.find_leaks(docs(rows), items([(0, ITEM), (1, APPLES), (2, old)])))
+    assert got == [(1, 0, False), (2, 1, False), (3, 1, False), (4, 2, False), (5, 0, False)]
