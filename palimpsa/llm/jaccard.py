@@ -484,12 +484,20 @@ def _named(words: int):
 def drop_near(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100)
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, unchanged: of each component the row with the least key.
+    """The rows of ``docs`` that stay, unchanged: of each component exactly one, the row with the least key.
 
-    Of rows that repeat that key exactly one stays (which one is not defined); rows with an empty set and rows without
-    a key all stay.
+    A missing key comes after all others; of rows that repeat the least key one stays (which one is not defined). Rows
+    with an empty set all stay. Rows are told apart by a number that is written with them.
     """
     names = docs.columns
-    classes = similarity_classes(docs, key, text, words, similarity)
-    gone = classes.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_id"),
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_whole"),
+    )
+    rows = settle(rows, "rows")
+    bodies = rows.select("_row", F.col(f"_whole.`{text}`").alias("_body"))
+    classes = settle(similarity_classes(bodies, "_row", "_body", words, similarity).filter("n_shingles > 0"), "classes")
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")
+    stay = classes.join(rows.select("_row", "_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    gone = settle(classes.select("_row").join(stay.select("_row"), "_row", "left_anti"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"_whole.`{c}`") for c in names])

@@ -58,7 +58,7 @@ def _previous(pieces: Column, at: Column) -> Column:
 
 
 def _templates(pieces: Column, leaf: Callable[[Column, Column], Column]) -> Column:
-    """``leaf(kind, value)`` of each piece in two readings, ``plain`` (an array) and ``named``; ends of sentences are left out.
+    """``leaf(kind, value)`` of each piece in two readings, ``plain`` (an array, null if as ``named``) and ``named``; ends of sentences are left out.
 
     The kind is ``#`` for a number, ``%`` for a unit, ``@`` for a run of names, else the word itself, whose value is null.
     A capital inside a sentence is a name. One at its start is a name in the reading ``named`` and a word in ``plain``,
@@ -78,7 +78,7 @@ def _templates(pieces: Column, leaf: Callable[[Column, Column], Column]) -> Colu
         first, rest = F.regexp_extract(piece, FIRST, 0), F.regexp_replace(piece, rf"{FIRST}[^\p{{L}}]*", "")
         start = F.when(F.lower(first).isin(*UNITS), leaf(F.lit("%"), first)).otherwise(word(F.lower(first)))
         split = F.when(rest == "", F.array(start)).otherwise(F.array(start, names(rest)))
-        plain = F.when(before.isin(*STOPS) & name & ~unit, split).otherwise(F.array(one))
+        plain = F.when(before.isin(*STOPS) & name & ~unit, split)  # null: as named
         return F.when(~piece.isin(*STOPS), F.struct(plain.alias("plain"), one.alias("named")))
 
     return F.filter(F.transform(pieces, both), lambda t: t.isNotNull())
@@ -88,7 +88,7 @@ def _reading(templates: Column, starts: bool) -> Column:
     """The leaves of one reading: with names at the starts of sentences, or without."""
     if starts:
         return F.transform(templates, lambda t: t["named"])
-    return F.flatten(F.transform(templates, lambda t: t["plain"]))
+    return F.flatten(F.transform(templates, lambda t: F.coalesce(t["plain"], F.array(t["named"]))))
 
 
 def _slot(kind: Column, value: Column) -> Column:
@@ -158,6 +158,14 @@ def find_leaks(
     Documents are searched in place: their windows meet the benchmark's distinct windows, which are broadcast up to a
     counted bound and shuffled beyond it. Only documents with enough windows of an item are read again for the slots.
     """
+    return _found(docs, benchmark, key, text, item, item_text, words, share).drop("_id")
+
+
+def _found(
+    docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str = "item_id", item_text: str = "text",
+    words: int = WINDOW, share: tuple[int, int] = SHARE,
+) -> DataFrame:
+    """The rows of ``find_leaks``, and ``_id``, the hash of key and text."""
     under, over = share
     theirs = {"key": "_item", "id": "_item_id", "reading": "_reading", "at": "_item_at", "slots": "_item_slots"}
     items = _slotted(_named(benchmark, item, item_text).dropDuplicates(["_id", "_key"]), words, theirs)
@@ -232,15 +240,19 @@ def find_leaks(
     both = both.filter(long_enough("_exact") | long_enough("_found"))
     both = both.groupBy("_key", "_id", "_item", "_item_id").agg(best.alias("_best"))
     return both.select(
-        F.col("_key").alias(key), F.col("_item").alias(item), F.col("_best._n").alias("n_windows"),
+        "_id", F.col("_key").alias(key), F.col("_item").alias(item), F.col("_best._n").alias("n_windows"),
         F.col("_best._found").alias("found"), F.col("_best._exact").alias("exact"),
         F.col("_best._same").alias("same_slots"),
     )
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, unchanged. Rows without a key stay only if no such row has one."""
+    """The rows of ``docs`` in which no item is found, unchanged. Rows are judged by key and text, so others that only
+    share the key, or have none either, stay.
+    """
     names = docs.columns
-    found = find_leaks(docs, benchmark, key, text, **how).select(F.col(key).alias("_found")).distinct()
-    found = settle(found, "found")
-    return docs.join(found, docs[key].eqNullSafe(found["_found"]), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    found = settle(_found(docs, benchmark, key, text, **how).select("_id").distinct(), "found")
+    rows = docs.select(
+        F.xxhash64(F.col(key), whole(text)).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_whole")
+    )
+    return rows.join(found, "_id", "left_anti").select(*[F.col(f"_whole.`{c}`") for c in names])

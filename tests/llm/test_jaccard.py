@@ -123,3 +123,16 @@ def test_components_of_chains_and_stars(spark):
     roots = {r.node: r.root for r in frame.collect()}
     assert all(roots[i] == 0 for i in range(61)) and all(roots[i] == 100 for i in range(100, 140))
     assert {roots[n] for n in (200, 250, 300)} == {200} and len(roots) == 104
+
+
+def test_one_row_of_each_component_stays(docs, prose):
+    a, b, c, d = (prose(900 + i, 60) for i in range(4))
+    near = a + " end"
+    rows = [
+        (1, a), (2, near), (2, b), (None, a), (None, near), (1, near), (1, c), (None, d), (None, d), (5, d + " end"),
+        (None, ""), (None, None), (7, ""),
+    ]
+    out = [(r.doc_id, r.text) for r in jaccard.drop_near(docs(rows)).collect()]
+    assert sum(t in (a, near) for _, t in out) == 1 and (2, b) in out and (1, c) in out
+    assert [k for k, t in out if t in (a, near)] == [1] and [k for k, t in out if t in (d, d + " end")] == [5]
+    assert sum(not t for _, t in out) == 3 and len(out) == 7

@@ -98,3 +98,11 @@ def test_copies_that_move_or_merge_values(docs, items, prose):
     ]
     got = pairs(leaks.find_leaks(docs(rows), items([(0, ITEM), (1, APPLES), (2, old)])))
     assert got == [(1, 0, False), (2, 1, False), (3, 1, False), (4, 2, False), (5, 0, False)]
+
+
+def test_only_rows_with_leaks_go(docs, items, prose):
+    bad = prose(1, 60)
+    rows = [(None, bad), (None, prose(2, 60)), (3, bad), (3, prose(3, 60)), (4, prose(4, 60)), (4, None), (None, None)]
+    out = leaks.drop_leaks(docs(rows), items([(0, bad)]))
+    key = lambda r: (r[0] or -1, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted([r for r in rows if r[1] != bad], key=key)
