@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsa.session import checkpoint_dir
@@ -80,3 +80,41 @@ def mix(values: np.ndarray) -> np.ndarray:
     out *= np.uint64(0x94D049BB133111EB)
     out ^= out >> np.uint64(31)
     return out
+
+
+def ranked(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Rows written in the order of ``order`` within ``group`` (missing values first), with two more columns.
+
+    ``_at`` counts from 0 within the group and ``_n`` is the group's size. Ranges of (group, order) are sorted by as
+    many tasks as there are, so a group of any size is dealt to many; only one line per group and task is summed.
+    ``order`` must end in a column that tells equal rows apart where a third of the rows may be equal in the others.
+    """
+    placed = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    placed = settle(placed.withColumn("_seq", F.monotonically_increasing_id()), name)
+    task = F.shiftright("_seq", 33)
+    lines = placed.groupBy(F.col(group).alias("_group"), task.alias("_task")).agg(
+        F.min("_seq").alias("_low"), F.count("*").alias("_rows")
+    )
+    whole_group = Window.partitionBy("_group")
+    earlier = whole_group.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.select(
+        "_group", "_task", F.sum("_rows").over(whole_group).alias("_n"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_low")).alias("_shift"),
+    )
+    met = placed.join(lines, placed[group].eqNullSafe(lines["_group"]) & (task == lines["_task"]))
+    return met.withColumn("_at", F.col("_seq") + F.col("_shift")).drop("_seq", "_group", "_task", "_shift")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """Consecutive rows with equal keys, as dicts; a run goes on over the bounds of batches."""
+    held, own = [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if held and key != own:
+                yield held
+                held = []
+            own = key
+            held.append(row)
+    if held:
+        yield held

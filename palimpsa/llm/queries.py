@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsa.llm import exact, jaccard, langid, leaks, pieces, pii, sharding, suffixes, toxicity, urls
+from palimpsa.llm import exact, jaccard, langid, leaks, merkle, pieces, pii, sharding, suffixes, toxicity, urls
 from palimpsa.llm.common import remainder, table
 
 # A public vocabulary file; the path is a parameter of the query.
@@ -126,6 +126,86 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", urls.UPPER, urls.LOWER)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.audit(docs, "doc_id", "source", fields, {"text": lowered}, tampered)
+
+
+OP11_SQL = r"""
+with recursive fields as (
+  select doc_id, source, text, concat(coalesce(concat(strlen(doc_id::varchar), ':', doc_id), '-'),
+    coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'),
+    coalesce(concat(strlen(n_chars::varchar), ':', n_chars), '-')) as head from documents
+), leaves as (
+  select *, sha256(head || coalesce(concat(strlen(text), ':', text), '-')) as leaf,
+    sha256(head || coalesce(concat(strlen(text), ':', translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz')), '-')) as lowered from fields
+), placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+    count(*) over (partition by source) as n from leaves
+), inner_nodes as (
+  select 0 as level, source, pos, n, leaf as node from placed
+  union all
+  select level + 1, source, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' order by pos))
+  from inner_nodes where n > 1 group by level, source, pos // 16, (n + 15) // 16
+), subroots as (
+  select source, node, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n
+  from inner_nodes where n = 1
+), outer_nodes as (
+  select 0 as level, pos, n, node from subroots
+  union all
+  select level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' order by pos))
+  from outer_nodes where n > 1 group by level, pos // 16, (n + 15) // 16
+), inner_runs as (
+  select level, source, pos // 16 as run, list(node order by pos) as nodes from inner_nodes where n > 1
+  group by level, source, pos // 16
+), outer_runs as (
+  select level, pos // 16 as run, list(node order by pos) as nodes from outer_nodes where n > 1 group by level, pos // 16
+), crc(byte, value) as (
+  select byte, step8 from (select range as byte, range as step0 from range(256)),
+    lateral (select if(step0 % 2 = 1, xor(step0 >> 1, 3988292384), step0 >> 1) as step1),
+    lateral (select if(step1 % 2 = 1, xor(step1 >> 1, 3988292384), step1 >> 1) as step2),
+    lateral (select if(step2 % 2 = 1, xor(step2 >> 1, 3988292384), step2 >> 1) as step3),
+    lateral (select if(step3 % 2 = 1, xor(step3 >> 1, 3988292384), step3 >> 1) as step4),
+    lateral (select if(step4 % 2 = 1, xor(step4 >> 1, 3988292384), step4 >> 1) as step5),
+    lateral (select if(step5 % 2 = 1, xor(step5 >> 1, 3988292384), step5 >> 1) as step6),
+    lateral (select if(step6 % 2 = 1, xor(step6 >> 1, 3988292384), step6 >> 1) as step7),
+    lateral (select if(step7 % 2 = 1, xor(step7 >> 1, 3988292384), step7 >> 1) as step8)
+), ids as (
+  select doc_id, doc_id::varchar as letters, 0 as done, 4294967295 as state
+  from (select distinct doc_id from documents where doc_id is not null)
+  union all
+  select doc_id, letters, done + 1, xor(state >> 8, value)
+  from ids join crc on byte = xor(state & 255, ascii(letters[done + 1])) where done < length(letters)
+), tampered as (
+  select distinct doc_id from ids where done = length(letters) and xor(state, 4294967295) % 5 = 0
+), climbed as (
+  select row_number() over () as row, doc_id, source, leaf, 0 as level, pos, n,
+    if(doc_id in (select doc_id from tampered), lowered, leaf) as folded, '' as proof from placed
+  union all
+  select row, doc_id, c.source, leaf, c.level + 1, pos // 16, (n + 15) // 16,
+    sha256(concat(array_to_string(nodes[:pos % 16], ''), folded, array_to_string(nodes[pos % 16 + 2:], ''))),
+    concat(proof, array_to_string(nodes[:pos % 16], ''), array_to_string(nodes[pos % 16 + 2:], ''))
+  from climbed c join inner_runs r on r.level = c.level and r.source is not distinct from c.source and r.run = pos // 16
+  where n > 1
+), grown as (
+  select row, doc_id, leaf, s.node as subroot, 0 as level, s.pos, s.n, folded, proof
+  from climbed c join subroots s on s.source is not distinct from c.source where c.n = 1
+  union all
+  select row, doc_id, leaf, subroot, g.level + 1, pos // 16, (n + 15) // 16,
+    sha256(concat(array_to_string(nodes[:pos % 16], ''), folded, array_to_string(nodes[pos % 16 + 2:], ''))),
+    concat(proof, array_to_string(nodes[:pos % 16], ''), array_to_string(nodes[pos % 16 + 2:], ''))
+  from grown g join outer_runs r on r.level = g.level and r.run = pos // 16 where n > 1
+)
+select doc_id, leaf, subroot, o.node as root, sha256(proof) as proof_sha256, folded as folded_root,
+  folded = o.node as verified
+from grown g cross join (select node from outer_nodes where n = 1) o where g.n = 1
+"""
+
+
 QUERIES = {
     "op1_url_filter": (op1_url_filter, OP1_SQL),
     "op2_personal_data": (op2_personal_data, None),
@@ -137,4 +217,5 @@ QUERIES = {
     "op8_ngram_jaccard": (op8_ngram_jaccard, None),
     "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
 }
