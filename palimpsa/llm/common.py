@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -32,7 +33,22 @@ def settle(frame: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(frame.schema).parquet(path)
+    back = spark.read.schema(frame.schema).parquet(path)
+    back._step = path
+    return back
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete settled steps. Only those that no step still to be computed reads, directly or not."""
+    for step in steps:
+        spark = step.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step._step)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver find exchanges that nothing refers to any more; their files on the executors go then."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def whole(text: str = "text") -> Column:
@@ -118,3 +134,35 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[di
             held.append(row)
     if held:
         yield held
+
+
+def pack(arrays: dict[str, np.ndarray | bytes]) -> bytes:
+    """Named arrays as one compressed run of bytes; whole numbers take as few bytes as their largest needs."""
+    parts, heads = [], []
+    for name, values in arrays.items():
+        if isinstance(values, bytes):
+            kind, raw = "S", values
+        else:
+            if values.dtype.kind in "ui" and len(values) and values.min() >= 0:
+                values = values.astype(np.min_scalar_type(int(values.max())))
+            # Bytes of equal weight stand together, which compresses better.
+            kind, raw = values.dtype.str, values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+        packed = pa.compress(raw, "zstd", asbytes=True)
+        heads.append((name, kind, len(raw), len(packed)))
+        parts.append(packed)
+    head = json.dumps(heads).encode()
+    return len(head).to_bytes(4, "little") + head + b"".join(parts)
+
+
+def unpack(body: bytes) -> dict[str, np.ndarray | bytes]:
+    start = 4 + int.from_bytes(body[:4], "little")
+    out = {}
+    for name, kind, size, length in json.loads(body[4:start]):
+        raw = pa.decompress(body[start : start + length], size, "zstd", asbytes=True)
+        start += length
+        if kind == "S":
+            out[name] = raw
+        else:
+            width = np.dtype(kind).itemsize
+            out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    return out

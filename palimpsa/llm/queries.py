@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsa.llm import dialogue, exact, jaccard, langid, leaks, merkle, pieces, pii, sharding, suffixes, toxicity, urls
+from palimpsa.llm import dialogue, exact, jaccard, katz, langid, leaks, merkle, pieces, pii, sharding, suffixes, toxicity, urls
 from palimpsa.llm.common import remainder, table
 
 # A public vocabulary file; the path is a parameter of the query.
@@ -206,6 +206,10 @@ from grown g cross join (select node from outer_nodes where n = 1) o where g.n =
 """
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"), held_out=remainder("doc_id", 7) == 2)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_conversations(table(spark, sf_dir, "conversations"))
 
@@ -222,5 +226,6 @@ QUERIES = {
     "op9_benchmark_decontamination": (op9_benchmark_decontamination, None),
     "op10_toxicity": (op10_toxicity, None),
     "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
+    "op12_lm_scoring": (op12_lm_scoring, None),
     "op13_conversation_repair": (op13_conversation_repair, None),
 }
