@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsa.functions import chars, patterns
 from palimpsa.functions.arrays import sql_literal
+from palimpsa.functions.automaton import find_keywords
 from palimpsa.functions.scan import find_all, find_all_deep
 
 # Limits on user-supplied keywords and patterns.
@@ -21,6 +22,9 @@ MAX_KEYWORD_CHARS = 300
 MAX_PATTERN_CHARS = 200
 MAX_PATTERN_GROUPS = 20
 
+# From so many literal keywords on, one pass of an automaton is cheaper than a pass for each.
+AUTOMATON_KEYWORDS = 8
+
 # Fixed value: shapes that backtrack without bound: a repeated group whose body ends in a
 # repeat, the same with an open count, and three wildcards in a row.
 RISKY_SHAPE = r"\([^()]*[+*]\)(?:[+*]|\{\p{Nd}*,)|(?:\.[+*]){3,}"
@@ -146,9 +150,13 @@ def each_keyword(text: Column, keywords: list[str], config: DetectionConfig, rep
     """``report(ordinal, keyword, matches)`` of every keyword, one after another, in one array.
 
     Neighbouring keywords are walked together, and only in texts that hold any of them. Patterns that the JVM's matcher
-    cannot run on long texts go through Python instead.
+    cannot run on long texts go through Python instead, and so do many literal keywords, all in one pass of the text:
+    the plan and the passes are the same for ten thousand.
     """
     numbered = list(enumerate(keywords, start=1))
+    if not config.use_regex and len(keywords) >= AUTOMATON_KEYWORDS:
+        found = find_keywords(text, numbered, config.case_sensitive)
+        return F.flatten(F.transform(found, lambda g: report(g["ordinal"], g["keyword"], g["matches"])))
     parts = []
     for deep, run in groupby(numbered, lambda k: config.use_regex and patterns.is_deep(k[1])):
         run = list(run)

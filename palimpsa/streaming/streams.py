@@ -7,7 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -28,6 +28,7 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 HISTORY_TTL_MS = 7 * 24 * 60 * 60 * 1000
+UNTIMED = int(np.iinfo(np.int64).min)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -68,11 +69,31 @@ def finding_windows(scanned: DataFrame, time: str, width: str = "1 day", latenes
     )
 
 
+def _times(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Microseconds, and which rows have a time at all."""
+    return column.to_numpy().astype("datetime64[us]").astype(np.int64), column.notna().to_numpy()
+
+
+# A keyed operator takes no missing number as its key, so keys go in as text.
+CLIENT = "_client"
+CLIENT_FIELD = T.StructField(CLIENT, T.StringType())
+
+
+def _client(key: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-")).alias(CLIENT)
+
+
+def _decoded(told: DataFrame, field: T.StructField) -> DataFrame:
+    """The key's own values in place of the text."""
+    value = F.when(F.col(CLIENT) != "-", F.expr(f"substr({CLIENT}, 2)")).cast(field.dataType).alias(field.name)
+    return told.select(value, *[c for c in told.columns if c != CLIENT])
+
+
 class ThrottleProcessor(StatefulProcessor):
     """State per key: at most ``limit`` admitted times. Micro-batch size bounds what is sorted."""
 
-    def __init__(self, key: str, time: str, order: str, limit: int, window_seconds: int, ttl_ms: int | None) -> None:
-        self.key, self.time, self.order, self.ttl_ms = key, time, order, ttl_ms
+    def __init__(self, time: str, order: str, limit: int, window_seconds: int, ttl_ms: int | None) -> None:
+        self.time, self.order, self.ttl_ms = time, order, ttl_ms
         self.limit, self.window = limit, window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -80,10 +101,13 @@ class ThrottleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         # Two numbers per event of this key and micro-batch; nothing else of a row is kept.
-        parts = [
-            (f[self.time].to_numpy().astype("datetime64[us]").astype(np.int64), f[self.order].to_numpy()) for f in rows
-        ]
-        times, numbers = (np.concatenate(column) for column in zip(*parts))
+        parts = [_times(f[self.time]) + (f[self.order].to_numpy(),) for f in rows]
+        times, timed, numbers = (np.concatenate(column) for column in zip(*parts))
+        # As in the batch form, an event without a time is neither admitted nor refused and leaves no trace.
+        for start in range(0, int((~timed).sum()), 10_000):
+            part = numbers[~timed][start : start + 10_000]
+            yield pd.DataFrame({CLIENT: [key[0]] * len(part), self.order: part, "accepted": [None] * len(part)})
+        times, numbers = times[timed], numbers[timed]
         sorted_by_time = np.lexsort((numbers, times))
         times, numbers = times[sorted_by_time], numbers[sorted_by_time]
         recent = [row[0] for row in self.log.get()]
@@ -92,7 +116,7 @@ class ThrottleProcessor(StatefulProcessor):
         for start in range(0, len(times), 10_000):
             part = slice(start, start + 10_000)
             yield pd.DataFrame(
-                {self.key: [key[0]] * len(times[part]), self.order: numbers[part], "accepted": accepted[part]}
+                {CLIENT: [key[0]] * len(times[part]), self.order: numbers[part], "accepted": accepted[part]}
             )
 
     def close(self) -> None:
@@ -113,24 +137,23 @@ def throttled_stream(
     With a continuous trigger over events as they happen, a ``ttl_ms`` of at least the window drops the logs of keys
     that have gone silent; it needs the processing-time mode, so a bounded trigger goes without.
     """
-    schema = T.StructType(
-        [events.schema[key], events.schema[order], T.StructField("accepted", T.BooleanType())]
-    )
-    processor = ThrottleProcessor(key, time, order, limit, window_seconds, ttl_ms)
-    return (
-        events.select(key, time, order)
-        .groupBy(key)
+    schema = T.StructType([CLIENT_FIELD, events.schema[order], T.StructField("accepted", T.BooleanType())])
+    processor = ThrottleProcessor(time, order, limit, window_seconds, ttl_ms)
+    told = (
+        events.select(_client(key), time, order)
+        .groupBy(CLIENT)
         .transformWithStateInPandas(
             processor, schema, outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime"
         )
     )
+    return _decoded(told, events.schema[key])
 
 
 class HistoryProcessor(StatefulProcessor):
     """State per key: the newest entries, dropped when a key stays silent past the time to live."""
 
-    def __init__(self, key: str, time: str, order: str, length: int, ttl_ms: int | None) -> None:
-        self.key, self.time, self.order, self.length, self.ttl_ms = key, time, order, length, ttl_ms
+    def __init__(self, time: str, order: str, length: int, ttl_ms: int | None) -> None:
+        self.time, self.order, self.length, self.ttl_ms = time, order, length, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entries = handle.getListState("entries", "t long, id long", ttlDurationMs=self.ttl_ms)
@@ -138,14 +161,15 @@ class HistoryProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         newest = [(int(t), int(i)) for t, i in self.entries.get()]
         for frame in rows:
-            times = frame[self.time].to_numpy().astype("datetime64[us]").astype(np.int64)
-            newest += list(zip(times.tolist(), frame[self.order].tolist()))
+            # Events without a time are the oldest, whatever is known of the others.
+            times, timed = _times(frame[self.time])
+            newest += list(zip(np.where(timed, times, UNTIMED).tolist(), frame[self.order].tolist()))
             newest = sorted(newest)[-self.length :]
         self.entries.put(newest)
         listed = newest[::-1]
         yield pd.DataFrame(
             {
-                self.key: [key[0]] * len(listed),
+                CLIENT: [key[0]] * len(listed),
                 self.order: [i for _, i in listed],
                 "recency": list(range(1, len(listed) + 1)),
             }
@@ -168,17 +192,168 @@ def history_stream(
     A time to live needs the processing-time mode, which keeps running empty
     micro-batches: use it with a continuous trigger, and ``None`` with a bounded one.
     """
-    schema = T.StructType([events.schema[key], events.schema[order], T.StructField("recency", T.IntegerType())])
-    return (
-        events.select(key, time, order)
-        .groupBy(key)
+    schema = T.StructType([CLIENT_FIELD, events.schema[order], T.StructField("recency", T.IntegerType())])
+    told = (
+        events.select(_client(key), time, order)
+        .groupBy(CLIENT)
         .transformWithStateInPandas(
-            HistoryProcessor(key, time, order, length, ttl_ms),
+            HistoryProcessor(time, order, length, ttl_ms),
             schema,
             outputMode="Update",
             timeMode="None" if ttl_ms is None else "ProcessingTime",
         )
     )
+    return _decoded(told, events.schema[key])
+
+
+class WindowProcessor(StatefulProcessor):
+    """State per part of a window: its counts, until the watermark passes its end; then they are told once and go."""
+
+    def __init__(self, order: str, sums: list[str], width_ms: int) -> None:
+        self.order, self.sums, self.width = order, sums, width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        columns = ", ".join(f"c{i} long" for i in range(len(self.sums) + 1))
+        self.counts = handle.getValueState("counts", columns)
+
+    def _told(self, key: Any, kind: str, orders: list, columns: list[list[int]]) -> pd.DataFrame:
+        told = {CLIENT: [key[0]] * len(orders), "kind": [kind] * len(orders), self.order: orders}
+        return pd.DataFrame(told | dict(zip(["n_rows", *self.sums], columns)))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        start = None if key[0] == "-" else int(key[0][1:])
+        end = None if start is None else start + self.width
+        kind = "untimed" if start is None else "late" if end <= timerValues.getCurrentWatermarkInMs() else None
+        if kind is not None:  # each such row is listed, no window is opened again
+            for frame in rows:
+                ones = [[1] * len(frame), *(frame[c].tolist() for c in self.sums)]
+                yield self._told(key, kind, frame[self.order].tolist(), ones)
+            return
+        if self.counts.exists():
+            counts = [int(c) for c in self.counts.get()]
+        else:
+            counts = [0] * (len(self.sums) + 1)
+            self.handle.registerTimer(end)
+        for frame in rows:
+            counts = [c + n for c, n in zip(counts, [len(frame), *(int(frame[c].sum()) for c in self.sums)])]
+        self.counts.update(tuple(counts))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        counts = [[int(c)] for c in self.counts.get()]
+        self.counts.clear()
+        yield self._told(key, "closed", [None], counts)
+
+    def close(self) -> None:
+        pass
+
+
+def closing_windows(
+    rows: DataFrame, time: str, order: str, sums: list[str], width_seconds: int = 86_400, lateness: str = "1 hour",
+    parts: int = 16,
+) -> DataFrame:
+    """Row counts and sums per time window, told once when the watermark passes a window's end, and every late row.
+
+    Columns: window_start (milliseconds), kind, ``order``, n_rows and ``sums``. ``closed`` lines are parts of windows,
+    one at most for each part; ``merged_windows`` adds them up. ``late`` lines are rows whose window had ended when
+    they came: the watermark is the latest time of earlier micro-batches less ``lateness``. ``untimed`` lines are rows
+    without a time. State holds open windows only, ``parts`` for each, so a window with most rows is many tasks.
+    Append mode; needs the RocksDB state store (``use_keyed_state``).
+    """
+    width = width_seconds * 1000
+    start = F.floor(F.unix_millis(time) / width) * width
+    # The time itself is left out, else the engine would drop late rows unseen before they get here.
+    thin = rows.withWatermark(time, lateness).select(
+        start.cast("long").alias("window_start"), F.pmod(F.xxhash64(order), F.lit(parts)).alias("part"), order, *sums
+    ).withColumn(CLIENT, _client("window_start"))
+    schema = T.StructType(
+        [
+            CLIENT_FIELD, T.StructField("kind", T.StringType()), rows.schema[order],
+            *[T.StructField(c, T.LongType()) for c in ("n_rows", *sums)],
+        ]
+    )
+    told = thin.groupBy(CLIENT, "part").transformWithStateInPandas(
+        WindowProcessor(order, sums, width), schema, outputMode="Append", timeMode="EventTime"
+    )
+    return _decoded(told, T.StructField("window_start", T.LongType()))
+
+
+def merged_windows(told: DataFrame, sums: list[str]) -> DataFrame:
+    """Closed windows whole, and the number and sums of late and untimed rows by the window that they missed."""
+    return told.groupBy("window_start", "kind").agg(*[F.sum(c).alias(c) for c in ("n_rows", *sums)])
+
+
+class ExpiringHistoryProcessor(StatefulProcessor):
+    """State per key: the newest entries, and a timer that ends them when no later event comes in time."""
+
+    def __init__(self, time: str, order: str, length: int, ttl_ms: int) -> None:
+        self.time, self.order, self.length, self.ttl = time, order, length, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getListState("entries", "t long, id long")
+
+    def _told(self, key: Any, kind: str, orders: list, ranks: list) -> pd.DataFrame:
+        n = len(orders)
+        return pd.DataFrame({CLIENT: [key[0]] * n, "kind": [kind] * n, self.order: orders, "recency": ranks})
+
+    def _end(self, newest: list[tuple[int, int]]) -> int:
+        return newest[-1][0] // 1000 + self.ttl
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        newest = [(int(t), int(i)) for t, i in self.entries.get()]
+        now = timerValues.getCurrentWatermarkInMs()
+        if newest:
+            self.handle.deleteTimer(self._end(newest))
+            if self._end(newest) <= now:  # its timer would have fired in this micro-batch
+                yield self._told(key, "evicted", [None], [None])
+                newest = []
+        for frame in rows:
+            times, timed = _times(frame[self.time])
+            apart = frame[self.order][~timed].tolist()
+            if apart:
+                yield self._told(key, "untimed", apart, [None] * len(apart))
+            newest += list(zip(times[timed].tolist(), frame[self.order][timed].tolist()))
+            newest = sorted(newest)[-self.length :]
+        # What came too late to be remembered is over at once.
+        if newest and self._end(newest) <= now:
+            newest = []
+        if newest:
+            self.entries.put(newest)
+            self.handle.registerTimer(self._end(newest))
+        else:
+            self.entries.clear()
+        listed = [i for _, i in newest[::-1]]
+        yield self._told(key, "kept", listed or [None], list(range(1, len(listed) + 1)) or [None])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.entries.clear()
+        yield self._told(key, "evicted", [None], [None])
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_history(
+    events: DataFrame, key: str = "user_id", time: str = "ts", order: str = "event_id", length: int = HISTORY_LENGTH,
+    ttl_ms: int = HISTORY_TTL_MS, lateness: str = "1 hour",
+) -> DataFrame:
+    """The current history of every key with events in the micro-batch, and every history that ends.
+
+    Columns: key, kind, ``order``, recency. A micro-batch's ``kept`` lines are the whole history of a key (one line
+    without ``order`` when nothing is left). A key whose newest event is ``ttl_ms`` older than the watermark is
+    ``evicted`` by an event-time timer, whether or not it is heard of again; if so, it starts empty. Events without a
+    time are ``untimed`` lines and in no history. Needs the RocksDB state store; runs with any trigger.
+    """
+    schema = T.StructType(
+        [CLIENT_FIELD, T.StructField("kind", T.StringType()), events.schema[order], T.StructField("recency", T.IntegerType())]
+    )
+    # A copy of the time carries no watermark, so the engine drops no event before it is seen here.
+    timed = events.withWatermark(time, lateness).select(_client(key), F.timestamp_micros(F.unix_micros(time)).alias(time), order)
+    told = timed.groupBy(CLIENT).transformWithStateInPandas(
+        ExpiringHistoryProcessor(time, order, length, ttl_ms), schema, outputMode="Append", timeMode="EventTime"
+    )
+    return _decoded(told, events.schema[key])
 
 
 def use_keyed_state(spark: SparkSession) -> None:

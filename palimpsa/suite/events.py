@@ -81,16 +81,35 @@ def _planted_stream(spark, sf_dir, work, parts=3):
     return streams.document_stream(spark, f"{work}/in", 1, planted.schema)
 
 
+FILE_EVENTS = 250_000
+
+
+def _arriving(spark, events, part, work, parts):
+    """Events as a stream whose micro-batches are the values of ``part``, each written as many files as it needs."""
+    files = max(1, -(-events.count() // (parts * FILE_EVENTS)))
+    for n in range(parts):
+        events.filter(part == n).repartition(files).write.mode("append").parquet(f"{work}/in")
+    return streams.event_stream(spark, f"{work}/in", files)
+
+
 def _ordered_stream(spark, sf_dir, work, parts=4):
-    """Events in files by time, the earliest first, one per micro-batch; so state is carried from batch to batch."""
-    events = table(spark, sf_dir, "events")
-    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile(
-        "t", [i / parts for i in range(1, parts)], 0.01
-    )
+    """Events by time, the earliest first; so state is carried from batch to batch. Those without a time come first."""
+    events = _gapped(spark, sf_dir).withColumns({"value": F.lit(None).cast("double"), "props": F.lit(None).cast("string")})
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")]):
-        events.filter((at >= F.lit(low)) & (at < F.lit(high))).coalesce(1).write.mode("append").parquet(f"{work}/in")
-    return streams.event_stream(spark, f"{work}/in", 1)
+    cuts = events.select(at.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
+    part = sum((F.coalesce(at >= F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    return _arriving(spark, events, part, work, parts)
+
+
+QUARTERS = 4
+
+
+def _quartered(spark, sf_dir):
+    """The events with the quarter of the whole time span that they lie in; those without a time are in the first."""
+    events = _gapped(spark, sf_dir).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = events.agg(F.min("t"), F.max("t")).first()
+    quarter = F.coalesce(F.floor((F.col("t") - F.lit(low)) * QUARTERS / F.lit((high or 0) - (low or 0) + 1)), F.lit(0))
+    return events.withColumn("quarter", quarter.cast("int"))
 
 
 def stream_clean(spark, sf_dir):
@@ -119,8 +138,55 @@ def stream_recent(spark, sf_dir):
     history = streams.history_stream(_ordered_stream(spark, sf_dir, work), ttl_ms=None)
     streams.write_batches(history, f"{work}/out", f"{work}/checkpoint", "update").awaitTermination()
     states = spark.read.schema("user_id bigint, event_id bigint, recency int, batch int").parquet(f"{work}/out")
-    last = states.groupBy("user_id").agg(F.max("batch").alias("batch"))
-    return states.join(last, ["user_id", "batch"]).select("user_id", "recency", "event_id")
+    last = states.groupBy(F.col("user_id").alias("whose")).agg(F.max("batch").alias("newest"))
+    same = F.col("user_id").eqNullSafe(F.col("whose")) & (F.col("batch") == F.col("newest"))
+    return states.join(last, same).select("user_id", "recency", "event_id")
+
+
+TTL_DAYS = 3
+
+
+def stream_expiry(spark, sf_dir):
+    """Histories with a time to live. A third of the users is silent in the middle of the time, and starts again empty."""
+    work = _work_dir(spark)
+    streams.use_keyed_state(spark)
+    silent = (F.col("user_id") % 3 == 0) & F.col("quarter").isin(1, 2) & F.col("ts").isNotNull()
+    events = _quartered(spark, sf_dir).filter(~F.coalesce(silent, F.lit(False)))
+    sent = events.select("event_id", "ts", "user_id", "event_type", F.lit(None).cast("double").alias("value"), F.lit("").alias("props"), "quarter")
+    arriving = _arriving(spark, sent, F.col("quarter"), work, QUARTERS)
+    told = streams.expiring_history(arriving, ttl_ms=TTL_DAYS * 86_400_000)
+    streams.write_batches(told, f"{work}/out", f"{work}/checkpoint", "append").awaitTermination()
+    lines = spark.read.schema("user_id bigint, kind string, event_id bigint, recency int, batch int").parquet(f"{work}/out")
+    last = lines.filter("kind <> 'untimed'").groupBy(F.col("user_id").alias("whose")).agg(
+        F.max(F.struct("batch", (F.col("kind") == "kept").alias("alive"))).alias("last")
+    )
+    kept = lines.filter("kind = 'kept' and event_id is not null").join(last, F.col("user_id").eqNullSafe(F.col("whose")))
+    kept = kept.filter(F.col("last.alive") & (F.col("batch") == F.col("last.batch")))
+    evicted = lines.filter("kind = 'evicted'").groupBy("user_id", "kind").agg(F.count("*").cast("int").alias("recency"))
+    apart = lines.filter("kind = 'untimed'").select("user_id", "kind", "event_id", F.lit(None).cast("int").alias("recency"))
+    evicted = evicted.select("user_id", "kind", F.lit(None).cast("bigint").alias("event_id"), "recency")
+    return kept.select("user_id", "kind", "event_id", "recency").unionByName(evicted).unionByName(apart)
+
+
+def stream_closed_windows(spark, sf_dir):
+    """Events per day as windows close, over micro-batches with planted late events and events without a time."""
+    work = _work_dir(spark)
+    streams.use_keyed_state(spark)
+    # Every 13th event arrives one quarter after its time.
+    part = F.least(F.col("quarter") + F.when(F.col("event_id") % 13 == 4, 1).otherwise(0), F.lit(QUARTERS - 1))
+    events = _quartered(spark, sf_dir).withColumn("value", (F.col("event_id") % 5).cast("double")).withColumn("props", F.lit(""))
+    sent = events.withColumn("part", part).select("event_id", "ts", "user_id", "event_type", "value", "props", "part")
+    arriving = _arriving(spark, sent, F.col("part"), work, QUARTERS)
+    counted = arriving.withColumn("points", F.col("value").cast("long"))
+    told = streams.closing_windows(counted, "ts", "event_id", ["points"], 86_400, "1 hour")
+    streams.write_batches(told, f"{work}/out", f"{work}/checkpoint", "append").awaitTermination()
+    lines = spark.read.schema(
+        "window_start bigint, kind string, event_id bigint, n_rows bigint, points bigint, batch int"
+    ).parquet(f"{work}/out")
+    day = F.date_format(F.timestamp_millis("window_start"), "yyyy-MM-dd").alias("day")
+    merged = streams.merged_windows(lines, ["points"]).select(day, "kind", F.lit(None).cast("bigint").alias("event_id"), "n_rows", "points")
+    listed = lines.filter("kind = 'late'").select(day, F.lit("late row").alias("kind"), "event_id", "n_rows", "points")
+    return merged.unionByName(listed)
 
 
 def stream_windows(spark, sf_dir):
@@ -166,13 +232,18 @@ def _throttle_sql(where: str = "", source: str = "events", also: str = "") -> st
         from r join e on e.user_id is not distinct from r.user_id and e.rn = r.rn + 1)"""
 
 
+TIMED_THROTTLE = _throttle_sql(" where ts is not null", "gapped", f"{GAPPED}, ")
+UNTIMED_EVENTS = " union all select event_id, user_id, null from gapped where ts is null"
+QUARTERED = (
+    f"{GAPPED}, timed as (select *, epoch_us(ts) as t from gapped), span as (select min(t) as low, max(t) as high from timed), "
+    "quartered as (select *, coalesce(cast(floor((t - low) * 4.0 / (high - low + 1)) as int), 0) as quarter from timed, span)"
+)
 RANK = "row_number() over (partition by user_id order by ts desc, event_id desc) as recency"
 
 QUERIES = {
     "throttle": (
         throttle,
-        _throttle_sql(" where ts is not null", "gapped", f"{GAPPED}, ") + " select event_id, user_id, accepted from r union all "
-        "select event_id, user_id, null from gapped where ts is null",
+        f"{TIMED_THROTTLE} select event_id, user_id, accepted from r{UNTIMED_EVENTS}",
     ),
     "throttle_with_exemptions": (
         throttle_with_exemptions,
@@ -202,8 +273,43 @@ QUERIES = {
         "cleaned, coalesce(removed_invisible, 0) as removed_invisible, coalesce(removed_keyword, 0) as removed_keyword "
         "from built left join counts using (doc_id)",
     ),
-    "stream_throttle": (stream_throttle, f"{_throttle_sql()} select event_id, user_id, accepted from r"),
-    "stream_recent": (stream_recent, f"select user_id, {RANK}, event_id from events qualify recency <= 50"),
+    "stream_throttle": (stream_throttle, f"{TIMED_THROTTLE} select event_id, user_id, accepted from r{UNTIMED_EVENTS}"),
+    "stream_recent": (
+        stream_recent,
+        f"with {GAPPED} select user_id, row_number() over (partition by user_id order by ts desc nulls last, event_id desc) "
+        "as recency, event_id from gapped qualify recency <= 50",
+    ),
+    "stream_expiry": (
+        stream_expiry,
+        f"with {QUARTERED}, heard as (select * from quartered where ts is null or not coalesce(user_id % 3 = 0, false) or "
+        "quarter not in (1, 2)), batches as (select quarter, max(t) as latest from heard group by quarter), marks as ("
+        "select q.quarter, (select max(latest) // 1000 - 3600000 from batches b where b.quarter < q.quarter) as mark "
+        "from (select unnest(range(5)) as quarter) q), "
+        "turns as (select user_id, quarter, max(t) as newest from heard where t is not null group by all), "
+        f"earlier as (select *, max(newest) over past // 1000 + {TTL_DAYS * 86_400_000} as due from turns "
+        "window past as (partition by user_id order by quarter rows between unbounded preceding and 1 preceding)), "
+        "ends as (select user_id, e.quarter, coalesce(due <= mark, false) as ended from earlier e join marks using (quarter) "
+        f"union all select user_id, 4, max(newest) // 1000 + {TTL_DAYS * 86_400_000} <= (select mark from marks where quarter = 4) "
+        "from turns group by user_id), since as (select user_id, max(quarter) as q from ends where ended group by user_id), "
+        "kept as (select h.user_id, event_id, row_number() over (partition by h.user_id order by t desc, event_id desc) as recency "
+        "from heard h left join since s on s.user_id is not distinct from h.user_id where t is not null and "
+        "h.quarter >= coalesce(s.q, 0) qualify recency <= 50) "
+        "select user_id, 'kept' as kind, event_id, recency from kept union all "
+        "select user_id, 'evicted', null, count(*) from ends where ended group by user_id union all "
+        "select user_id, 'untimed', event_id, null from heard where t is null",
+    ),
+    "stream_closed_windows": (
+        stream_closed_windows,
+        f"with {QUARTERED}, sent as (select event_id, t, event_id % 5 as points, least(quarter + (event_id % 13 = 4)::int, 3) as part, "
+        "t // 86400000000 * 86400000 as start from quartered), marks as (select p.part, "
+        "(select max(t) // 1000 - 3600000 from sent s where s.part < p.part) as mark from (select unnest(range(5)) as part) p), "
+        "judged as (select s.*, case when t is null then 'untimed' when start + 86400000 <= mark then 'late' "
+        "when start + 86400000 <= (select mark from marks where part = 4) then 'closed' else 'open' end as kind "
+        "from sent s join marks using (part)), lines as (select strftime(make_timestamp(start * 1000), '%Y-%m-%d') as day, * from judged) "
+        "select day, kind, cast(null as bigint) as event_id, count(*) as n_rows, cast(sum(points) as bigint) as points "
+        "from lines where kind <> 'open' group by day, kind union all "
+        "select day, 'late row', event_id, 1, points from lines where kind = 'late'",
+    ),
     "stream_windows": (
         stream_windows,
         f"with {BODY}, {COUNTS} select strftime(to_timestamp(1700000000 + doc_id * 3600) at time zone 'UTC', '%Y-%m-%d') as day, "

@@ -219,3 +219,33 @@ def test_counts_up_to_and_comments_translate(texts):
     config = detect.DetectionConfig(keywords=["a{,2}b", "(?#note)c"], use_regex=True, detect_invisible=False)
     rows = detect.findings_table(texts(["aaab c"]), config).orderBy("kw_ord").collect()
     assert [r.matched_text for r in rows] == ["aab", "c"]
+
+
+ALPHABET = "abAB\n İıſKµςΣσßéÉ\U0001F600"
+
+
+def test_many_keywords_equal_one_by_one(texts, monkeypatch):
+    """One pass for all keywords finds what a pass for each finds: overlaps, repeats, folded letters, lines."""
+    rng = random.Random(4)
+    pick = lambda low, high: "".join(rng.choices(ALPHABET, k=rng.randint(low, high)))
+    keywords = [k for k in dict.fromkeys(pick(1, 4).strip() for _ in range(60)) if k] + ["aa", "AA", "aaa", "a"]
+    frame = texts([pick(0, 400) for _ in range(40)] + ["", None, "ba" * 3_000, "aaaa\naaaaa"])
+    for sensitive in (True, False):
+        config = detect.DetectionConfig(keywords=keywords, case_sensitive=sensitive)
+        one_pass = detect.findings_table(frame, config).collect()
+        monkeypatch.setattr(detect, "AUTOMATON_KEYWORDS", 10_000)
+        one_by_one = detect.findings_table(frame, config).collect()
+        monkeypatch.undo()
+        assert len(one_pass) > 1000 and sorted(one_pass) == sorted(one_by_one)
+
+
+def test_ten_thousand_keywords_change_no_plan(texts):
+    def plan(n):
+        config = detect.DetectionConfig([f"word-{i}" for i in range(n)], max_keywords=n, detect_invisible=False)
+        found = detect.findings_table(texts(["a word-7777, word-77 and Word-12"]), config)
+        return found, found._jdf.queryExecution().executedPlan().toString().count("\n")
+
+    small, large = plan(20), plan(10_000)
+    assert small[1] == large[1]
+    found = [(r.keyword, r.position) for r in large[0].orderBy("position", "keyword").collect()]
+    assert found == [(f"word-{n}", 2) for n in (7, 77, 777, 7777)] + [("word-7", 13), ("word-77", 13), ("word-1", 25), ("word-12", 25)]

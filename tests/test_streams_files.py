@@ -112,3 +112,65 @@ def test_code_over_its_limit_has_no_results(spark):
     frame = spark.createDataFrame([("a.py", "# x\n" * 30), ("b.py", "# x\n")], "filename string, code string")
     got = {r.filename: (r.status, r.n_comment_lines) for r in jobs.audit_code(frame, 100).collect()}
     assert got == {"a.py": ("error", None), "b.py": ("ok", 1)}
+
+
+def _sent(spark, folder, batches, schema):
+    """A stream of one micro-batch per list of rows."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _told(spark, stream, folder):
+    streams.use_keyed_state(spark)
+    streams.write_batches(stream, f"{folder}/out", f"{folder}/checkpoint", "append").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").orderBy("batch").collect()
+
+
+DAY = 86_400
+
+
+def test_windows_close_once_and_late_rows_are_listed(spark, tmp_path):
+    batches = [
+        [(1, 10, 1), (2, 2 * DAY, 1), (3, None, 7)], [(4, 50, 1), (5, 5 * DAY, 2)], [(6, 60, 4), (7, 2 * DAY + 7, 5), (8, 6 * DAY, 1)]
+    ]
+    folder = str(tmp_path)
+    _sent(spark, f"{folder}/in", batches, "id long, s long, points long")
+    rows = spark.readStream.schema("id long, s long, points long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    timed = rows.withColumn("ts", F.timestamp_seconds("s"))
+    told = _told(spark, streams.closing_windows(timed, "ts", "id", ["points"]), folder)
+    day = lambda r: None if r.window_start is None else r.window_start // (DAY * 1000)
+    late = sorted((day(r), r.id, r.points, r.batch) for r in told if r.kind == "late")
+    assert late == [(0, 4, 1, 1), (0, 6, 4, 2), (2, 7, 5, 2)]
+    assert [(r.id, r.points) for r in told if r.kind == "untimed"] == [(3, 7)]
+    closed = [(day(r), r.n_rows, r.points) for r in told if r.kind == "closed"]
+    assert sorted(closed) == [(0, 1, 1), (2, 1, 1)]  # days 5 and 6 are still open
+
+
+def test_silent_keys_lose_their_history(spark, tmp_path):
+    a, b = 1, None
+    batches = [
+        [(1, 0, a), (2, 100, a), (3, 0, b), (4, None, a)], [(5, 2 * DAY, b)], [(6, 6 * DAY, a)], [(7, 9 * DAY, a), (8, 100, b)]
+    ]
+    folder = str(tmp_path)
+    _sent(spark, f"{folder}/in", batches, "event_id long, s long, user_id long")
+    rows = spark.readStream.schema("event_id long, s long, user_id long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    told = _told(spark, streams.expiring_history(rows.withColumn("ts", F.timestamp_seconds("s")), ttl_ms=3 * DAY * 1000), folder)
+    assert [(r.user_id, r.event_id) for r in told if r.kind == "untimed"] == [(a, 4)]
+    kept = {}
+    for r in told:
+        if r.kind == "kept":
+            kept.setdefault((r.batch, r.user_id), []).append(r.event_id)
+    assert kept == {
+        (0, a): [2, 1], (0, b): [3], (1, b): [5, 3], (2, a): [6, 2, 1], (3, a): [7, 6, 2, 1], (3, b): [None]
+    }
+    assert [(r.user_id, r.batch) for r in told if r.kind == "evicted"] == [(b, 3)]
+
+
+def test_events_without_a_time_are_not_judged(spark, tmp_path):
+    folder = str(tmp_path)
+    schema = "event_id long, s long, user_id long"
+    _sent(spark, f"{folder}/in", [[(1, None, 1), (2, 5, 1), (3, 6, 1)], [(4, None, None), (5, 7, None)]], schema)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    told = _told(spark, streams.throttled_stream(rows.withColumn("ts", F.timestamp_seconds("s")), limit=1), folder)
+    verdicts = {r.event_id: (r.user_id, r.accepted) for r in told}
+    assert verdicts == {1: (1, None), 2: (1, True), 3: (1, False), 4: (None, None), 5: (None, True)}
