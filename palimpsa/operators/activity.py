@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# History length, dashboard length, request limit and its window.
+# History length, dashboard length, request limit and its window, and how long a silent session lives.
 HISTORY_LENGTH = 50
 DASHBOARD_LENGTH = 25
 REQUEST_LIMIT = 10
 WINDOW_SECONDS = 60
+SESSION_GAP = "7 days"
 
 
 def latest(events: DataFrame, key: str, order: list[Column], n: int = HISTORY_LENGTH) -> DataFrame:
@@ -30,6 +31,24 @@ def active_keys(events: DataFrame, key: str) -> DataFrame:
     return events.agg(F.count_distinct(key).alias("n_active"))
 
 
+def gap_sessions(events: DataFrame, key: str, time: str, gap: str = SESSION_GAP) -> DataFrame:
+    """Sessions per key: runs of events of which none is more than ``gap`` after the one before it.
+
+    Columns: key, session_start, session_end (the last event's time plus the gap, when the session is over), n_events.
+    Partial sessions are merged before the shuffle. A missing key is a key; events without a time are in no session.
+    On a stream, give ``time`` a watermark: a session is told once, when the watermark passes its end.
+    """
+    counted = events.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n_events"))
+    return counted.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
+
+
+def open_sessions(sessions: DataFrame) -> DataFrame:
+    """How many sessions are open on each day, from the day of their start to that of their end."""
+    first, last = F.to_date("session_start"), F.to_date("session_end")
+    days = sessions.select(F.explode(F.sequence(first, last)).alias("day"))
+    return days.groupBy("day").agg(F.count("*").alias("n_open"))
+
+
 def admit(times: np.ndarray, recent: list[int], limit: int, window: int) -> tuple[np.ndarray, list[int]]:
     """Which sorted times are admitted, given the last admitted ones; also the new last ones.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsa.functions.texts import is_blank
+from palimpsa.session import written
 
 # Size limits.
 MAX_TEXT_CHARS = 200_000
@@ -65,34 +66,32 @@ def flag_oversized_batches(files: DataFrame, batch: str = "batch", cap: int = MA
     )
 
 
-def running_total(
-    rows: DataFrame, key: str, order: str, value: str, out: str, chunk_rows: int = 1024
-) -> DataFrame:
-    """Cumulative sum per key in the order of a whole-number column, safe for a hot key.
+def running_total(rows: DataFrame, key: str, order: str, value: str, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Cumulative sum per key in the order of a column, safe for a hot key.
 
-    Each key's span of the order is cut into stretches of about ``chunk_rows`` rows. Rows are windowed per (key,
-    stretch), and the totals of stretches, which are fewer by the chunk size, per key. A missing key is a key of its
-    own; rows without an order come first in their key.
+    Rows are dealt by ranges of (key, order, ties, row): bounds are quantiles of the rows themselves, so neither an
+    outlying order, nor a key with most rows, nor a third of them without an order makes one range long. The ranges
+    are written in order once; each is summed by itself and starts from the total of the key's earlier ranges, one
+    line for each. A missing key is a key of its own; rows without an order come first in their key, and rows equal
+    in order and ``ties`` stand in any one order.
     """
-    spans = rows.groupBy(F.col(key).alias("_key")).agg(
-        F.min(order).alias("_low"), (F.max(order) - F.min(order) + 1).cast("double").alias("_span"),
-        F.ceil(F.count("*") / chunk_rows).alias("_pieces"),
-    )
-    chunked = rows.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
-        "_chunk", F.coalesce(F.floor((F.col(order) - F.col("_low")) / F.col("_span") * F.col("_pieces")), F.lit(-1))
-    ).drop("_key", "_low", "_span", "_pieces")
-    totals = chunked.groupBy(F.col(key).alias("_key"), F.col("_chunk").alias("_at")).agg(F.sum(value).alias("_total"))
+    numbered = rows.withColumn("_salt", F.monotonically_increasing_id())
+    by = [key, order, *ties, "_salt"]
+    sorted_rows = numbered.repartitionByRange(*by).sortWithinPartitions(*by).drop("_salt")
+    placed = written(sorted_rows.withColumn("_seq", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("_range", F.shiftright("_seq", 33))
+    totals = placed.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_key", "_at", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     inside = (
-        Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(key, "_range").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_at"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at"))
     return (
-        chunked.withColumn("_inside", F.sum(value).over(inside))
+        placed.withColumn("_inside", F.sum(value).over(inside))
         .join(offsets, same)
         .withColumn(out, F.col("_inside") + F.col("_offset"))
-        .drop("_chunk", "_inside", "_offset", "_key", "_at")
+        .drop("_seq", "_range", "_inside", "_offset", "_key", "_at")
     )
 
 

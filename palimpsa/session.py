@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +44,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="palimpsa-checkpoint-"))
     return _fallback[0]
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """A step as files of the shared folder, read back: what is drawn or numbered in it is fixed from here on."""
+    path = f"{checkpoint_dir(frame.sparkSession).rstrip('/')}/palimpsa-{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    jvm = frame.sparkSession.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.operators.validate import split_quarantine
+from palimpsa.operators.validate import running_total, split_quarantine
+from palimpsa.session import written
+
+PACK_BYTES = 128 * 1024 * 1024
 
 
 def clean_name(filename: Column) -> Column:
@@ -51,3 +54,23 @@ def write_split(checked: DataFrame, ok_path: str, quarantine_path: str) -> None:
     accepted, refused = split_quarantine(checked)
     accepted.drop("status", "message").write.mode("overwrite").parquet(ok_path)
     refused.write.mode("overwrite").parquet(quarantine_path)
+
+
+def write_packs(
+    documents: DataFrame, path: str, group: str, order: str, text: str = "text", pack_bytes: int = PACK_BYTES
+) -> None:
+    """Texts as files by ``group``, each of about ``pack_bytes``, whatever the size of a group or of its texts.
+
+    A text goes where it begins in the run of its group's bytes, in the order of ``order`` (which tells the texts of a
+    group apart): a pack goes over its size by less than its last text. Sizes are summed on thin rows; texts move once
+    to meet their pack's number and once to their file, and no task holds a group.
+    """
+    size = F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1
+    thin = documents.select(F.col(group).alias("_group"), F.col(order).alias("_order"), size.cast("long").alias("_size"))
+    placed = running_total(thin, "_group", "_order", "_size", "_end")
+    pack = F.floor((F.col("_end") - F.col("_size")) / pack_bytes).cast("long")
+    packs = written(placed.select("_group", "_order", pack.alias("pack")), "packs")
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col(order).eqNullSafe(F.col("_order"))
+    dealt = documents.join(packs, same).select(group, "pack", F.col(text).alias("value"))
+    files = packs.select("_group", "pack").distinct().count()
+    dealt.repartition(max(1, files), group, "pack").write.partitionBy(group, "pack").text(path)

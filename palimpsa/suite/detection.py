@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsa.functions import chars
-from palimpsa.operators import clean, detect
+from palimpsa.operators import clean, detect, heavy
 from palimpsa.operators.detect import DetectionConfig
 from palimpsa.plans import jobs
 from palimpsa.suite import sqltext as q
@@ -58,6 +58,19 @@ def many_keywords(spark, sf_dir):
     return detect.findings_table(marked(spark, sf_dir), MANY).select("doc_id", "keyword", "position")
 
 
+HEAVY_SIZE, HEAVY_PARTS = 12, 4
+
+
+def frequent_characters(spark, sf_dir):
+    """Bounds of how often each source holds its most frequent characters, from summaries of four parts of the corpus."""
+    letters = marked(spark, sf_dir).select(
+        "source", (F.col("doc_id") % HEAVY_PARTS).alias("part"), F.explode(F.split("text", "")).alias("letter")
+    )
+    counts = letters.groupBy("part", "source", "letter").agg(F.count("*").alias("n"))
+    summaries = heavy.summarize(counts, "part", "source", "letter", "n", HEAVY_SIZE)
+    return heavy.merge(summaries, "part", "source", "letter", "n")
+
+
 def rejected_patterns(spark, sf_dir):
     """What did not run stands beside what was found."""
     found = detect.add_findings(marked(spark, sf_dir), REGEX)
@@ -281,6 +294,17 @@ QUERIES = {
         many_keywords,
         f"with {P} select doc_id, lower(m) as keyword, position from ({q.sites('planted', 'text', '(?i)wm-0[0-9]{2}')})",
     ),
+    "frequent_characters": (
+        frequent_characters,
+        f"with {P}, counts as (select source, doc_id % {HEAVY_PARTS} as part, letter, count(*) as n "
+        "from (select source, doc_id, unnest(string_split(text, '')) as letter from planted) group by all), "
+        "ranked as (select *, row_number() over (partition by part, source order by n desc, letter) as rank from counts), "
+        f"bounds as (select part, source, coalesce(max(n) filter (rank = {HEAVY_SIZE + 1}), 0) as left_out from ranked group by all), "
+        "whole as (select source, sum(left_out) as missed from bounds group by source), "
+        f"kept as (select source, letter, sum(n) as lower, sum(left_out) as own from ranked join bounds using (part, source) "
+        f"where rank <= {HEAVY_SIZE} group by all) select source, letter, cast(lower as bigint) as lower, "
+        "cast(lower + missed - own as bigint) as upper, cast(missed as bigint) as missed from kept join whole using (source)",
+    ),
     "rejected_patterns": (
         rejected_patterns,
         f"with {P} select doc_id, len(regexp_extract_all(text, '(?i)WM-[0-9]{{4}}')) + len(regexp_extract_all(text, '(?i)conf[a-z]+')) "

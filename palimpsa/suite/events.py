@@ -143,6 +143,31 @@ def stream_recent(spark, sf_dir):
     return states.join(last, same).select("user_id", "recency", "event_id")
 
 
+def _with_silence(spark, sf_dir):
+    """A third of the users is silent in the middle of the time."""
+    silent = (F.col("user_id") % 3 == 0) & F.col("quarter").isin(1, 2) & F.col("ts").isNotNull()
+    return _quartered(spark, sf_dir).filter(~F.coalesce(silent, F.lit(False)))
+
+
+def session_days(spark, sf_dir):
+    """Open sessions by day; a session ends when nothing is heard for seven days."""
+    timed = _with_silence(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = activity.open_sessions(activity.gap_sessions(timed, "user_id", "ts"))
+    return counted.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n_open")
+
+
+def stream_sessions(spark, sf_dir):
+    """Sessions as a stream closes them, over several micro-batches."""
+    work = _work_dir(spark)
+    sent = _with_silence(spark, sf_dir).select(
+        "event_id", "ts", "user_id", "event_type", F.lit(None).cast("double").alias("value"), F.lit("").alias("props"), "quarter"
+    )
+    arriving = _arriving(spark, sent, F.col("quarter"), work, QUARTERS).withWatermark("ts", "1 hour")
+    streams.append_to(activity.gap_sessions(arriving, "user_id", "ts"), f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    told = spark.read.schema("user_id bigint, session_start timestamp, session_end timestamp, n_events bigint").parquet(f"{work}/out")
+    return told.select("user_id", F.unix_micros("session_start").alias("first"), F.unix_micros("session_end").alias("over"), "n_events")
+
+
 TTL_DAYS = 3
 
 
@@ -150,9 +175,9 @@ def stream_expiry(spark, sf_dir):
     """Histories with a time to live. A third of the users is silent in the middle of the time, and starts again empty."""
     work = _work_dir(spark)
     streams.use_keyed_state(spark)
-    silent = (F.col("user_id") % 3 == 0) & F.col("quarter").isin(1, 2) & F.col("ts").isNotNull()
-    events = _quartered(spark, sf_dir).filter(~F.coalesce(silent, F.lit(False)))
-    sent = events.select("event_id", "ts", "user_id", "event_type", F.lit(None).cast("double").alias("value"), F.lit("").alias("props"), "quarter")
+    sent = _with_silence(spark, sf_dir).select(
+        "event_id", "ts", "user_id", "event_type", F.lit(None).cast("double").alias("value"), F.lit("").alias("props"), "quarter"
+    )
     arriving = _arriving(spark, sent, F.col("quarter"), work, QUARTERS)
     told = streams.expiring_history(arriving, ttl_ms=TTL_DAYS * 86_400_000)
     streams.write_batches(told, f"{work}/out", f"{work}/checkpoint", "append").awaitTermination()
@@ -238,6 +263,17 @@ QUARTERED = (
     f"{GAPPED}, timed as (select *, epoch_us(ts) as t from gapped), span as (select min(t) as low, max(t) as high from timed), "
     "quartered as (select *, coalesce(cast(floor((t - low) * 4.0 / (high - low + 1)) as int), 0) as quarter from timed, span)"
 )
+HEARD = (
+    f"{QUARTERED}, heard as (select * from quartered where ts is null or not coalesce(user_id % 3 = 0, false) or "
+    "quarter not in (1, 2))"
+)
+WEEK = 7 * 86_400_000_000
+SESSIONS = (
+    f"{HEARD}, marked as (select user_id, t, coalesce(t - lag(t) over own > {WEEK}, true) as begins from heard where t is not null "
+    "window own as (partition by user_id order by t)), numbered as (select *, sum(begins::int) over (partition by user_id order by t) "
+    f"as session from marked), sessions as (select user_id, min(t) as first, max(t) + {WEEK} as over_at, count(*) as n_events "
+    "from numbered group by user_id, session)"
+)
 RANK = "row_number() over (partition by user_id order by ts desc, event_id desc) as recency"
 
 QUERIES = {
@@ -279,10 +315,19 @@ QUERIES = {
         f"with {GAPPED} select user_id, row_number() over (partition by user_id order by ts desc nulls last, event_id desc) "
         "as recency, event_id from gapped qualify recency <= 50",
     ),
+    "session_days": (
+        session_days,
+        f"with {SESSIONS} select strftime(day, '%Y-%m-%d') as day, count(*) as n_open from (select unnest(generate_series("
+        "date_trunc('day', make_timestamp(first)), date_trunc('day', make_timestamp(over_at)), interval 1 day)) as day from sessions) group by day",
+    ),
+    "stream_sessions": (
+        stream_sessions,
+        f"with {SESSIONS} select user_id, first, over_at as over, n_events from sessions "
+        "where over_at // 1000 <= (select max(t) // 1000 - 3600000 from heard)",
+    ),
     "stream_expiry": (
         stream_expiry,
-        f"with {QUARTERED}, heard as (select * from quartered where ts is null or not coalesce(user_id % 3 = 0, false) or "
-        "quarter not in (1, 2)), batches as (select quarter, max(t) as latest from heard group by quarter), marks as ("
+        f"with {HEARD}, batches as (select quarter, max(t) as latest from heard group by quarter), marks as ("
         "select q.quarter, (select max(latest) // 1000 - 3600000 from batches b where b.quarter < q.quarter) as mark "
         "from (select unnest(range(5)) as quarter) q), "
         "turns as (select user_id, quarter, max(t) as newest from heard where t is not null group by all), "

@@ -13,9 +13,9 @@ from palimpsa.plans import jobs
 from palimpsa.session import checkpoint_dir
 from palimpsa.sources import documents as docs
 from palimpsa.sources import files as raw
+from palimpsa.sources import sinks
 from palimpsa.suite import sqltext as q
 from palimpsa.suite.corpus import documents, files, files_sql, marked, marked_sql, prose, prose_sql, table
-from palimpsa.sources import sinks
 from palimpsa.suite.detection import BODY, CONFIG, COUNTS
 
 P = marked_sql()
@@ -77,9 +77,13 @@ def score_before_after(spark, sf_dir):
     )
 
 
+CHANGED = "replace(replace(text, ', ', '. '), 'destacar', 'decir')"
+
+
 def band_transitions(spark, sf_dir):
-    base = prose(spark, sf_dir).withColumn("original", F.expr("substring_index(text, '\\n\\n', 1)"))
-    return style.band_transitions(style.compare(base, "text", "original"))
+    """Bands of whole texts before and after a change of all their commas and one phrase."""
+    changed = prose(spark, sf_dir).withColumn("changed", F.expr(CHANGED))
+    return style.band_transitions(style.compare(changed, "text", "changed"))
 
 
 def _broken():
@@ -200,14 +204,13 @@ def default_filenames(spark, sf_dir):
     return named.groupBy("filename").agg(F.count("*").alias("n"))
 
 
-FILE_ROWS = 100
+PACK = 100_000
 
 
 def _text_files(spark, sf_dir):
-    """The planted corpus as text files in the shared folder, by source, of at most 100 documents each."""
+    """The planted corpus as text files in the shared folder, by source, in packs of about 100 kB."""
     path = f"{checkpoint_dir(spark)}/palimpsa-{uuid.uuid4().hex}"
-    rows = marked(spark, sf_dir).select("source", F.col("text").alias("value")).repartition("source")
-    rows.write.partitionBy("source").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    sinks.write_packs(marked(spark, sf_dir).select("source", "doc_id", "text"), path, "source", "doc_id", pack_bytes=PACK)
     return path
 
 
@@ -372,7 +375,7 @@ QUERIES = {
     ),
     "band_transitions": (
         band_transitions,
-        f"with {prose_sql()}, {_two_scores('prose', 'text', 'split_part(text, chr(10) || chr(10), 1)')}, "
+        f"with {prose_sql()}, {_two_scores('prose', 'text', CHANGED)}, "
         f"b as (select {BAND.format('score_before')} as band_before, {BAND.format('score_after')} as a from pair) "
         "select band_before, count(*) filter (a = 'low') as low, count(*) filter (a = 'medium') as medium, "
         "count(*) filter (a = 'high') as high from b group by band_before",
@@ -450,8 +453,10 @@ QUERIES = {
     ),
     "scanned_files": (
         scanned_files,
-        f"with {P} select source, 'txt' as file_type, cast(ceil(count(*) / 100.0) as bigint) as n_files, "
-        "cast(sum(strlen(text) + 1) as bigint) as bytes from planted group by source",
+        f"with {P}, placed as (select source, strlen(text) + 1 as size, "
+        "sum(strlen(text) + 1) over (partition by source order by doc_id) as done from planted) "
+        f"select source, 'txt' as file_type, count(distinct (done - size) // {PACK}) as n_files, "
+        "cast(sum(size) as bigint) as bytes from placed group by source",
     ),
     "file_findings": (
         file_findings,
