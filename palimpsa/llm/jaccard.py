@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import settle, text_slices, whole
+from palimpsa.llm.common import discard, release, settle, text_slices, whole
 from palimpsa.llm.components import components
 from palimpsa.llm.shingles import set_key, shingle_sets
 
@@ -20,6 +20,7 @@ CHUNK = 1 << 14
 MIN_WIDTH, MAX_WIDTH = 512, 8192  # bits of a signature
 BLOCK = 2048  # entries of a tile's side
 BROADCAST_PAIRS = 500_000  # 32 bytes each
+SLICE = 1 << 19  # bytes of text that a task shingles at a time, if they are more than one text
 SEEN = 50_000  # sets that a task remembers so as not to repeat their entries
 
 
@@ -115,31 +116,33 @@ def _describe(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int32)
-        for part in text_slices(batches, "_text"):
+        for part in text_slices(batches, "_text", SLICE):
             sets = shingle_sets(part.column("_text"), words)
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts)).astype(np.int32)
+            for values in sets:
+                np.add.at(counts, (values >> shift).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("_key"),
+                    part.column("_hash"),
                     pa.array([len(v) for v in sets], pa.int64()),
                     pa.array([set_key(v) for v in sets], pa.binary()),
                     pa.array([signature(v) for v in sets], pa.binary()),
                     pa.array([-1] * len(sets), pa.int32()),
                 ],
-                ["_key", "_n", "_set", "_bits", "_chunk"],
+                ["_key", "_hash", "_n", "_set", "_bits", "_chunk"],
             )
         chunks = counts.reshape(-1, CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [
+                pa.nulls(len(used), pa.int64()),
                 pa.nulls(len(used), pa.int64()),
                 pa.array([0] * len(used), pa.int64()),
                 pa.array([b""] * len(used), pa.binary()),
                 pa.array([chunks[i].astype(np.min_scalar_type(chunks[i].max())).tobytes() for i in used], pa.binary()),
                 pa.array(used.astype(np.int32), pa.int32()),
             ],
-            ["_key", "_n", "_set", "_bits", "_chunk"],
+            ["_key", "_hash", "_n", "_set", "_bits", "_chunk"],
         )
 
     return run
@@ -168,7 +171,7 @@ def _entries(words: int, rule: Threshold, counters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         counts = counters.value
-        for part in text_slices(batches, "_text"):
+        for part in text_slices(batches, "_text", SLICE):
             tokens, keys = [], []
             for values in shingle_sets(part.column("_text"), words):
                 n = len(values)
@@ -244,7 +247,7 @@ def _neighbours(rule: Threshold):
 
 
 PAIR = "a binary, b binary"
-SIGNED = "_set binary, _n long, _bits binary"
+SIGNED = "_set binary, _n long, _bits binary, _hash long"
 TILE = ["_token", "_band", "_low", "_high"]
 
 
@@ -346,15 +349,23 @@ def _verified(words: int, rule: Threshold):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, words: int, rule: Threshold) -> DataFrame:
-    """The pairs that link. Texts that no pair needs stay where they are, as long as the counted pairs can be broadcast."""
+def _links(pairs: DataFrame, rows: DataFrame, signed: DataFrame, words: int, rule: Threshold, name: str) -> DataFrame:
+    """The pairs that link. Only texts that they need are fetched, by a hash of the text; the others stay in place."""
     pairs = settle(pairs, "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+    hashes = needed.join(signed.select("_set", "_hash"), "_set").select("_hash").distinct()
     if pairs.count() <= BROADCAST_PAIRS:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
-        texts = texts.join(F.broadcast(needed), "_set", "left_semi")
+        needed, hashes = F.broadcast(needed), F.broadcast(hashes)
+    fetched = rows.select("_hash", "_text").join(hashes, "_hash", "left_semi").select("_text")
+    # Another text may have the hash of a needed one, so the sets decide.
+    named = fetched.mapInArrow(_named(words), "_set binary, _text string").join(needed, "_set", "left_semi")
+    texts = settle(named.dropDuplicates(["_set"]), "texts")
     sides = [texts.select(F.col("_set").alias(s), F.col("_text").alias(f"_text_{s}")) for s in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "_text_a", "_text_b")
-    return joined.mapInArrow(_verified(words, rule), PAIR)
+    links = settle(joined.mapInArrow(_verified(words, rule), PAIR), name)
+    discard(pairs, texts)
+    release(pairs.sparkSession)
+    return links
 
 
 def similarity_classes(
@@ -380,8 +391,8 @@ def similarity_classes(
     """
     rule = Threshold(*similarity)
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("_key"), whole(text).alias("_text"))
-    shape = "_key long, _n long, _set binary, _bits binary, _chunk int"
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(whole(text)).alias("_hash"), whole(text).alias("_text"))
+    shape = "_key long, _hash long, _n long, _set binary, _bits binary, _chunk int"
     described = settle(rows.mapInArrow(_describe(words), shape), "sets")
     thin = described.filter("_chunk < 0").select("_key", "_n", "_set")
     chunks = described.filter("_chunk >= 0").select("_chunk", "_bits").repartition("_chunk")
@@ -395,11 +406,10 @@ def similarity_classes(
     entries = settle(
         sorted_entries.mapInArrow(_neighbours(rule), "_token long, _set binary, _n long, _before binary"), "entries"
     )
+    release(spark)
     wanted = entries.select("_set").distinct()
-    named = rows.mapInArrow(_named(words), "_set binary, _text string")
-    texts = settle(named.join(wanted, "_set", "left_semi").dropDuplicates(["_set"]), "texts")
 
-    signed = described.filter("_n > 0").select("_set", "_n", "_bits").join(wanted, "_set", "left_semi")
+    signed = described.filter("_n > 0").select("_set", "_n", "_bits", "_hash").join(wanted, "_set", "left_semi")
     signed = settle(signed.dropDuplicates(["_set"]).mapInArrow(_shortened, f"{SIGNED}, _short binary"), "signed")
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -412,7 +422,7 @@ def similarity_classes(
         F.least("_set", "_before").alias("a"), F.greatest("_set", "_before").alias("b")
     )
     heads = heads.groupBy("a", "b").agg(F.count("*").alias("_shared")).filter("_shared > 1").select("a", "b")
-    first = settle(_links(possible(heads), texts, words, rule), "first-links")
+    first = _links(possible(heads), rows, signed, words, rule, "first-links")
     roots = components(first)
 
     def swept(roots: DataFrame, one_each: bool) -> DataFrame:
@@ -442,7 +452,7 @@ def similarity_classes(
         )
         found = tiles.mapInArrow(_tiles(rule, one_each), PAIR)
         candidates = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return settle(_links(possible(candidates), texts, words, rule), "tile-links")
+        return _links(possible(candidates), rows, signed, words, rule, "tile-links")
 
     # One partner for each member first: it joins what is left of large groups, so that the whole sweep finds few pairs.
     links = first.unionByName(swept(roots, one_each=True))
@@ -467,7 +477,7 @@ def _named(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for part in text_slices(batches, "_text"):
+        for part in text_slices(batches, "_text", SLICE):
             keys = [set_key(v) for v in shingle_sets(part.column("_text"), words)]
             fresh = []
             for k in keys:
