@@ -25,7 +25,7 @@ LITERAL = 0x110000  # stands for that sign itself in a text, so that it is not t
 UNKNOWN_PENALTY = 10.0
 NEVER = np.int64(2**62)
 FACTOR = np.uint64(0x100000001B3)
-SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
+SLICE_BYTES, SLICE_ROWS = 3 << 19, 2048
 
 
 @dataclass(frozen=True)
