@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import discard, release, settle, text_slices, whole
+from palimpsa.llm.common import discard, release, settle, text_slices, tidy, whole
 from palimpsa.llm.components import components
 from palimpsa.llm.shingles import set_key, shingle_sets
 
@@ -144,6 +144,8 @@ def _describe(words: int):
             ],
             ["_key", "_hash", "_n", "_set", "_bits", "_chunk"],
         )
+        del chunks, counts
+        tidy()
 
     return run
 
@@ -190,6 +192,7 @@ def _entries(words: int, rule: Threshold, counters):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens)), to_keys(names), pa.array(sizes)], ["_token", "_set", "_n"]
                 )
+        tidy()
 
     return run
 

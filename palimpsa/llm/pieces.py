@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import GOLD, mix
+from palimpsa.llm.common import GOLD, mix, tidy
 from palimpsa.llm.streams import array_slices
 
 MARK = 0x2581  # stands for a blank inside pieces
@@ -366,6 +366,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", into: str = "
                 yield pc.if_else(missing, pa.scalar(None, values_list.type), values_list)
             else:
                 yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        tidy()
 
     encoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(into, F.arrow_udf(encoded, "array<int>")(F.col(text)))

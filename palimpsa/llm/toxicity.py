@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import settle, whole
+from palimpsa.llm.common import settle, tidy, whole
 from palimpsa.llm.streams import array_slices, gram_hashes, letter_stream, letter_table
 
 ORDERS = range(5, 7)
@@ -97,6 +97,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if found[label]:
                     grams, n = np.unique(np.concatenate(found[label]), return_counts=True)
                     yield pd.DataFrame({"_gram": grams, "_toxic": 0, "_clean": 0} | {name: n})
+    tidy()
 
 
 def _solved(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, float]:
@@ -247,6 +248,7 @@ def add_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text
                     raw = np.bincount(row, own.weights[feature], minlength=len(part)) + own.bias
                 out.append(1 / (1 + np.exp(-raw)) if own else raw)
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        tidy()
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(into, F.arrow_udf(scored, "double")(whole(text)))
