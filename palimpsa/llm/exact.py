@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from palimpsa.llm.common import settle, whole
 
 PREFIX_CHARS = 64
+BROADCAST_CLASSES = 1 << 19  # 12 bytes each
 
 
-def _refined(rows: DataFrame, text: Column, prefix_chars: int, digest_all: bool) -> DataFrame:
-    """Rows with a ``_key`` and the text in some column, plus ``_sha``, ``_keep``, ``_members`` and ``_kept``."""
+def _refined(rows: DataFrame, text: Column, prefix_chars: int, digest_all: bool, thin: list[str] | None = None) -> DataFrame:
+    """Rows with a ``_key`` and the text in some column, plus ``_sha``, ``_again`` and ``_row``.
+
+    With ``thin`` only those columns are kept, and no text meets an exchange: where classes are too many to broadcast,
+    whole texts are hashed in the scan, before rows meet their classes.
+    """
     sized = rows.withColumns({"_size": F.octet_length(text), "_prefix": F.xxhash64(F.substring(text, 1, prefix_chars))})
     # Levels 1 and 2: lengths, then prefixes within them, that more than one row has. Summed first, no text moves.
     lengths = sized.groupBy("_size").agg(F.count("*").alias("_n")).filter("_n > 1").select("_size")
@@ -25,14 +30,25 @@ def _refined(rows: DataFrame, text: Column, prefix_chars: int, digest_all: bool)
     # Written, so that the join has plain exchanges on both sides: only then can a hot class be split.
     classes = settle(classes, "classes")
     # Level 3: whole texts of the classes that are left.
+    sha = F.sha2(text.cast("binary"), 256)
+    if thin is not None:
+        few = classes.count() <= BROADCAST_CLASSES
+        early = digest_all or not few
+        sized = sized.select(*thin, "_size", "_prefix", sha.alias("_sha")) if early else sized
+        met = sized.join(F.broadcast(classes) if few else classes, ["_size", "_prefix"], "left")
+        sha = F.col("_sha") if early else sha
+    else:
+        met = sized.join(classes, ["_size", "_prefix"], "left")
     wanted = F.lit(True) if digest_all else F.col("_again")
-    marked = sized.join(classes, ["_size", "_prefix"], "left").withColumns(
+    marked = met.withColumns(
         {
             "_again": F.coalesce("_again", F.lit(False)),
-            "_sha": F.when(wanted, F.sha2(text.cast("binary"), 256)),
+            "_sha": F.when(wanted, sha),
             "_row": F.monotonically_increasing_id(),
         }
     )
+    if thin is not None:
+        marked = marked.select(*thin, "_size", "_prefix", "_again", "_sha", "_row")
     return settle(marked, "exact")
 
 
@@ -63,11 +79,11 @@ def exact_groups(
     Only rows that share length and prefix with another get their whole text hashed; for the others
     ``text_sha256`` is null unless ``digest_all``. Other columns are ignored. An empty table gives an empty table.
 
-    Shuffles: counts per length and per prefix (summed before they move), one join of rows to the classes that occur
-    more than once, one of thin rows to their groups. Rows are on the streamed side of both, which adaptive joins split.
+    Shuffles: counts per length and per prefix (summed before they move), one join of thin rows to the classes that occur
+    more than once, one to their groups. Texts never move. Rows are on the streamed side of both, which adaptive joins split.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    marked = _refined(rows, whole("_text"), prefix_chars, digest_all).drop("_text")
+    marked = _refined(rows, whole("_text"), prefix_chars, digest_all, thin=["_key"])
     return _met(marked).select(
         F.col("_key").alias(key), F.col("_keep").alias("keep_id"), F.col("_members").alias("group_size"),
         F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ FEATURES = 1024
 SAMPLE = 6000  # labelled rows of each class, about
 RIDGE = 1e-4
 FAIRNESS = 10.0  # weight of the counterfactual penalty
+PAIRS = 4  # sentences of a drawn text, at most, that counterfactual pairs are made of
 STEPS = 20  # Newton steps at most
 THRESHOLD = 0.3
 
@@ -46,6 +48,8 @@ IDENTITIES = (
 )
 NEXT_TERM = {t: group[(i + 1) % len(group)] for group in IDENTITIES for i, t in enumerate(group)}
 TERM = re.compile(r"\b(?:" + "|".join(sorted(NEXT_TERM, key=len, reverse=True)) + r")\b", re.I)
+TERMS = tuple(NEXT_TERM)
+SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 @dataclass(frozen=True)
@@ -53,6 +57,7 @@ class ToxicityModel:
     grams: np.ndarray  # the hash of each feature, no two with the same first bits
     weights: np.ndarray
     bias: float
+    pairs: int = 0  # counterfactual pairs of sentences that it was fitted with
 
     def lookup(self) -> tuple[np.ndarray, np.ndarray]:
         """First bits of a hash to its feature (-1 where there is none), and the hashes of features."""
@@ -67,6 +72,25 @@ def swapped(text: str) -> str | None:
     return out if n else None
 
 
+def counterfactuals(text: str, most: int = PAIRS) -> list[tuple[str, str]]:
+    """Pairs of sentences that differ in their identity terms only, from up to ``most`` sentences of the text.
+
+    Sentences that name a group come first, with their terms swapped. In others a slot between two words, drawn by a hash
+    of the sentence, is filled with a term and with the next of its group. A text without words is the slot alone.
+    """
+    found = {s.strip(): None for s in SENTENCE.findall(text)}
+    drawn = sorted(found, key=lambda s: (TERM.search(s) is None, zlib.crc32(s.encode("utf-8", "replace")), s))
+    pairs = []
+    for sentence in [s for s in drawn if s][:most] or [""]:
+        other = swapped(sentence)
+        if other is None:
+            words, draw = sentence.split(), zlib.crc32(sentence.encode("utf-8", "replace"))
+            at, term = draw % (len(words) + 1), TERMS[draw // (len(words) + 1) % len(TERMS)]
+            sentence, other = (" ".join([*words[:at], t, *words[at:]]) for t in (term, NEXT_TERM[term]))
+        pairs.append((sentence, other))
+    return pairs
+
+
 def text_features(
     texts: list[str], letters: np.ndarray, lookup: tuple[np.ndarray, np.ndarray]
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -101,13 +125,11 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _solved(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps; ``change``: feature changes of swapped texts."""
+    """Logistic regression by Newton steps; ``change``: mean outer product of the feature changes of pairs."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    change = np.hstack([change, np.zeros((len(change), 1), np.float32)])
     share = (weight / weight.sum()).astype(np.float32)
     held = np.diag(np.append(np.full(x.shape[1] - 1, RIDGE), 1e-9))
-    if len(change):
-        held += 2 * FAIRNESS / len(change) * (change.T @ change).astype(np.float64)
+    held[:-1, :-1] += 2 * FAIRNESS * change
 
     def loss(w: np.ndarray) -> float:
         raw = x @ w.astype(np.float32)
@@ -136,8 +158,9 @@ def fit_toxicity(
 
     About ``sample`` rows of each class are used, drawn by a hash of the key, whole texts each, and weighted so that
     classes count as in all rows. Features are the ``FEATURES`` letter 5- and 6-grams whose log-odds between
-    toxic and other rows are surely the greatest. The loss adds ``FAIRNESS`` times the mean squared change of the raw score when the identity
-    terms of a drawn text are swapped.
+    toxic and other rows are surely the greatest. The loss adds ``FAIRNESS`` times the mean squared change of the raw
+    score between the sentences of a pair (``counterfactuals``, up to ``PAIRS`` sentences of each drawn text), over the pairs
+    that differ in any feature. ``pairs`` of the model counts all of them; it is never 0.
     """
     rows = labelled.select(F.col(label).cast("int").alias("_label"), whole(text).alias("_text"), F.xxhash64(key).alias("_draw"))
     rows = rows.filter("_label in (0, 1)")
@@ -196,36 +219,46 @@ def _fit(rows: DataFrame, counts: dict[int, int], sample: int) -> ToxicityModel
     def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, lookup = letter_table(), shared.value.lookup()
 
-        def bits(value: str | None) -> bytes | None:
-            if value is None:
-                return None
-            row = np.zeros(FEATURES, bool)
-            row[text_features([value], letters, lookup)[1]] = True
-            return np.packbits(row).tobytes()
+        def bits(texts: list[str]) -> np.ndarray:
+            rows = np.zeros((len(texts), FEATURES), bool)
+            rows[text_features(texts, letters, lookup)] = True
+            return rows
+
+        def changes(pairs: list[tuple[str, str]]) -> bytes:
+            """Both sides of the pairs that differ in features, packed one after the other."""
+            sides = bits([s for pair in pairs for s in pair]).reshape(len(pairs), 2, FEATURES)
+            return np.packbits(sides[(sides[:, 0] != sides[:, 1]).any(axis=1)], axis=-1).tobytes()
 
         for frame in frames:
+            pairs = [counterfactuals(t) for t in frame["_text"]]
             yield pd.DataFrame(
                 {
                     "_draw": frame["_draw"], "_label": frame["_label"],
-                    "_own": [bits(t) for t in frame["_text"]], "_other": [bits(swapped(t)) for t in frame["_text"]],
+                    "_own": [np.packbits(bits([t])).tobytes() for t in frame["_text"]],
+                    "_pairs": [len(p) for p in pairs], "_changes": [changes(p) for p in pairs],
                 }
             )
+        tidy()
 
-    got = drawn.mapInPandas(described, "_draw long, _label int, _own binary, _other binary").toPandas()
+    got = drawn.mapInPandas(described, "_draw long, _label int, _own binary, _pairs long, _changes binary").toPandas()
     got = got.sort_values(["_draw", "_label"], ignore_index=True)
-
-    def matrix(column: pd.Series) -> np.ndarray:
-        rows = [np.frombuffer(b, np.uint8) for b in column]
-        packed = np.stack(rows) if rows else np.zeros((0, FEATURES // 8), np.uint8)
-        return np.unpackbits(packed, axis=1)[:, : len(grams)].astype(np.float32)
-
     y = got["_label"].to_numpy()
     if len(set(y)) < 2:
         return None
+
+    def unpacked(packed: bytes) -> np.ndarray:
+        rows = np.frombuffer(packed, np.uint8).reshape(-1, FEATURES // 8)
+        return np.unpackbits(rows, axis=1)[:, : len(grams)].astype(np.float32)
+
+    change, moved = np.zeros((len(grams), len(grams))), 0
+    for start in range(0, len(got), 1024):
+        sides = unpacked(b"".join(got["_changes"].iloc[start : start + 1024]))
+        step = sides[0::2] - sides[1::2]
+        change += step.T @ step
+        moved += len(step)
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    told = got[got["_other"].notna()]
-    weights, bias = _solved(matrix(got["_own"]), y, weight, matrix(told["_other"]) - matrix(told["_own"]))
-    return ToxicityModel(grams, weights.astype(np.float64), bias)
+    weights, bias = _solved(unpacked(b"".join(got["_own"])), y, weight, change / max(1, moved))
+    return ToxicityModel(grams, weights.astype(np.float64), bias, int(got["_pairs"].sum()))
 
 
 def add_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text", into: str = "toxicity") -> DataFrame:

@@ -1,4 +1,7 @@
 import hashlib
+import re
+
+import pytest
 
 from palimpsa.llm import exact
 
@@ -49,3 +52,32 @@ def test_one_hot_group(docs):
     rows = [(i, "copy" if i % 3 == 0 else f"t{i}") for i in range(900)]
     got = exact.exact_groups(docs(rows, 5)).filter("text_sha256 is not null and group_size > 1").collect()
     assert len(got) == 300 and {r.keep_id for r in got} == {897} and sum(r.kept for r in got) == 1
+
+
+@pytest.mark.parametrize("digest_all", [True, False])
+def test_no_text_in_any_exchange(spark, docs, prose, monkeypatch, tmp_path, digest_all):
+    """With classes too many to broadcast, rows meet them without their texts."""
+    base = prose(1, 200)
+    rows = [(i, base + "x" * (i % 7)) for i in range(40)] + [(50, None), (51, "")]
+    plain = sorted(tuple(r) for r in exact.exact_groups(docs(rows), digest_all=digest_all).collect())
+    plans, settle = [], exact.settle
+
+    def seen(frame, name):
+        query = frame._jdf.queryExecution()
+        plans.append(spark.sparkContext._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(query, "formatted"))
+        return settle(frame, name)
+
+    monkeypatch.setattr(exact, "settle", seen)
+    monkeypatch.setattr(exact, "BROADCAST_CLASSES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs(rows).write.parquet(str(tmp_path / "docs"))  # the fixture's own repartition is not the operator's
+        frame = spark.read.parquet(str(tmp_path / "docs"))
+        got = sorted(tuple(r) for r in exact.exact_groups(frame, digest_all=digest_all).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", p) for p in plans]
+    assert any("SortMergeJoin" in p for p in plans) and sum(len(m) for m in moved) >= 6
+    assert not [names for m in moved for names in m if "text#" in names]
+    assert [r[:4] for r in got] == [r[:4] for r in plain]

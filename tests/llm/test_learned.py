@@ -95,6 +95,32 @@ def test_swaps():
     assert toxicity.swapped("nobody here") is None
 
 
+def test_pairs_of_sentences():
+    text = "Nobody is here. Women sing! The end\nWomen sing!"
+    pairs = toxicity.counterfactuals(text)
+    assert pairs[0] == ("Women sing", "men sing") and len(pairs) == 3
+    assert pairs == toxicity.counterfactuals(text) and len(toxicity.counterfactuals(text, 2)) == 2
+    for own, other in pairs[1:]:
+        differ = [(a, b) for a, b in zip(own.split(), other.split(), strict=True) if a != b]
+        assert len(differ) == 1 and toxicity.NEXT_TERM[differ[0][0]] == differ[0][1]
+    for text in ("", " .\n", "?"):
+        ((own, other),) = toxicity.counterfactuals(text)
+        assert toxicity.NEXT_TERM[own] == other
+
+
+def test_texts_without_terms_make_pairs(spark, spoiled):
+    """Rows that name no group are fitted with pairs all the same, and their swapped sentences score alike."""
+    plain = spoiled.filter("text not like '%muslims%'")
+    model = toxicity.fit_toxicity(plain)
+    assert model.pairs >= plain.count()
+    sides = [(2 * i + j, side) for i, r in enumerate(plain.limit(50).collect())
+             for j, side in enumerate(toxicity.counterfactuals(r.text)[0])]
+    frame = spark.createDataFrame(sides, "doc_id long, text string")
+    got = {r.doc_id: r.toxicity for r in toxicity.add_toxicity(frame, model).collect()}
+    gaps = [abs(got[i] - got[i + 1]) for i in range(0, len(sides), 2)]
+    assert sum(gaps) / len(gaps) < 0.01
+
+
 def test_toxicity_of_odd_rows(spark, spoiled, docs):
     model = toxicity.fit_toxicity(spoiled)
     rows = [(1, None), (2, ""), (3, "!"), (None, "a dimwit"), (4, "kato " * 50_000 + "dimwit")]
