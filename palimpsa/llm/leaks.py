@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from palimpsa.llm.common import settle, whole
 
 WINDOW = 5
+INSIDE = 3  # templates that an item needs to be looked for inside of texts
+WORDS = 2  # words, not placeholders, of a window that tells of a re-parameterised copy
 SHARE = (80, 100)
 BROADCAST_WINDOWS = 1 << 20  # 16 bytes each
 
@@ -99,12 +101,26 @@ def _window(hashes: Column, at: Column, words: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + i) for i in range(words)])
 
 
-def _windows(hashes: Column, words: int) -> Column:
-    """Hashes of all runs of ``words`` templates; a shorter text is one run as a whole, an empty one has none."""
-    many = F.transform(F.sequence(F.lit(0), F.size(hashes) - words), lambda i: _window(hashes, i, words))
-    short = F.array(F.xxhash64(F.lit("short"), F.array_join(F.transform(hashes, lambda h: h.cast("string")), " ")))
+def _runs(hashes: Column, width: int) -> Column:
+    """Hashes of all runs of ``width`` templates of a text that has as many."""
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: _window(hashes, i, width))
+
+
+def _windows(hashes: Column, words: int, widths: list[int], own: bool = False) -> list[tuple[int, Column]]:
+    """Widths and arrays of windows: of ``words`` templates, or of the whole text if it has fewer than ``INSIDE``, and of ``widths``.
+
+    With ``own``, a text has windows of one of ``widths`` only if that is its length.
+    """
     none = F.array().cast("array<bigint>")
-    return F.when(F.size(hashes) >= words, many).when(F.size(hashes) > 0, short).otherwise(none)
+    size = F.size(hashes)
+    short = F.array(F.xxhash64(F.lit("short"), F.array_join(F.transform(hashes, lambda h: h.cast("string")), " ")))
+    first = F.when(size >= words, _runs(hashes, words)).when((size > 0) & (size < INSIDE), short).otherwise(none)
+    fits = lambda w: size == w if own else size >= w
+    return [(words, first), *[(w, F.when(fits(w), _runs(hashes, w)).otherwise(none)) for w in widths]]
+
+
+def _placed(runs: Column, width: int) -> Column:
+    return F.transform(runs, lambda h, i: F.struct(i.alias("at"), F.lit(width).alias("width"), h.alias("window")))
 
 
 def _named(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -113,21 +129,25 @@ def _named(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(F.col(key).alias("_key"), F.xxhash64(F.col(key), value).alias("_id"), value.alias("_text"))
 
 
-def _read(named: DataFrame, words: int, names: dict[str, str], starts: bool) -> DataFrame:
+def _read(
+    named: DataFrame, words: int, names: dict[str, str], starts: bool, widths: list[int], own: bool
+) -> DataFrame:
     cut = named.withColumn("_pieces", _pieces(F.col("_text")))
     cut = cut.withColumn("_templates", _templates(F.col("_pieces"), _slot))
     cut = cut.select("_key", "_id", _reading(F.col("_templates"), starts).alias("_slots"))
     cut = cut.withColumn("_hashes", F.transform("_slots", lambda s: F.xxhash64(s["kind"])))
-    run = cut.select("_key", "_id", "_slots", F.posexplode(_windows(F.col("_hashes"), words)).alias("_at", "_window"))
+    placed = [_placed(run, width) for width, run in _windows(F.col("_hashes"), words, widths, own)]
+    run = cut.select("_key", "_id", "_slots", F.explode(F.concat(*placed)).alias("_run"))
+    run = run.select("_key", "_id", "_slots", "_run.width", F.col("_run.at").alias("_at"), F.col("_run.window").alias("_window"))
     return run.select(
         F.col("_key").alias(names["key"]), F.col("_id").alias(names["id"]), F.lit(starts).alias(names["reading"]),
-        "_window", F.col("_at").alias(names["at"]), F.slice("_slots", F.col("_at") + 1, words).alias(names["slots"]),
+        "_window", F.col("_at").alias(names["at"]), F.slice("_slots", F.col("_at") + 1, F.col("width")).alias(names["slots"]),
     )
 
 
-def _slotted(named: DataFrame, words: int, names: dict[str, str]) -> DataFrame:
+def _slotted(named: DataFrame, words: int, names: dict[str, str], widths: list[int], own: bool = False) -> DataFrame:
     """One row per reading and window: id, key, reading, window hash, position, and the slots inside it."""
-    return _read(named, words, names, False).unionByName(_read(named, words, names, True))
+    return _read(named, words, names, False, widths, own).unionByName(_read(named, words, names, True, widths, own))
 
 
 def find_leaks(
@@ -150,8 +170,11 @@ def find_leaks(
     re-parameterised copy. Two values of the item may stand for one. A stretch is one offset between item and document,
     or offsets that differ by up to twice the window or by the item's length, so words may be put in or left out;
     windows with a value that most windows of the stretch do not agree on are not counted. Neighbouring names are one
-    placeholder. ``same_slots`` tells whether the first holds. An item or document of fewer
-    than five words is one window, which only another of the same words equals. Missing and empty texts have no windows
+    placeholder. ``same_slots`` tells whether the first holds. Placeholders alone tell nothing: for a re-parameterised
+    copy only windows with at least two words count (80 of 100 of them must be there), and an item of which fewer than
+    half of the windows are such is found with the same values only. So is an item of three or four templates, which is
+    one window and found anywhere in a text. One of one or two, as ordinary texts hold by chance, is
+    found in texts of the same words only. Missing and empty texts have no windows
     and are never found. Rows that repeat key and text give one row; a missing key is a key. Other columns are ignored;
     an empty table on either side gives an empty table.
 
@@ -168,19 +191,28 @@ def _found(
     """The rows of ``find_leaks``, and ``_id``, the hash of key and text."""
     under, over = share
     theirs = {"key": "_item", "id": "_item_id", "reading": "_reading", "at": "_item_at", "slots": "_item_slots"}
-    items = _slotted(_named(benchmark, item, item_text).dropDuplicates(["_id", "_key"]), words, theirs)
+    inner = list(range(INSIDE, words))
+    items = _slotted(_named(benchmark, item, item_text).dropDuplicates(["_id", "_key"]), words, theirs, inner, own=True)
     items = settle(items, "items")
+    length = F.size("_item_slots")
+    present = {r["n"] for r in items.filter(length < words).select(length.alias("n")).distinct().collect()}
+    widths = [w for w in inner if w in present]
     distinct = items.select("_window").distinct()
     distinct = settle(distinct, "windows")
     if distinct.count() <= BROADCAST_WINDOWS:
         distinct = F.broadcast(distinct)
-    needs = items.groupBy("_item_id", "_reading").agg(F.countDistinct("_window").alias("_n"))
+    literal = F.size(F.filter("_item_slots", lambda s: s["value"].isNull()))
+    worded = (length >= words) & (literal >= WORDS)
+    needs = items.groupBy("_item_id", "_reading").agg(
+        F.countDistinct("_window").alias("_n"), F.countDistinct(F.when(worded, F.col("_window"))).alias("_m")
+    )
     named = _named(docs, key, text)
     seen = named.withColumn("_pieces", _pieces(F.col("_text")))
     seen = seen.select("_id", _templates(F.col("_pieces"), lambda kind, _: F.xxhash64(kind)).alias("_templates"))
     seen = seen.select("_id", *[_reading(F.col("_templates"), s).alias(f"_hashes_{s}") for s in (False, True)])
-    both = [_windows(F.col(f"_hashes_{s}"), words) for s in (False, True)]
-    seen = seen.select("_id", F.explode(F.array_union(*both)).alias("_window"))
+    plain, named_too = [[run for _, run in _windows(F.col(f"_hashes_{s}"), words, widths)] for s in (False, True)]
+    joined = lambda runs: F.concat(*runs) if widths else runs[0]
+    seen = seen.select("_id", F.explode(F.array_union(joined(plain), joined(named_too))).alias("_window"))
     hits = settle(seen.join(distinct, "_window").distinct(), "hits")
     held = items.select("_item_id", "_reading", "_window").distinct()
     # Sums per document and item; a document's windows are distinct, so none counts twice.
@@ -189,16 +221,16 @@ def _found(
         .groupBy("_id", "_item_id", "_reading").agg(F.count("*").alias("_found"))
         .join(needs, ["_item_id", "_reading"])
         .filter(F.col("_found") * over >= F.col("_n") * under)
-        .select("_id", "_item_id", "_reading", "_n")
+        .select("_id", "_item_id", "_reading", "_n", "_m")
     )
     enough = settle(enough, "candidates")
     texts = named.join(enough.select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id", "_key"])
-    again = _slotted(texts, words, {"key": "_key", "id": "_id", "reading": "_as", "at": "_at", "slots": "_slots"})
+    again = _slotted(texts, words, {"key": "_key", "id": "_id", "reading": "_as", "at": "_at", "slots": "_slots"}, widths)
     pairs = (
         again.join(enough, "_id")
         .join(items, ["_item_id", "_reading", "_window"])
         .select(
-            "_key", "_id", "_item", "_item_id", "_reading", "_n", "_window", (F.col("_at") - F.col("_item_at")).alias("_shift"),
+            "_key", "_id", "_item", "_item_id", "_reading", "_n", "_m", "_window", worded.alias("_worded"), (F.col("_at") - F.col("_item_at")).alias("_shift"),
             (F.col("_slots") == F.col("_item_slots")).alias("_same"),
             F.transform(
                 F.filter(F.arrays_zip("_item_slots", "_slots"), lambda z: z["_item_slots"]["value"].isNotNull()),
@@ -210,7 +242,7 @@ def _found(
         )
     )
     pairs = settle(pairs, "aligned")
-    pair = ["_key", "_id", "_item", "_item_id", "_reading", "_n"]
+    pair = ["_key", "_id", "_item", "_item_id", "_reading", "_n", "_m"]
     same = pairs.filter("_same").groupBy(*pair).agg(F.countDistinct("_window").alias("_exact"))
     # Stretches of alignments: one offset, and offsets near each other, each in two overlapping bands of the same width.
     shift = F.col("_shift").cast("long")
@@ -218,7 +250,7 @@ def _found(
     for width in (F.lit(2 * words).cast("long"), F.greatest(F.col("_n"), F.lit(2 * words + 1)).cast("long")):
         at = F.floor(shift / width).cast("long")
         near += [F.struct(width.alias("width"), (at + i).alias("at")) for i in (0, 1)]
-    lines = pairs.select(*pair, "_window", "_values", F.explode(F.array(*near)).alias("_line"))
+    lines = pairs.filter(F.col("_m") * 2 >= F.col("_n")).select(*pair, "_window", "_worded", "_values", F.explode(F.array(*near)).alias("_line"))
     line = ["_id", "_item_id", "_reading", "_line"]
     # In a stretch each value of the item stands for the one that most windows give it; windows with another are dropped.
     votes = (
@@ -229,15 +261,16 @@ def _found(
         .groupBy(*line).agg(F.map_from_entries(F.collect_list(F.struct("_theirs", "_ours"))).alias("_chosen"))
     )
     agreed = F.forall("_values", lambda v: F.try_element_at(F.col("_chosen"), v["theirs"]) == v["ours"])
-    steady = lines.join(votes, line, "left").filter((F.size("_values") == 0) | agreed)
+    steady = lines.filter("_worded").join(votes, line, "left").filter((F.size("_values") == 0) | agreed)
     steady = steady.groupBy(*pair, "_line").agg(F.countDistinct("_window").alias("_found"))
     steady = steady.groupBy(*pair).agg(F.max("_found").alias("_found"))
     both = same.withColumn("_found", F.lit(0).cast("long")).unionByName(steady.withColumn("_exact", F.lit(0).cast("long")))
     both = both.groupBy(*pair).agg(F.max("_exact").alias("_exact"), F.max("_found").alias("_found"))
-    long_enough = lambda c: F.col(c) * over >= F.col("_n") * under
+    same_enough = F.col("_exact") * over >= F.col("_n") * under
+    changed_enough = (F.col("_m") > 0) & (F.col("_m") * 2 >= F.col("_n")) & (F.col("_found") * over >= F.col("_m") * under)
     # Of two readings the one with the same values counts, then the one without names at the starts of sentences.
-    best = F.max(F.struct(long_enough("_exact").alias("_same"), (~F.col("_reading")).alias("_plain"), "_n", "_found", "_exact"))
-    both = both.filter(long_enough("_exact") | long_enough("_found"))
+    best = F.max(F.struct(same_enough.alias("_same"), (~F.col("_reading")).alias("_plain"), "_n", "_found", "_exact"))
+    both = both.filter(same_enough | changed_enough)
     both = both.groupBy("_key", "_id", "_item", "_item_id").agg(best.alias("_best"))
     return both.select(
         "_id", F.col("_key").alias(key), F.col("_item").alias(item), F.col("_best._n").alias("n_windows"),

@@ -36,6 +36,26 @@ def test_short_items_match_whole_texts_only(docs, items):
     assert got == [(1, 0, True), (3, 0, True)]
 
 
+def test_short_items_inside_of_texts(docs, items, prose):
+    bench = [(0, "Who wrote Middlemarch?"), (1, "Name 3 rivers"), (2, "Capital of France"), (3, "Paris")]
+    rows = [
+        (1, prose(1, 30) + ". Who wrote Middlemarch? " + prose(2, 30)), (2, prose(3, 30) + ". Who wrote Emma? " + prose(4, 9)),
+        (3, "who wrote Middlemarch"), (4, prose(5, 20) + ". name 3 rivers " + prose(6, 20)), (5, "name 4 rivers"),
+        (6, prose(7, 20) + ". Capital of France, says " + prose(8, 2)), (7, "In Paris " + prose(9, 20)), (8, "Paris"),
+        (9, "Name 3"), (10, None),
+    ]
+    got = pairs(leaks.find_leaks(docs(rows), items(bench)))
+    assert got == [(1, 0, True), (3, 0, True), (4, 1, True), (6, 2, True), (8, 3, True)]
+
+
+def test_placeholders_alone_tell_nothing(docs, items, prose):
+    rows = [
+        (1, "pages 1, 3, 5, 7, 9, 11, 13 were missing"), (2, prose(1, 20) + " 2, 4, 8, 16, 32, 64 " + prose(2, 20)),
+        (3, prose(3, 20) + " 3, 9, 27, 81, 243, 729 " + prose(4, 20)), (4, "1 2 3 4 5 6 7 8 9"),
+    ]
+    assert pairs(leaks.find_leaks(docs(rows), items([(0, "2, 4, 8, 16, 32, 64")]))) == [(2, 0, True)]
+
+
 def test_same_result_when_windows_are_shuffled(docs, items, prose, monkeypatch):
     bench = [(i, prose(50 + i, 30)) for i in range(20)]
     rows = [(i, prose(500 + i, 50) + ". " + bench[i % 20][1]) if i % 3 == 0 else (i, prose(500 + i, 80)) for i in range(120)]
