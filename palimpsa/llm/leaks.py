@@ -107,14 +107,15 @@ def _runs(hashes: Column, width: int) -> Column:
 
 
 def _windows(hashes: Column, words: int, widths: list[int], own: bool = False) -> list[tuple[int, Column]]:
-    """Widths and arrays of windows: of ``words`` templates, or of the whole text if it has fewer than ``INSIDE``, and of ``widths``.
+    """Widths and arrays of windows: of ``words`` templates, or of the whole text if it has fewer, and of ``widths``.
 
-    With ``own``, a text has windows of one of ``widths`` only if that is its length.
+    With ``own``, a text has windows of one of ``widths`` only if that is its length, and none as a whole then.
     """
     none = F.array().cast("array<bigint>")
     size = F.size(hashes)
     short = F.array(F.xxhash64(F.lit("short"), F.array_join(F.transform(hashes, lambda h: h.cast("string")), " ")))
-    first = F.when(size >= words, _runs(hashes, words)).when((size > 0) & (size < INSIDE), short).otherwise(none)
+    few = (size > 0) & (size < INSIDE) if own else size > 0
+    first = F.when(size >= words, _runs(hashes, words)).when(few, short).otherwise(none)
     fits = lambda w: size == w if own else size >= w
     return [(words, first), *[(w, F.when(fits(w), _runs(hashes, w)).otherwise(none)) for w in widths]]
 
@@ -136,9 +137,13 @@ def _read(
     cut = cut.withColumn("_templates", _templates(F.col("_pieces"), _slot))
     cut = cut.select("_key", "_id", _reading(F.col("_templates"), starts).alias("_slots"))
     cut = cut.withColumn("_hashes", F.transform("_slots", lambda s: F.xxhash64(s["kind"])))
-    placed = [_placed(run, width) for width, run in _windows(F.col("_hashes"), words, widths, own)]
-    run = cut.select("_key", "_id", "_slots", F.explode(F.concat(*placed)).alias("_run"))
-    run = run.select("_key", "_id", "_slots", "_run.width", F.col("_run.at").alias("_at"), F.col("_run.window").alias("_window"))
+    windows = _windows(F.col("_hashes"), words, widths, own)
+    if widths:
+        placed = [_placed(run, width) for width, run in windows]
+        run = cut.select("_key", "_id", "_slots", F.explode(F.concat(*placed)).alias("_run"))
+        run = run.select("_key", "_id", "_slots", "_run.width", F.col("_run.at").alias("_at"), F.col("_run.window").alias("_window"))
+    else:
+        run = cut.select("_key", "_id", "_slots", F.posexplode(windows[0][1]).alias("_at", "_window")).withColumn("width", F.lit(words))
     return run.select(
         F.col("_key").alias(names["key"]), F.col("_id").alias(names["id"]), F.lit(starts).alias(names["reading"]),
         "_window", F.col("_at").alias(names["at"]), F.slice("_slots", F.col("_at") + 1, F.col("width")).alias(names["slots"]),
