@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ UNKNOWN_PENALTY = 10.0
 NEVER = np.int64(2**62)
 FACTOR = np.uint64(0x100000001B3)
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
+ROUND, LONG_ROUND = 1 << 19, 1 << 21  # entries of the tables of a round
+MAY_BITS = 20
+LONG = 2048  # signs from which a word is cut into segments
+SEGMENT, LEAD = 512, 64  # signs of a segment, and before it
+HASHED = 64  # signs up to which words are hashed together, and remembered
 
 
 @dataclass(frozen=True)
@@ -77,6 +84,13 @@ class PieceModel:
     texts: tuple[bytes, ...]  # what each piece decodes to
     merges: Merges | None = None
 
+    @cached_property
+    def may_be(self) -> np.ndarray:
+        """Whether any key begins with these bits."""
+        out = np.zeros(1 << MAY_BITS, bool)
+        out[self.keys >> np.uint64(64 - MAY_BITS)] = True
+        return out
+
 
 class Memory:
     """What a task has found out: words by hash, and compatible pairs in a table of fixed size."""
@@ -205,61 +219,128 @@ def _words(stream: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def _best_paths(codes: np.ndarray, model: PieceModel, memory: Memory) -> np.ndarray:
-    """For words of one length, a row each: the id of each chosen piece where it begins, -1 elsewhere.
+def _forward(
+    codes: np.ndarray, model: PieceModel, memory: Memory, known: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of one length, a row each, by where a prefix ends: its best score, last piece, and that piece's size.
 
-    A sign that no piece covers is kept as minus two minus its code point. Of equal scores the shorter last piece wins.
+    ``known`` has the scores and pieces of the first columns where a run goes on from another. A sign that no piece
+    covers is kept as minus two minus its code point. Of equal scores the shorter last piece wins.
     """
     rows, length = codes.shape
     longest = min(model.longest, length)
-    best = np.full((rows, length + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.zeros((rows, length + 1), np.int64)
-    chosen = np.full((rows, length + 1), -1, np.int64)
-    # Hashes of the substrings that begin at each place grow by one sign per round.
-    scores = np.full((longest, rows, length), -np.inf)
-    found = np.zeros((longest, rows, length), np.int32)
-    hashed = np.zeros((rows, length), np.uint64)
+    best = np.full((length + 1, rows), -np.inf)
+    best[0] = 0
+    back = np.zeros((length + 1, rows), np.int32)
+    chosen = np.full((length + 1, rows), -1, np.int32)
+    first = 1
+    if known:
+        first = len(known[0])
+        best[:first], chosen[:first] = known
+    # Hashes of the substrings that begin at each place grow by one sign per round; tables go by where substrings end.
+    signs = np.ascontiguousarray(codes.T).astype(np.uint64) + np.uint64(1)
+    scores = np.full((length, longest, rows), -np.inf)
+    found = np.zeros((length, longest, rows), np.int32)
+    hashed = np.zeros((length, rows), np.uint64)
     for size in range(1, longest + 1):
-        n = length - size + 1
-        hashed = hashed[:, :n] * FACTOR + codes[:, size - 1 :].astype(np.uint64) + np.uint64(1)
+        hashed = hashed[: length - size + 1] * FACTOR + signs[size - 1 :]
         key = mix(hashed + np.uint64(size))
+        # Most substrings are no piece; only those that may be one are searched for.
+        place, row = np.nonzero(model.may_be[key >> np.uint64(64 - MAY_BITS)])
+        key = key[place, row]
         at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
         hit = model.keys[at] == key
-        # By where the substring ends.
-        scores[size - 1][:, size - 1 :] = np.where(hit, model.scores[at], -np.inf)
-        found[size - 1][:, size - 1 :] = model.ids[at]
+        place, row, at = place[hit] + size - 1, row[hit], at[hit]
         if size == 1:
-            missed = ~hit
-            scores[0] = np.where(missed, model.unknown, scores[0])
-            found[0] = np.where(missed, -2 - codes.astype(np.int64), found[0])
+            scores[:, 0] = model.unknown
+            found[:, 0] = -2 - codes.T.astype(np.int64)
+        scores[place, size - 1, row] = model.scores[at]
+        found[place, size - 1, row] = model.ids[at]
     every = np.arange(rows)
-    for end in range(1, length + 1):
+    for end in range(first, length + 1):
         sizes = min(longest, end)
-        options = np.stack([best[:, end - k] + scores[k - 1][:, end - 1] for k in range(1, sizes + 1)])
-        if model.merges:
-            for k in range(1, min(sizes, end - 1) + 1):
-                before, own = chosen[:, end - k], found[k - 1][:, end - 1].astype(np.int64)
-                rows_k = np.flatnonzero((options[k - 1] > -np.inf) & (before >= 0) & (own >= 0))
-                if len(rows_k):
-                    fits = memory.compatible(before[rows_k], own[rows_k], model.merges)
-                    options[k - 1][rows_k[~fits]] = -np.inf
+        # Pieces of one sign first, then of two, and so on.
+        options = best[end - sizes : end][::-1] + scores[end - 1, :sizes]
+        own = found[end - 1]
+        if model.merges and end > 1:
+            n = min(sizes, end - 1)
+            before = chosen[end - n : end][::-1]
+            size_at, row_at = np.nonzero((options[:n] > -np.inf) & (before >= 0) & (own[:n] >= 0))
+            fits = memory.compatible(
+                before[size_at, row_at].astype(np.int64), own[size_at, row_at].astype(np.int64), model.merges
+            )
+            options[size_at[~fits], row_at[~fits]] = -np.inf
         pick = options.argmax(axis=0)
-        best[:, end] = options[pick, every]
-        back[:, end] = pick + 1
-        chosen[:, end] = found[pick, every, end - 1]
+        best[end] = options[pick, every]
+        back[end] = pick + 1
+        chosen[end] = own[pick, every]
+    return best, chosen, back
+
+
+def _best_paths(codes: np.ndarray, model: PieceModel, memory: Memory) -> np.ndarray:
+    """For words of one length, a row each: the id of each chosen piece where it begins, -1 elsewhere."""
+    rows, length = codes.shape
+    _, chosen, back = _forward(codes, model, memory)
     out = np.full((rows, length), -1, np.int64)
     place = np.full(rows, length)
-    open_rows = every
+    open_rows = np.arange(rows)
     while len(open_rows):
         end = place[open_rows]
-        start = end - back[open_rows, end]
-        out[open_rows, start] = chosen[open_rows, end]
+        start = end - back[end, open_rows]
+        out[open_rows, start] = chosen[end, open_rows]
         place[open_rows] = start
         open_rows = open_rows[start > 0]
     return out
 
 
+def _long_path(codes: np.ndarray, model: PieceModel, memory: Memory) -> np.ndarray:
+    """The ids of a word of any length under a BPE model, as ``_best_paths`` finds them, in time linear in its length.
+
+    The word is cut into segments that are advanced together, each from a little before its begin. A prefix's last piece
+    depends on those of the prefixes up to the longest piece before it, so a segment that agrees there with the one
+    before it is right from there on. One that does not goes on from the one before it instead.
+    """
+    width, length = model.longest, len(codes)
+    lead = max(LEAD, width)
+    ends, sizes = np.full(length + 1, -1, np.int32), np.zeros(length + 1, np.int32)
+    scores = np.full(length + 1, -np.inf)
+
+    def put(at: int, columns: tuple[np.ndarray, ...]) -> None:
+        """Columns of one run for the prefixes that end from ``at`` on."""
+        for into, column in zip((scores, ends, sizes), columns, strict=True):
+            into[at : at + len(column)] = column
+
+    put(0, tuple(c[:, 0] for c in _forward(codes[None, : min(length, SEGMENT)], model, memory)))
+    # Bounds the arrays of a round; the last segment is shorter.
+    starts = np.arange(SEGMENT, length - SEGMENT + 1, SEGMENT)
+    step = max(1, LONG_ROUND // ((lead + SEGMENT) * width))
+    for i in range(0, len(starts), step):
+        block = starts[i : i + step]
+        runs = _forward(codes[block[:, None] + np.arange(-lead, SEGMENT)], model, memory)
+        for j, start in enumerate(block.tolist()):
+            meet = slice(start - width + 1, start + 1)
+            agree = np.array_equal(runs[1][lead - width + 1 : lead + 1, j], ends[meet])
+            if agree and np.array_equal(runs[0][lead - width + 1 : lead + 1, j], scores[meet]):
+                put(start + 1, tuple(c[lead + 1 :, j] for c in runs))
+            else:
+                _go_on(codes, start, start + SEGMENT, scores, ends, put, model, memory)
+    done = int(starts[-1]) + SEGMENT if len(starts) else min(length, SEGMENT)
+    if done < length:
+        _go_on(codes, done, length, scores, ends, put, model, memory)
+    picks, at, steps = [], length, sizes.tolist()
+    while at > 0:
+        picks.append(at)
+        at -= steps[at]
+    return ends[picks[::-1]].astype(np.int64)
+
+
+def _go_on(codes, start, stop, scores, ends, put, model: PieceModel, memory: Memory) -> None:
+    """One segment from what is known before it."""
+    known = slice(start - model.longest, start + 1)
+    run = _forward(codes[None, known.start : stop], model, memory, (scores[known, None], ends[known, None]))
+    put(start + 1, tuple(c[model.longest + 1 :, 0] for c in run))
+
+
 def _spelled(ids: np.ndarray, owner: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
     """Signs that no piece covers become the pieces of their UTF-8 bytes."""
     unknown = ids <= -2
@@ -294,17 +375,28 @@ def encode_texts(texts: list[str | None], model: PieceModel, memory: Memory | No
     sizes = np.diff(np.append(starts, len(stream)))
     # Equal words are solved once, and remembered as long as there is room.
     hashed = np.zeros(len(starts), np.uint64)
-    live = np.arange(len(starts))
-    for i in range(int(sizes.max())):
+    live = np.flatnonzero(sizes <= HASHED)
+    for i in range(HASHED):
         live = live[sizes[live] > i]
+        if not len(live):
+            break
         hashed[live] = mix(hashed[live] * FACTOR + stream[starts[live] + i] + np.uint64(1))
+    for word in np.flatnonzero(sizes > HASHED).tolist():
+        run = stream[starts[word] : starts[word] + sizes[word]]
+        hashed[word] = xxhash.xxh64_intdigest(run.tobytes(), int(sizes[word]))
     names, firsts, inverse = np.unique(hashed, return_index=True, return_inverse=True)
     solved: list[np.ndarray | None] = [memory.words.get(name) for name in names.tolist()]
     new = np.array([i for i, ids in enumerate(solved) if ids is None], np.int64)
     lengths = sizes[firsts[new]]
     for size in np.unique(lengths):
         same = new[lengths == size]
-        step = max(1, (1 << 19) // int(size * min(size, model.longest)))  # bounds the arrays of a round
+        if size > LONG and model.merges:
+            for word in same.tolist():
+                start = starts[firsts[word]]
+                path = _long_path(stream[start : start + size], model, memory)
+                solved[word] = _spelled(path, np.zeros(len(path), np.int64), model)[0].astype(np.int32)
+            continue
+        step = max(1, ROUND // int(size * min(size, model.longest)))  # bounds the arrays of a round
         for i in range(0, len(same), step):
             part = same[i : i + step]
             paths = _best_paths(stream[starts[firsts[part]][:, None] + np.arange(size)], model, memory)
@@ -314,7 +406,7 @@ def encode_texts(texts: list[str | None], model: PieceModel, memory: Memory | No
             for j, word in enumerate(part.tolist()):
                 solved[word] = flat[cuts[j] : cuts[j + 1]].astype(np.int32)
     if len(memory.words) < memory.WORDS:
-        memory.words.update((int(names[i]), solved[i]) for i in new.tolist())
+        memory.words.update((int(names[i]), solved[i]) for i in new[lengths <= HASHED].tolist())
     offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in solved])])
     positions, lengths = _gathered(offsets, inverse)
     out = np.concatenate(solved)[positions]
@@ -347,7 +439,8 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", into: str = "
     The text is read as in the model file: a blank is put before it, blanks become marks, and the pieces are those of
     the greatest sum of scores (equal sums: the shorter last piece) or, for a BPE model, those of its merges. A sign without a piece becomes the pieces of its
     UTF-8 bytes. A null text has null, an empty one no pieces. ``decode`` gives back every text exactly, also one that
-    holds the mark's own sign. A narrow step; an existing column ``into`` is replaced.
+    holds the mark's own sign. Time and memory are linear in a text's length, also of one without any blank under a BPE
+    model: such a word is cut into segments (``_long_path``). A narrow step; an existing column ``into`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -33,6 +33,43 @@ def test_ids_are_those_of_the_public_library(model):
         assert ids.tolist() == library.encode(text), text
 
 
+def unbroken():
+    rng = random.Random(6)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return ["".join(rng.choices(signs, k=20_000)), "".join(rng.choices("theandofin", k=9_000)), "a" * 7_001,
+            "=" * 5_000 + "ab" * 3_000, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(5_000)),
+            "x" * 2_049, "to be " * 500 + "".join(rng.choices(signs, k=4_000)) + " end"]
+
+
+@pytest.mark.parametrize(("segment", "lead"), [(512, 64), (128, 1), (40, 1)])
+def test_unbroken_texts_are_cut_into_segments(model, monkeypatch, segment, lead):
+    """Ids are the library's, whether segments agree with the ones before them or go on from them."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL_FILE)
+    monkeypatch.setattr(pieces, "SEGMENT", segment)
+    monkeypatch.setattr(pieces, "LEAD", lead)
+    repaired = []
+    go_on = pieces._go_on
+    monkeypatch.setattr(pieces, "_go_on", lambda *a: repaired.append(a[1]) or go_on(*a))
+    texts = unbroken()
+    for text, ids in zip(texts, pieces.encode_texts(texts, model), strict=True):
+        assert ids.tolist() == library.encode(text)
+    assert segment == 512 or len(repaired) > 20
+
+
+def test_unbroken_megabyte(model):
+    """Linear, with tables of bounded size: a quadratic or one-sign-at-a-time way takes minutes here."""
+    import time
+
+    rng = random.Random(7)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))
+    start = time.process_time()
+    ids = pieces.encode_texts([text], model)
+    assert time.process_time() - start < 60
+    assert pieces.decode_ids(ids, model) == [text]
+
+
 def test_exact_round_trip(model):
     texts = noise() + ODD
     assert pieces.decode_ids(pieces.encode_texts(texts, model), model) == texts
