@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import GOLD, mix
+from palimpsa.llm.common import GOLD, mix, tidy
 from palimpsa.llm.streams import array_slices
 
 MARK = 0x2581  # stands for a blank inside pieces
@@ -459,6 +459,8 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", into: str = "
                 yield pc.if_else(missing, pa.scalar(None, values_list.type), values_list)
             else:
                 yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+            del ids, values
+            tidy()
 
     encoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(into, F.arrow_udf(encoded, "array<int>")(F.col(text)))
@@ -480,6 +482,8 @@ def decode(docs: DataFrame, model: PieceModel, pieces: str = "pieces", into: str
                 texts = decode_ids([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], shared.value)
                 out += [t if ok else None for t, ok in zip(texts, valid, strict=True)]
             yield pa.array(out, pa.string())
+            del out
+            tidy()
 
     decoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(into, F.arrow_udf(decoded, "string")(F.col(pieces)))
