@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -360,25 +361,53 @@ def use_keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+COMMIT_SCHEMA = "batch bigint, attempt string"
+
+
+def _commit_folder(results_path: str) -> str:
+    return f"{results_path}/_commits"  # readers of files pass over names with a first underscore
+
+
+def _is_committed(spark: SparkSession, results_path: str, number: int) -> bool:
+    entries = spark._jvm.org.apache.hadoop.fs.Path(f"{_commit_folder(results_path)}/{number}/part-*")
+    found = entries.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(entries)
+    return found is not None and len(found) > 0
+
+
+def _commit(spark: SparkSession, results_path: str, number: int, attempt: str) -> None:
+    """One row in one file, which appears by a rename."""
+    entry = spark.createDataFrame([(number, attempt)], COMMIT_SCHEMA).coalesce(1)
+    entry.write.mode("overwrite").parquet(f"{_commit_folder(results_path)}/{number}")
+
+
+def _history(written: DataFrame, session: str, time: str, filename: str) -> DataFrame:
+    return written.select(
+        F.col(session).alias("session_id"), "doc_id", F.col(filename).alias("filename"), F.col(time).alias("ts"),
+        F.size("findings").alias("findings"),
+    )
+
+
 def write_with_history(
     scanned: DataFrame, results_path: str, history_path: str, checkpoint: str, session: str = "source",
     time: str = "ts", filename: str = "filename",
 ) -> StreamingQuery:
-    """Results and history rows of one micro-batch together.
+    """Results and history rows of one micro-batch together, for readers that come at any time.
 
-    Both land under the batch number, so a repeated batch overwrites itself. History comes from the results that were
-    written, so findings are computed once; its rows carry time and filename, which the newest-N rule needs.
+    Each attempt at a batch writes both into folders of its own, and only then a line of the commit list that names it,
+    so ``committed_rows`` sees both or neither. A batch that has its line is never written again, whatever is replayed;
+    what an attempt without one left stays on disk and is not read. History comes from the results that were written, so
+    findings are computed once; its rows carry time and filename, which the newest-N rule needs.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        path = f"{results_path}/batch={number}"
-        batch.write.mode("overwrite").parquet(path)
-        written = batch.sparkSession.read.schema(batch.schema).parquet(path)
-        history = written.select(
-            F.col(session).alias("session_id"), "doc_id", F.col(filename).alias("filename"), F.col(time).alias("ts"),
-            F.size("findings").alias("findings"),
-        )
-        history.write.mode("overwrite").parquet(f"{history_path}/batch={number}")
+        spark, attempt = batch.sparkSession, uuid.uuid4().hex
+        if _is_committed(spark, results_path, number):
+            return
+        path = f"{results_path}/batch={number}/attempt={attempt}"
+        batch.write.parquet(path)
+        written = spark.read.schema(batch.schema).parquet(path)
+        _history(written, session, time, filename).write.parquet(f"{history_path}/batch={number}/attempt={attempt}")
+        _commit(spark, results_path, number, attempt)
 
     return (
         scanned.writeStream.foreachBatch(write)
@@ -388,6 +417,21 @@ def write_with_history(
     )
 
 
+def committed_rows(spark: SparkSession, path: str, schema: T.StructType, results_path: str) -> DataFrame:
+    """Rows of results or history of the committed batches, with ``batch``; none before the first is committed.
+
+    The commit list is read before the files are listed, so every batch that it names is there in whole.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{_commit_folder(results_path)}/*/part-*")
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    if listed is None or len(listed) == 0:
+        return spark.createDataFrame([], T.StructType([*schema, T.StructField("batch", T.LongType())]))
+    commits = spark.read.schema(COMMIT_SCHEMA).parquet(*[entry.getPath().toString() for entry in listed])
+    marks = [T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType())]
+    rows = spark.read.schema(T.StructType([*schema, *marks])).parquet(path)
+    return rows.join(commits, ["batch", "attempt"], "left_semi").select(*schema.names, "batch")
+
+
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str) -> StreamingQuery:
     """Each micro-batch under its number; a repeated one overwrites itself."""
 

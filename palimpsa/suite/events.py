@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsa.operators import activity
 from palimpsa.plans import jobs
@@ -234,9 +235,8 @@ def stream_history(spark, sf_dir):
     work = _work_dir(spark)
     scanned = streams.scanned_stream(_planted_stream(spark, sf_dir, work), CONFIG)
     streams.write_with_history(scanned, f"{work}/results", f"{work}/history", f"{work}/checkpoint").awaitTermination()
-    history = spark.read.schema(
-        "session_id string, doc_id bigint, filename string, ts timestamp, findings int, batch int"
-    ).parquet(f"{work}/history")
+    schema = T.StructType.fromDDL("session_id string, doc_id bigint, filename string, ts timestamp, findings int")
+    history = streams.committed_rows(spark, f"{work}/history", schema, f"{work}/results")
     newest = activity.latest(history, "session_id", [F.col("ts").desc(), F.col("doc_id").desc()], 3)
     return newest.select("session_id", "recency", "doc_id", "filename", "findings")
 

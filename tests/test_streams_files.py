@@ -1,4 +1,7 @@
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsa.operators.detect import DetectionConfig, add_findings
 from palimpsa.operators.validate import violations, with_status
@@ -174,3 +177,40 @@ def test_events_without_a_time_are_not_judged(spark, tmp_path):
     told = _told(spark, streams.throttled_stream(rows.withColumn("ts", F.timestamp_seconds("s")), limit=1), folder)
     verdicts = {r.event_id: (r.user_id, r.accepted) for r in told}
     assert verdicts == {1: (1, None), 2: (1, True), 3: (1, False), 4: (None, None), 5: (None, True)}
+
+
+def test_readers_see_results_and_history_of_a_batch_or_neither(spark, tmp_path, monkeypatch):
+    """The writer fails between both writes, then before the commit; a replay gives each row once, also a second one."""
+    source, results, history = (str(tmp_path / name) for name in ("docs", "r", "h"))
+    frame = spark.range(6).select(
+        F.col("id").alias("doc_id"), F.lit("x kw").alias("text"), F.lit("es").alias("lang"),
+        F.lit("s").alias("source"), F.lit(4).cast("long").alias("n_chars"),
+        F.lit("f").alias("filename"), F.timestamp_seconds("id").alias("ts"),
+    )
+    frame.repartition(3, "doc_id").write.option("maxRecordsPerFile", 2).parquet(source)
+    config = DetectionConfig(keywords=["kw"])
+    scanned = streams.scanned_stream(streams.document_stream(spark, source, 1, frame.schema), config)
+    told = T.StructType.fromDDL("session_id string, doc_id bigint, filename string, ts timestamp, findings int")
+
+    def run(checkpoint):
+        streams.write_with_history(scanned, results, history, str(tmp_path / checkpoint)).awaitTermination()
+
+    def seen():
+        first = streams.committed_rows(spark, results, frame.schema, results)
+        second = streams.committed_rows(spark, history, told, results)
+        return [sorted((r.batch, r.doc_id) for r in rows.collect()) for rows in (first, second)]
+
+    assert seen() == [[], []]
+    for step in ("_history", "_commit"):
+        with monkeypatch.context() as broken:
+            broken.setattr(streams, step, lambda *_: 1 / 0)
+            with pytest.raises(StreamingQueryException):
+                run("cp")
+        assert seen() == [[], []]
+    assert spark.read.parquet(results).count() > 0
+    run("cp")
+    whole = seen()
+    assert whole[0] == whole[1] and sorted(doc for _, doc in whole[0]) == list(range(6))
+    assert len({batch for batch, _ in whole[0]}) > 1
+    run("lost")  # the stream's own checkpoint is gone, and its batches come again under their numbers
+    assert seen() == whole
