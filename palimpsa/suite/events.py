@@ -74,12 +74,14 @@ def _work_dir(spark):
 
 
 def _planted_stream(spark, sf_dir, work, parts=3):
-    """The planted corpus as a stream: files that arrive one after another, a micro-batch each."""
+    """The planted corpus as a stream: parts that arrive one after another, a micro-batch of as many files as a part has each."""
     planted = marked(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3600))
     for part in range(parts):
         rows = planted.filter(F.col("doc_id") % parts == part)
         rows.write.mode("append").parquet(f"{work}/in")
-    return streams.document_stream(spark, f"{work}/in", 1, planted.schema)
+    # Every part has a file for each task that wrote it; one file at a time would be one task at a time.
+    files = len(spark.read.schema(planted.schema).parquet(f"{work}/in").inputFiles())
+    return streams.document_stream(spark, f"{work}/in", max(1, -(-files // parts)), planted.schema)
 
 
 FILE_EVENTS = 250_000
