@@ -94,7 +94,7 @@ def exact_sampling(spark, sf_dir):
         "doc_id",
         "par",
         let(
-            lexicon.short_pairs(F.transform("s", word_count), 9),
+            let(F.transform("s", word_count), lambda counts: lexicon.short_pairs(counts, 9)),
             lambda e: let(
                 lexicon.sample_exact(e, 0.34, F.col("seed"), "merge"),
                 lambda c: let(
