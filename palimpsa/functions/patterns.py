@@ -96,6 +96,13 @@ def quote(literal: str) -> str:
     return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def _letter(char: str) -> str:
+    """One character as a pattern, short and in ASCII: the engine reads a pattern's text again for each row."""
+    if char.isascii():
+        return char if char.isalnum() or char == " " else quote(char)
+    return rf"\x{{{ord(char):X}}}"
+
+
 def _prefix_tree(phrases: list[str]) -> str:
     """Alternation with shared beginnings, longest first, so few branches are tried per position."""
     rest: dict[str, list[str]] = {}
@@ -104,7 +111,7 @@ def _prefix_tree(phrases: list[str]) -> str:
             rest.setdefault(phrase[0], []).append(phrase[1:])
     if not rest:
         return ""
-    branches = "|".join(quote(first) + _prefix_tree(tails) for first, tails in sorted(rest.items()))
+    branches = "|".join(_letter(first) + _prefix_tree(tails) for first, tails in sorted(rest.items()))
     ends_here = "?" if "" in phrases else ""
     return branches if len(rest) == 1 and not ends_here else f"(?:{branches}){ends_here}"
 

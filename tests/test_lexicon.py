@@ -4,8 +4,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsa.functions import patterns
 from palimpsa.functions.phrases import INTENSITIES, STOCK_PHRASES, SYNONYMS
 from palimpsa.operators import lexicon
+from palimpsa.suite import wording
 
 SAMPLE = (
     "Es importante destacar que el equipo puede mejorar el resultado. En resumen, el problema es grande. "
@@ -120,3 +122,33 @@ def test_paragraph_ordinals_skip_blanks(texts):
     assert [(r.paragraph, r.ordinal, r.is_bullet) for r in rows] == [("a", 1, False), ("- b\n- c", 2, True), ("d", 3, False)]
     rows = lexicon.paragraph_table(texts(["\n\na"])).orderBy("par").collect()
     assert [(r.paragraph, r.ordinal) for r in rows] == [("", None), ("a", 1)]
+
+
+def _optimized(frame):
+    conf, key = frame.sparkSession.conf, "spark.sql.maxPlanStringLength"
+    before = conf.get(key)
+    conf.set(key, str(1 << 30))
+    try:
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        conf.set(key, before)
+
+
+def test_sentences_are_not_found_again_at_each_position(spark, tmp_path):
+    """A lookup by position into an expression instead of a bound variable is quadratic in the sentences."""
+    again = r"\)\[\(?lambda"
+    texts = spark.createDataFrame([(1, "Uno va. Dos va. Tres va.")], "doc_id long, text string")
+    assert not re.search(again, _optimized(lexicon.rewrite(texts, "high").select("rewritten")))
+    texts.selectExpr("doc_id", "text", "'es' as lang", "'s' as source", "9L as n_chars").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    assert not re.search(again, _optimized(wording.exact_sampling(spark, str(tmp_path))))
+
+
+def test_phrase_patterns_are_short_and_ascii(texts):
+    phrases = ["década (1)", "ñandú", "a-b.c", "modo de"]
+    pattern = patterns.whole_phrases(phrases)
+    assert pattern.isascii() and r"\Qm\E" not in pattern
+    found = texts(["La DÉCADA (1)x y la década (1) del ÑANDÚ; a-b.c a-bxc, MODO DE."])
+    rows = found.select(lexicon.phrase_sites(F.col("text"), phrases).alias("m")).first().m
+    assert [r.matched for r in rows] == ["década (1)", "ÑANDÚ", "a-b.c", "MODO DE"]
