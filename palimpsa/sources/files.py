@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from palimpsa.operators.validate import MAX_FILE_BYTES
 from palimpsa.sources.documents import file_label, file_route
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+LISTING_TASKS = 64
+
 
 def bytes_to_text(content: Column) -> Column:
     """UTF-8 when valid (a byte order mark stays in the text), else Latin-1, which never fails."""
@@ -21,7 +24,13 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # By default every folder is listed by a task of its own, up to 10,000 at a time; here a task takes many folders.
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(LISTING_TASKS))
+    try:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    finally:
+        spark.conf.set(LISTING, before)
     return raw.select(
         "path",
         F.substring_index("path", "/", -1).alias("filename"),
@@ -36,7 +45,8 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES)
     The byte cap is a filter on ``length``, which this source pushes down: an
     oversized file is reported without being opened.
     """
-    fit = _files(spark, path).filter(F.col("bytes") <= max_bytes)
+    found = _files(spark, path)  # the folders are listed once
+    fit = found.filter(F.col("bytes") <= max_bytes)
     route = file_route(F.col("filename"))
     readable = route.isin("text", "unknown_as_text")
     read = fit.select(
@@ -48,7 +58,7 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES)
         F.when(readable, "ok").otherwise("error").alias("status"),
         F.when(~readable, F.concat(F.lit("no_reader_for_"), route)).alias("message"),
     )
-    too_big = list_files(spark, path).filter(F.col("bytes") > max_bytes)
+    too_big = found.select("path", "filename", "bytes").filter(F.col("bytes") > max_bytes)
     refused = too_big.select(
         "path",
         "filename",

@@ -9,6 +9,7 @@ from palimpsa.operators.validate import running_total, split_quarantine
 from palimpsa.session import written
 
 PACK_BYTES = 128 * 1024 * 1024
+TASK_BYTES = 32 * 1024 * 1024
 
 
 def clean_name(filename: Column) -> Column:
@@ -63,7 +64,9 @@ def write_packs(
 
     A text goes where it begins in the run of its group's bytes, in the order of ``order`` (which tells the texts of a
     group apart): a pack goes over its size by less than its last text. Sizes are summed on thin rows; texts move once
-    to meet their pack's number and once to their file, and no task holds a group.
+    to meet their pack's number and once to their file, and no task holds a group. A task writes small packs one after
+    another, up to about ``TASK_BYTES``, and moves them to their place itself: neither shuffle blocks nor the driver's
+    share grow with the square or the number of packs.
     """
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1
     thin = documents.select(F.col(group).alias("_group"), F.col(order).alias("_order"), size.cast("long").alias("_size"))
@@ -73,4 +76,7 @@ def write_packs(
     same = F.col(group).eqNullSafe(F.col("_group")) & F.col(order).eqNullSafe(F.col("_order"))
     dealt = documents.join(packs, same).select(group, "pack", F.col(text).alias("value"))
     files = packs.select("_group", "pack").distinct().count()
-    dealt.repartition(max(1, files), group, "pack").write.partitionBy(group, "pack").text(path)
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(files, max(cores, -(-files * pack_bytes // TASK_BYTES))))
+    writer = dealt.repartition(tasks, group, "pack").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(group, "pack").text(path)

@@ -9,6 +9,7 @@ from palimpsa.plans import jobs
 from palimpsa.sources import documents as docs
 from palimpsa.sources import files, sinks
 from palimpsa.streaming import streams
+from palimpsa.suite import events
 
 
 def test_stream_scan_history_and_windows(spark, tmp_path):
@@ -214,3 +215,29 @@ def test_readers_see_results_and_history_of_a_batch_or_neither(spark, tmp_path,
     assert len({batch for batch, _ in whole[0]}) > 1
     run("lost")  # the stream's own checkpoint is gone, and its batches come again under their numbers
     assert seen() == whole
+
+
+def test_a_micro_batch_takes_all_files_of_a_part(spark, tmp_path):
+    """Files that were written by many tasks are not read one at a time."""
+    spark.range(24).selectExpr(
+        "id as doc_id", "concat('texto ', id) as text", "'es' as lang", "'s' as source", "10L as n_chars"
+    ).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    stream = events._planted_stream(spark, str(tmp_path), str(tmp_path / "work"))
+    streams.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "append").awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert len(spark.read.parquet(str(tmp_path / "work/in")).inputFiles()) > 3
+    assert sorted(r.doc_id for r in written.collect()) == list(range(24))
+    assert {r.batch for r in written.select("batch").distinct().collect()} == {0, 1, 2}
+
+
+def test_small_packs_share_a_task_and_folders_are_listed_once(spark, tmp_path, monkeypatch):
+    texts = spark.range(120).selectExpr("id % 2 as g", "id as o", "repeat('x', 99) as text")
+    sinks.write_packs(texts, str(tmp_path / "p"), "g", "o", pack_bytes=100)
+    found = files.list_files(spark, str(tmp_path / "p")).filter("filename like 'part-%'").collect()
+    assert len(found) == 120 and {r.bytes for r in found} == {100}
+    assert len({r.filename.split("-")[1] for r in found}) <= spark.sparkContext.defaultParallelism
+    listed, own = [], files._files
+    before = spark.conf.get(files.LISTING)
+    monkeypatch.setattr(files, "_files", lambda *args: listed.append(args) or own(*args))
+    assert files.read_files(spark, str(tmp_path / "p"), 50).filter("status = 'error'").count() == 120
+    assert len(listed) == 1 and spark.conf.get(files.LISTING) == before
