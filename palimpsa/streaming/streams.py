@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsa.operators.activity import HISTORY_LENGTH, REQUEST_LIMIT, WINDOW_SECONDS, admit
 from palimpsa.operators.clean import clean
@@ -284,75 +286,152 @@ def merged_windows(told: DataFrame, sums: list[str]) -> DataFrame:
     return told.groupBy("window_start", "kind").agg(*[F.sum(c).alias(c) for c in ("n_rows", *sums)])
 
 
-class ExpiringHistoryProcessor(StatefulProcessor):
-    """State per key: the newest entries, and a timer that ends them when no later event comes in time."""
-
-    def __init__(self, time: str, order: str, length: int, ttl_ms: int) -> None:
-        self.time, self.order, self.length, self.ttl = time, order, length, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entries = handle.getListState("entries", "t long, id long")
-
-    def _told(self, key: Any, kind: str, orders: list, ranks: list) -> pd.DataFrame:
-        n = len(orders)
-        return pd.DataFrame({CLIENT: [key[0]] * n, "kind": [kind] * n, self.order: orders, "recency": ranks})
+# Stands for a missing number of an event; a column of numbers with gaps would come as floats.
+UNNUMBERED = UNTIMED
+# Later times than the year 2115 count as that for the watermark: twice as far is the last that pandas can hold.
+AHEAD_DAYS = 53_000
+AHEAD = AHEAD_DAYS * 86_400_000_000
+
+
+PART = "_part"
+LINES = 50_000  # lines of one output frame
+STORED = "clients string, owner binary, entries binary"
+
+
+class Histories:
+    """The newest entries of each key of a part: keys, and time and number of every entry with its key's index."""
+
+    def __init__(self, length: int, ttl_ms: int, stored: tuple[str, bytes, bytes] | None) -> None:
+        self.length, self.ttl = length, ttl_ms
+        clients, owner, entries = stored or ("[]", b"", b"")
+        self.clients: list[str] = json.loads(clients)
+        self.owner = np.frombuffer(owner, np.int64)
+        self.entries = np.frombuffer(entries, np.int64).reshape(-1, 2)
+        self.index = {client: i for i, client in enumerate(self.clients)}
+
+    def stored(self) -> tuple[str, bytes, bytes]:
+        """Keys that still have entries, in the order of their indexes."""
+        used, owner = np.unique(self.owner, return_inverse=True)
+        clients = [self.clients[i] for i in used.tolist()]
+        return json.dumps(clients), owner.astype(np.int64).tobytes(), self.entries.tobytes()
+
+    def ends(self) -> np.ndarray:
+        """Milliseconds at which each key's history is over; the least number for a key without one."""
+        newest = np.full(len(self.clients), UNTIMED)
+        np.maximum.at(newest, self.owner, self.entries[:, 0])
+        return np.where(newest == UNTIMED, UNTIMED, newest // 1000 + self.ttl)
+
+    def expire(self, now: int) -> np.ndarray:
+        """Take out the histories that are over at ``now``, and tell the indexes of their keys."""
+        over = self.ends() <= now
+        gone = over[self.owner]
+        ended = np.unique(self.owner[gone])
+        self.owner, self.entries = self.owner[~gone], self.entries[~gone]
+        return ended
+
+    def indexes(self, clients: pd.Series) -> np.ndarray:
+        codes, names = pd.factorize(clients)
+        for name in names:
+            if self.index.setdefault(name, len(self.clients)) == len(self.clients):
+                self.clients.append(name)
+        return np.array([self.index[name] for name in names], np.int64)[codes]
+
+    def add(self, owner: np.ndarray, times: np.ndarray, numbers: np.ndarray) -> None:
+        owner = np.concatenate([self.owner, owner])
+        entries = np.concatenate([self.entries, np.stack([times, numbers], axis=1)])
+        order = np.lexsort((entries[:, 1], entries[:, 0], owner))
+        owner, entries = owner[order], entries[order]
+        kept = self._ranks(owner) <= self.length
+        self.owner, self.entries = owner[kept], entries[kept]
+
+    @staticmethod
+    def _ranks(owner: np.ndarray) -> np.ndarray:
+        """Of sorted entries, each one's place from its key's newest, which is 1."""
+        return np.searchsorted(owner, owner, side="right") - np.arange(len(owner))
+
+    def of(self, heard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, number and rank of all entries of the keys ``heard``, a key's newest first."""
+        picked = np.flatnonzero(np.isin(self.owner, heard))[::-1]
+        return self.owner[picked], self.entries[picked, 1], self._ranks(self.owner)[picked]
+
+
+def _expiring(order: str, length: int, ttl_ms: int):
+    """State per part of the keys: their newest entries, and a timeout at the first moment at which one is over.
+
+    All keys of a part go through one call, as arrays.
+    """
 
-    def _end(self, newest: list[tuple[int, int]]) -> int:
-        return newest[-1][0] // 1000 + self.ttl
+    def told(known: Histories, kind: str, owner: np.ndarray, numbers: np.ndarray, ranks: np.ndarray | None = None):
+        absent = np.zeros(len(owner), np.int64)
+        ranks = absent if ranks is None else ranks
+        for start in range(0, len(owner), LINES):
+            part = slice(start, start + LINES)
+            yield pd.DataFrame(
+                {
+                    CLIENT: [known.clients[i] for i in owner[part].tolist()], "kind": kind,
+                    order: pd.arrays.IntegerArray(numbers[part], numbers[part] == UNNUMBERED),
+                    "recency": pd.arrays.IntegerArray(ranks[part].astype(np.int32), ranks[part] == 0),
+                }
+            )
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = [(int(t), int(i)) for t, i in self.entries.get()]
-        now = timerValues.getCurrentWatermarkInMs()
-        if newest:
-            self.handle.deleteTimer(self._end(newest))
-            if self._end(newest) <= now:  # its timer would have fired in this micro-batch
-                yield self._told(key, "evicted", [None], [None])
-                newest = []
-        for frame in rows:
-            times, timed = _times(frame[self.time])
-            apart = frame[self.order][~timed].tolist()
-            if apart:
-                yield self._told(key, "untimed", apart, [None] * len(apart))
-            newest += list(zip(times[timed].tolist(), frame[self.order][timed].tolist()))
-            newest = sorted(newest)[-self.length :]
+    def remember(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        known = Histories(length, ttl_ms, tuple(state.get) if state.exists else None)
+        unnumbered = lambda owner: np.full(len(owner), UNNUMBERED)
+        ended = known.expire(now)
+        yield from told(known, "evicted", ended, unnumbered(ended))
+        heard = np.zeros(0, np.int64)
+        for frame in () if state.hasTimedOut else rows:
+            owner, timed = known.indexes(frame[CLIENT]), frame["_timed"].to_numpy(bool)
+            numbers = frame[order].to_numpy(np.int64)
+            yield from told(known, "untimed", owner[~timed], numbers[~timed])
+            known.add(owner[timed], frame["_micros"].to_numpy(np.int64)[timed], numbers[timed])
+            heard = np.union1d(heard, owner)
         # What came too late to be remembered is over at once.
-        if newest and self._end(newest) <= now:
-            newest = []
-        if newest:
-            self.entries.put(newest)
-            self.handle.registerTimer(self._end(newest))
-        else:
-            self.entries.clear()
-        listed = [i for _, i in newest[::-1]]
-        yield self._told(key, "kept", listed or [None], list(range(1, len(listed) + 1)) or [None])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.entries.clear()
-        yield self._told(key, "evicted", [None], [None])
-
-    def close(self) -> None:
-        pass
+        known.expire(now)
+        owner, numbers, ranks = known.of(heard)
+        yield from told(known, "kept", owner, numbers, ranks)
+        empty = np.setdiff1d(heard, owner)
+        yield from told(known, "kept", empty, unnumbered(empty))
+        if len(known.owner):
+            ends = known.ends()
+            state.update(known.stored())
+            # Times out once the watermark is later than this.
+            state.setTimeoutTimestamp(max(int(ends[ends > now].min()) - 1, 1))
+        elif state.exists:
+            state.remove()
+
+    return remember
 
 
 def expiring_history(
     events: DataFrame, key: str = "user_id", time: str = "ts", order: str = "event_id", length: int = HISTORY_LENGTH,
-    ttl_ms: int = HISTORY_TTL_MS, lateness: str = "1 hour",
+    ttl_ms: int = HISTORY_TTL_MS, lateness: str = "1 hour", parts: int = 1024,
 ) -> DataFrame:
     """The current history of every key with events in the micro-batch, and every history that ends.
 
     Columns: key, kind, ``order``, recency. A micro-batch's ``kept`` lines are the whole history of a key (one line
     without ``order`` when nothing is left). A key whose newest event is ``ttl_ms`` older than the watermark is
-    ``evicted`` by an event-time timer, whether or not it is heard of again; if so, it starts empty. Events without a
-    time are ``untimed`` lines and in no history. Needs the RocksDB state store; runs with any trigger.
+    ``evicted`` by an event-time timeout, whether or not it is heard of again; if so, it starts empty. Events without a
+    time are ``untimed`` lines and in no history. Runs with any trigger; the RocksDB state store (``use_keyed_state``)
+    keeps the histories out of the heap.
+
+    Keys are dealt to ``parts``, each with one state and one call in a micro-batch, so calls are bounded and a key costs
+    array work only. A part's state is written whole, 24 bytes an entry: live keys / ``parts`` * ``length`` entries.
     """
     schema = T.StructType(
         [CLIENT_FIELD, T.StructField("kind", T.StringType()), events.schema[order], T.StructField("recency", T.IntegerType())]
     )
-    # A copy of the time carries no watermark, so the engine drops no event before it is seen here.
-    timed = events.withWatermark(time, lateness).select(_client(key), F.timestamp_micros(F.unix_micros(time)).alias(time), order)
-    told = timed.groupBy(CLIENT).transformWithStateInPandas(
-        ExpiringHistoryProcessor(time, order, length, ttl_ms), schema, outputMode="Append", timeMode="EventTime"
+    micros = F.unix_micros(time)
+    # The engine drops rows whose watermarked time is late before they are seen here. So the watermark is kept on a time
+    # moved ahead, with a lateness longer by as much: it is the same, and no row is late. Times before 1970 never move it.
+    ahead = F.when(micros >= 0, F.timestamp_micros(F.least(micros, F.lit(AHEAD)) + F.lit(AHEAD)))
+    timed = events.select(
+        _client(key), F.coalesce(micros, F.lit(0)).alias("_micros"), micros.isNotNull().alias("_timed"),
+        F.coalesce(order, F.lit(UNNUMBERED)).alias(order), ahead.alias("_ahead"),
+    ).withWatermark("_ahead", f"{lateness} {AHEAD_DAYS} days")
+    told = timed.withColumn(PART, F.pmod(F.xxhash64(CLIENT), F.lit(parts))).groupBy(PART).applyInPandasWithState(
+        _expiring(order, length, ttl_ms), schema, STORED, "append", GroupStateTimeout.EventTimeTimeout
     )
     return _decoded(told, events.schema[key])
 

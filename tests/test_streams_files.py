@@ -170,6 +170,34 @@ def test_silent_keys_lose_their_history(spark, tmp_path):
     assert [(r.user_id, r.batch) for r in told if r.kind == "evicted"] == [(b, 3)]
 
 
+def test_many_keys_share_a_state(spark, tmp_path):
+    """State and calls are bounded by parts, not by keys; a history ends when the watermark reaches its end."""
+    ttl, hour, keys = 3 * DAY, 3600, 200
+    batches = [
+        [(2 * k, 100 + k, k) for k in range(keys)] + [(2 * k + 1, 200 + k, k) for k in range(keys)],
+        [(1000, ttl + 300 + hour, 7)],  # the watermark reaches the ends of keys up to 100
+        [(2000 + k, ttl + 500 + hour, k) for k in range(60, 120)],
+    ]
+    folder = str(tmp_path)
+    _sent(spark, f"{folder}/in", batches, "event_id long, s long, user_id long")
+    rows = spark.readStream.schema("event_id long, s long, user_id long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = streams.expiring_history(rows.withColumn("ts", F.timestamp_seconds("s")), length=2, ttl_ms=ttl * 1000, parts=3)
+    streams.use_keyed_state(spark)
+    query = streams.write_batches(stream, f"{folder}/out", f"{folder}/checkpoint", "append")
+    query.awaitTermination()
+    assert 0 < max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 3
+    told = spark.read.parquet(f"{folder}/out").collect()
+    first = {r.user_id for r in told if r.kind == "evicted" and r.batch <= 2}
+    assert first == set(range(101)) - {7}  # key 7 was heard of in time, key 100 ends on the moment
+    kept = {}
+    for r in sorted((r for r in told if r.kind == "kept"), key=lambda r: r.recency):
+        kept.setdefault((r.batch, r.user_id), []).append(r.event_id)
+    assert kept == (
+        {(0, k): [2 * k + 1, 2 * k] for k in range(keys)} | {(1, 7): [1000, 15]}
+        | {(2, k): [2000 + k] if k <= 100 else [2000 + k, 2 * k + 1] for k in range(60, 120)}
+    )
+
+
 def test_events_without_a_time_are_not_judged(spark, tmp_path):
     folder = str(tmp_path)
     schema = "event_id long, s long, user_id long"
