@@ -137,6 +137,32 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[di
         yield held
 
 
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers some megabytes at a time, unless the session has a limit of its own.
+
+    Without it a batch is 10,000 rows, which executor and worker both hold whole, for each Python step of a task.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def pooled(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``limit`` bytes of text, whatever the batches: small ones are put together."""
+    held, size = [], 0
+    for part in text_slices(batches, text, limit):
+        own = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
+        if held and size + own > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tidy() -> None:
     """Give back what a task's arrays held: Python workers stay alive beside the next stage's."""
     pa.default_memory_pool().release_unused()

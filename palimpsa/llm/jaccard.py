@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import discard, release, settle, text_slices, tidy, whole
+from palimpsa.llm.common import discard, release, settle, small_batches, text_slices, tidy, whole
 from palimpsa.llm.components import components
 from palimpsa.llm.shingles import set_key, shingle_sets
 
@@ -394,6 +394,7 @@ def similarity_classes(
     """
     rule = Threshold(*similarity)
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(whole(text)).alias("_hash"), whole(text).alias("_text"))
     shape = "_key long, _hash long, _n long, _set binary, _bits binary, _chunk int"
     described = settle(rows.mapInArrow(_describe(words), shape), "sets")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import GOLD, discard, mix, pack, release, settle, text_slices, unpack
+from palimpsa.llm.common import GOLD, discard, mix, pack, pooled, release, settle, small_batches, tidy, unpack
 
 CHUNK_BYTES = 4 << 20  # text of a chunk, if it is more than one row
 BUCKET_TOKENS = 2 << 20  # tokens for each bucket of n-grams
@@ -71,7 +71,7 @@ def _words_of(text: bytes) -> Iterator[list[bytes]]:
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("_chunk", pa.int64()), ("_tokens", pa.int64()), ("_body", pa.binary())])
     number = TaskContext.get().partitionId() << 32
-    for part in text_slices(batches, "_text", CHUNK_BYTES):
+    for part in pooled(batches, "_text", CHUNK_BYTES):
         known: dict[bytes, int] = {END: 0}
         tokens: list[np.ndarray] = []
         sizes = np.zeros(part.num_rows, np.int64)
@@ -101,6 +101,8 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         }
         yield pa.RecordBatch.from_pylist([{"_chunk": number, "_tokens": int(sizes.sum()), "_body": pack(body)}], schema)
         number += 1
+        del known, tokens, held, body
+        tidy()
 
 
 def _words(body: dict) -> pa.Array:
@@ -135,25 +137,33 @@ def _split(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(bucket[a]), slice(a, b)
 
 
+def _each(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Values of a batch, one row after the other: bodies are large and never copied all at once."""
+    for values in zip(*[batch.column(name) for name in names], strict=True):
+        yield tuple(v.as_py() for v in values)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
     """Consecutive rows of one ``key``: (chunk, body) each."""
     own, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and row[key] != own:
+        for name, chunk, body in _each(batch, key, "_chunk", "_body"):
+            if held and name != own:
                 yield own, held
                 held = []
-            own = row[key]
-            held.append((row["_chunk"], row["_body"]))
+                tidy()
+            own = name
+            held.append((chunk, body))
     if held:
         yield own, held
+    tidy()
 
 
 def _word_entries(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                body = unpack(row["_body"])
+            for chunk, packed in _each(batch, "_chunk", "_body"):
+                body = unpack(packed)
                 words = _words(body)
                 place = _word_buckets(words, buckets)
                 every = np.bincount(body["at"], minlength=len(words))
@@ -166,8 +176,10 @@ def _word_entries(buckets: int):
                     sent = {
                         "lengths": body["lengths"][own], "words": b"".join(picked.to_pylist()), "all": every[own], "n": learnt[own],
                     }
-                    out.append({"_bucket": bucket, "_chunk": row["_chunk"], "_body": pack(sent)})
+                    out.append({"_bucket": bucket, "_chunk": chunk, "_body": pack(sent)})
                 yield _rows(out, ENTRY_ARROW)
+                del body, words, place, every, learnt, order, out
+                tidy()
 
     return send
 
@@ -205,11 +217,15 @@ def _word_answers(buckets: int, tokens: int):
     return answer
 
 
-def _classes(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A row per n-gram: its weight in the column of its count (1 to ``DISCOUNTED``, then all greater ones)."""
-    out = np.zeros((len(counts), DISCOUNTED + 1), np.int64)
-    seen = counts > 0
-    out[np.flatnonzero(seen), np.minimum(counts[seen], DISCOUNTED + 1) - 1] = weights[seen]
+def _class_sums(leads: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """A row per history (its n-grams begin at ``leads``): sums of counts of its seen n-grams by their count (1 to
+    ``DISCOUNTED``, then all greater ones), and of the counts one order below by those."""
+    width = DISCOUNTED + 1
+    out = np.zeros((len(leads), 2 * width), np.int64)
+    of_history = np.repeat(np.arange(len(leads)), np.diff([*leads, len(counts)])) * 2 * width
+    for first, values in ((0, counts), (width, lower)):
+        seen = (counts > 0) & (values > 0)
+        np.add.at(out.reshape(-1), of_history[seen] + first + np.minimum(values[seen], width) - 1, values[seen])
     return out
 
 
@@ -268,8 +284,8 @@ def _gram_buckets(history: np.ndarray, word: np.ndarray, buckets: int, hot: np.n
 def _gram_entries(order: int, buckets: int, hot: np.ndarray):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                grams = _grams(unpack(row["_body"]), order)
+            for chunk, packed in _each(batch, "_chunk", "_body"):
+                grams = _grams(unpack(packed), order)
                 place = _gram_buckets(grams["history"], grams["word"], buckets, hot)
                 by = np.argsort(place, kind="stable")
                 out = []
@@ -281,50 +297,58 @@ def _gram_entries(order: int, buckets: int, hot: np.ndarray):
                         "history": history[begins], "run": np.diff([*begins, len(history)]), "word": grams["word"][own],
                         "lower": grams["lower"][own], "n": grams["n"][own],
                     }
-                    out.append({"_bucket": bucket, "_chunk": row["_chunk"], "_body": pack(sent)})
+                    out.append({"_bucket": bucket, "_chunk": chunk, "_body": pack(sent)})
                 yield _rows(out, ENTRY_ARROW)
+                del grams, place, by, out
+                tidy()
 
     return send
 
 
 def _gram_answers(buckets: int, hot: np.ndarray, named: bool):
+    def answered(bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        chunks, bodies = [c for c, _ in rows], [unpack(b) for _, b in rows]
+        rows.clear()
+        join = lambda name: np.concatenate([b[name] for b in bodies]).astype(np.int64)
+        history, word = np.repeat(join("history"), join("run")), join("word")
+        order = _by_pair(history, word)
+        history, word = history[order], word[order]
+        fresh = _starts(history, word)
+        firsts = np.flatnonzero(fresh)
+        histories, words = history[firsts], word[firsts]
+        del history, word
+        counts = np.add.reduceat(join("n")[order], firsts)
+        lower = join("lower")[order[firsts]]
+        at = np.empty(len(order), np.int32)  # a bucket has a few million n-grams
+        at[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        del order, fresh, firsts
+        starts = _starts(histories)
+        leads = np.flatnonzero(starts)
+        sums = _class_sums(leads, counts, lower)
+        of_history = np.cumsum(starts, dtype=np.int32) - 1
+        del lower, starts
+        start, out = 0, []
+        for chunk, body in zip(chunks, bodies, strict=True):
+            own = at[start : start + len(body["n"])]
+            begins = np.cumsum(body["run"], dtype=np.int64) - body["run"]
+            start += len(own)
+            told = {"c": counts[own], "run": body["run"]}
+            for i, column in enumerate(sums[of_history[own[begins]]].T):
+                told[f"s{i}"] = column
+            if named:
+                told["id"] = 1 + own.astype(np.int64) * buckets + bucket
+            out.append({"_kind": "reply", "_chunk": chunk, "_bucket": bucket, "_body": pack(told)})
+        stored = {"history": histories[leads], "run": np.diff([*leads, len(histories)]), "word": words, "c": counts}
+        out.append({"_kind": "table", "_chunk": -1, "_bucket": bucket, "_body": pack(stored)})
+        split = [[int(histories[leads[i]]), *sums[i].tolist()] for i in np.flatnonzero(np.isin(histories[leads], hot))]
+        said = {"of": _of_counts(counts), "split": split}
+        out.append({"_kind": "sums", "_chunk": -1, "_bucket": bucket, "_body": json.dumps(said).encode()})
+        return _rows(out, ANSWER_ARROW)
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _groups(batches, "_bucket"):
-            bodies = [unpack(b) for _, b in rows]
-            join = lambda name: np.concatenate([b[name] for b in bodies]).astype(np.int64)
-            history, word = np.repeat(join("history"), join("run")), join("word")
-            order = _by_pair(history, word)
-            fresh = _starts(history[order], word[order])
-            heads = order[fresh]
-            counts = np.add.reduceat(join("n")[order], np.flatnonzero(fresh))
-            at = np.empty(len(order), np.int64)
-            at[order] = np.cumsum(fresh) - 1
-            histories = history[heads]
-            leads = np.flatnonzero(_starts(histories))
-            lower = join("lower")[heads]
-            sums = np.hstack([_classes(counts, counts), _classes(np.where(counts > 0, lower, 0), lower)])
-            sums = np.add.reduceat(sums, leads, axis=0)
-            of_history = np.cumsum(_starts(histories)) - 1
-            ids = 1 + np.arange(len(heads), dtype=np.int64) * buckets + bucket
-            start, out = 0, []
-            for (chunk, _), body in zip(rows, bodies, strict=True):
-                own = at[start : start + len(body["n"])]
-                begins = np.cumsum(body["run"], dtype=np.int64) - body["run"]
-                start += len(own)
-                told = {"c": counts[own], "run": body["run"]}
-                for i, column in enumerate(sums[of_history[own[begins]]].T):
-                    told[f"s{i}"] = column
-                if named:
-                    told["id"] = ids[own]
-                out.append({"_kind": "reply", "_chunk": chunk, "_bucket": bucket, "_body": pack(told)})
-            stored = {"history": histories[leads], "run": np.diff([*leads, len(histories)]), "word": word[heads], "c": counts}
-            out.append({"_kind": "table", "_chunk": -1, "_bucket": bucket, "_body": pack(stored)})
-            split = [[int(h), *s.tolist()] for h, s in zip(histories[leads], sums, strict=True) if h in hot_set]
-            said = {"of": _of_counts(counts), "split": split}
-            out.append({"_kind": "sums", "_chunk": -1, "_bucket": bucket, "_body": json.dumps(said).encode()})
-            yield _rows(out, ANSWER_ARROW)
+            yield answered(bucket, rows)  # its arrays are gone before the next bucket comes
 
-    hot_set = set(hot.tolist())
     return answer
 
 
@@ -402,7 +426,7 @@ def _kept(counts: np.ndarray, order: Order) -> np.ndarray:
 def log_probabilities(body: dict, orders: int, model: list[Order], tokens: int, of_words: np.ndarray) -> np.ndarray:
     """log10 of each token's probability: of its longest seen n-gram, else the history's weight and the order below.
 
-    ``of_words`` has the sums of counts of all words, by class as ``_classes``.
+    ``of_words`` has the sums of counts of all words, by class as ``_class_sums``.
     """
     total, left = _mass(of_words[None, :], model[0])
     total, left = (float(total[0]), float(left[0])) if tokens else (1.0, 1.0)
@@ -489,6 +513,7 @@ def score_texts(
     buckets, and sums of the frequent histories, fewer than buckets.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     thin = docs.select(
         F.col(key).cast("long").alias("_key"), F.coalesce(held_out, F.lit(False)).alias("_held"), F.col(text).alias("_text")
     )

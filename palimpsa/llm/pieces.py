@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import GOLD, mix, tidy
+from palimpsa.llm.common import GOLD, mix, small_batches, tidy
 from palimpsa.llm.streams import array_slices
 
 MARK = 0x2581  # stands for a blank inside pieces
@@ -442,24 +442,19 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", into: str = "
     holds the mark's own sign. Time and memory are linear in a text's length, also of one without any blank under a BPE
     model: such a word is cut into segments (``_long_path``). A narrow step; an existing column ``into`` is replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = Memory()
         for column in batches:
-            offsets, ids = [0], []
+            # What a slice gives goes on at once; a task holds the pieces of one slice.
             for part in array_slices(column, SLICE_BYTES, SLICE_ROWS):
-                for run in encode_texts(part.to_pylist(), shared.value, memory):
-                    ids.append(run)
-                    offsets.append(offsets[-1] + len(run))
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            missing = column.is_null()
-            if column.null_count:
-                values_list = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                yield pc.if_else(missing, pa.scalar(None, values_list.type), values_list)
-            else:
-                yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            del ids, values
+                ids = encode_texts(part.to_pylist(), shared.value, memory)
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+                yield pc.if_else(part.is_null(), pa.scalar(None, out.type), out) if part.null_count else out
+                del ids, out
             tidy()
 
     encoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -468,11 +463,11 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", into: str = "
 
 def decode(docs: DataFrame, model: PieceModel, pieces: str = "pieces", into: str = "decoded") -> DataFrame:
     """All columns of ``docs`` plus ``into``: the text of the ids; null ids give null."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            out: list[str | None] = []
             for start in range(0, len(column), 512):
                 part = column.slice(start, 512)
                 # Null rows may have members in between; each row is cut from the flat values by its own bounds.
@@ -480,9 +475,8 @@ def decode(docs: DataFrame, model: PieceModel, pieces: str = "pieces", into: str
                 offsets = part.offsets.to_numpy()
                 valid = part.is_valid().to_numpy(zero_copy_only=False)
                 texts = decode_ids([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], shared.value)
-                out += [t if ok else None for t, ok in zip(texts, valid, strict=True)]
-            yield pa.array(out, pa.string())
-            del out
+                yield pa.array([t if ok else None for t, ok in zip(texts, valid, strict=True)], pa.string())
+                del flat, texts
             tidy()
 
     decoded.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

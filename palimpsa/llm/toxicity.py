@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import settle, tidy, whole
+from palimpsa.llm.common import settle, small_batches, tidy, whole
 from palimpsa.llm.streams import array_slices, gram_hashes, letter_stream, letter_table
 
 ORDERS = range(5, 7)
@@ -267,6 +267,7 @@ def add_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text
     A missing or empty text has the score of a text without features; without a model the score is 0. A narrow step;
     an existing column ``into`` is replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -3,11 +3,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsa.llm import katz
-from palimpsa.llm.common import remainder
+from palimpsa.llm.common import pooled, remainder
 
 
 def tokens(text):
@@ -131,3 +133,19 @@ def test_pack(rows):
     arrays = {"a": np.arange(300), "b": np.array([-1, 5]), "c": np.zeros(0, np.int64), "d": np.array([0.5, 1e9]), "e": b"xy"}
     back = unpack(pack(arrays))
     assert back["e"] == b"xy" and all(np.array_equal(back[k], arrays[k]) for k in "abcd")
+
+
+def test_small_batches_make_no_small_chunks():
+    """Rows come some megabytes at a time; a chunk holds as much text as before, and rows keep their order."""
+    texts = [f"{i} " * 100 for i in range(400)] + [None, "x" * 50_000, ""]
+    batches = [pa.RecordBatch.from_pydict({"_text": pa.array(texts[i : i + 7], pa.string())}) for i in range(0, len(texts), 7)]
+    parts = list(pooled(iter(batches), "_text", 20_000))
+    assert [t for p in parts for t in p.column("_text").to_pylist()] == texts
+    sizes = [sum(len(t or "") for t in p.column("_text").to_pylist()) for p in parts]
+    assert all(a + b > 20_000 for a, b in zip(sizes, sizes[1:])) and sum(s > 20_000 for s in sizes) == 1
+
+
+def test_class_sums():
+    counts, lower = np.array([1, 7, 0, 2, 2]), np.array([3, 9, 4, 0, 6])
+    got = katz._class_sums(np.array([0, 3]), counts, lower)
+    assert got.tolist() == [[1, 0, 0, 0, 0, 7, 0, 0, 3, 0, 0, 9], [0, 4, 0, 0, 0, 0, 0, 0, 0, 0, 0, 6]]
