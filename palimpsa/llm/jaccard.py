@@ -1,9 +1,11 @@
-"""Near duplicates: an exact Jaccard join of shingle sets in size-banded tiles with bitmap signatures."""
+"""Near duplicates: an exact Jaccard join of shingle sets by whole parts, in size-banded tiles with bitmap signatures."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsa.llm.common import discard, release, settle, small_batches, text_slices, tidy, whole
+from palimpsa.llm.common import discard, mix, release, settle, small_batches, text_slices, tidy, whole
 from palimpsa.llm.components import components
-from palimpsa.llm.shingles import set_key, shingle_sets
+from palimpsa.llm.shingles import set_id, set_key, shingle_sets
 
 BUCKET_BITS = 22  # counters by which shingles are ordered, rare ones first: 16 MB, whatever the input
 CHUNK = 1 << 14
@@ -21,6 +23,7 @@ MIN_WIDTH, MAX_WIDTH = 512, 8192  # bits of a signature
 BLOCK = 2048  # entries of a tile's side
 BROADCAST_PAIRS = 500_000  # 32 bytes each
 SLICE = 1 << 19  # bytes of text that a task shingles at a time, if they are more than one text
+FILL = 2  # least mean of members that a part has
 SEEN = 50_000  # sets that a task remembers so as not to repeat their entries
 
 
@@ -63,14 +66,33 @@ class Threshold:
         """``sizes`` is the sum of both sizes."""
         return (self.over + self.under) * common >= self.under * sizes
 
-    def band(self, n: np.ndarray) -> np.ndarray:
-        """Numbers of bands; sizes in one band, and only those in neighbouring ones, allow a link."""
-        return np.floor(np.log(np.maximum(n, 1)) / np.log(self.over / self.under)).astype(np.int64)
-
-    def apart(self, sizes: np.ndarray) -> np.ndarray:
+    def apart(self, sizes: np.ndarray | int) -> np.ndarray | int:
         """The most members that only one of two linked sets may have."""
         return sizes * (self.over - self.under) // (self.over + self.under)
 
+    @lru_cache(maxsize=4)  # noqa: B019
+    def families(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of sizes up to ``largest`` by their least size, and the gap and parts of the family of each.
+
+        A partner's size is in the same class or a neighbouring one. Linked sets of a class, or of it and the one above,
+        differ in at most ``gap`` members; so if one of them has more filled parts than that, the other has one of
+        those parts just the same. There are no parts where a part would have fewer than ``FILL`` members.
+        """
+        starts, gaps, parts = [], [], []
+        size = 1
+        while size <= largest:
+            after = max(size + 1, self.over * (size - 1) // self.under + 1)
+            gap = self.apart(after - 1 + self.over * (after - 1) // self.under)
+            count = gap + 1
+            for _ in range(9):  # parts that chance leaves empty come on top
+                empty = count * math.exp(-size / count)
+                count = gap + 1 + int(empty + 2 * math.sqrt(empty))
+            starts.append(size)
+            gaps.append(gap)
+            parts.append(count if count * FILL <= size else 0)
+            size = after
+        return np.array(starts, np.int64), np.array(gaps, np.int64), np.array(parts, np.int64)
+
 
 def signature(values: np.ndarray) -> bytes:
     """A bitmap in which each member flips the bit of its hash; it has about as many bits as members."""
@@ -120,16 +142,18 @@ def _describe(words: int):
             sets = shingle_sets(part.column("_text"), words)
             for values in sets:
                 np.add.at(counts, (values >> shift).astype(np.int64), 1)
+            names = [set_key(v) for v in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("_key"),
                     part.column("_hash"),
                     pa.array([len(v) for v in sets], pa.int64()),
-                    pa.array([set_key(v) for v in sets], pa.binary()),
+                    pa.array(names, pa.binary()),
+                    pa.array([set_id(k) for k in names], pa.int64()),
                     pa.array([signature(v) for v in sets], pa.binary()),
                     pa.array([-1] * len(sets), pa.int32()),
                 ],
-                ["_key", "_hash", "_n", "_set", "_bits", "_chunk"],
+                ["_key", "_hash", "_n", "_set", "_id", "_bits", "_chunk"],
             )
         chunks = counts.reshape(-1, CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
@@ -139,10 +163,11 @@ def _describe(words: int):
                 pa.nulls(len(used), pa.int64()),
                 pa.array([0] * len(used), pa.int64()),
                 pa.array([b""] * len(used), pa.binary()),
+                pa.nulls(len(used), pa.int64()),
                 pa.array([chunks[i].astype(np.min_scalar_type(chunks[i].max())).tobytes() for i in used], pa.binary()),
                 pa.array(used.astype(np.int32), pa.int32()),
             ],
-            ["_key", "_hash", "_n", "_set", "_bits", "_chunk"],
+            ["_key", "_hash", "_n", "_set", "_id", "_bits", "_chunk"],
         )
         del chunks, counts
         tidy()
@@ -166,91 +191,110 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _part_keys(rule: Threshold, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts of each set and the index of its set, and which sets have too few filled parts in a family."""
+    sizes = np.array([len(v) for v in sets], np.int64)
+    starts, gaps, parts = rule.families(1 << int(sizes.max(initial=1)).bit_length())
+    own = np.searchsorted(starts, sizes, "right") - 1
+    values = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    high, mixed = values >> np.uint64(32), mix(values)
+    few = np.zeros(len(sets), bool)
+    keys, holders = [], []
+    for family in (own, own - 1):
+        used = (family >= 0) & (gaps[family] > 0)
+        rows = np.flatnonzero((used & (parts[family] > 0))[owner])
+        of = owner[rows]
+        # Members are sorted, so those of a part stand side by side.
+        part = (high[rows] * parts[family].astype(np.uint64)[of]) >> np.uint64(32)
+        first = np.ones(len(rows), bool)
+        first[1:] = (of[1:] != of[:-1]) | (part[1:] != part[:-1])
+        at = np.flatnonzero(first)
+        if len(at):
+            name = mix((family[of[at]].astype(np.uint64) << np.uint64(32)) + part[at] + np.uint64(1))
+            keys.append(mix(np.add.reduceat(mixed[rows], at) + name))
+            holders.append(of[at])
+        few |= used & (np.bincount(of[at], minlength=len(sets)) <= gaps[family])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*keys, none.astype(np.uint64)]), np.concatenate([*holders, none]), few
+
+
 def _entries(words: int, rule: Threshold, counters):
-    """(shingle, set, size) for the rarest shingles of each set; a task sends a set once."""
+    """(key, set) for the parts of each set, or also its rarest shingles if they are too few; a task sends a set once."""
     shift = np.uint64(64 - BUCKET_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         counts = counters.value
         for part in text_slices(batches, "_text", SLICE):
-            tokens, keys = [], []
+            sets, ids = [], []
             for values in shingle_sets(part.column("_text"), words):
-                n = len(values)
                 key = set_key(values)
-                if n == 0 or key in seen:
+                if len(values) == 0 or key in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(key)
+                sets.append(values)
+                ids.append(set_id(key))
+            if not sets:
+                continue
+            keys, owner, few = _part_keys(rule, sets)
+            tokens, holders = [keys], [owner]
+            for i in np.flatnonzero(few).tolist():
+                values = sets[i]
                 rank = np.argsort(counts[(values >> shift).astype(np.int64)], kind="stable")
-                tokens.append(values[rank[: rule.prefix(n)]].astype(np.int64))
-                keys.append((key, n))
-            if tokens:
-                which = np.repeat(np.arange(len(keys)), [len(t) for t in tokens])
-                names = np.frombuffer(b"".join(k for k, _ in keys), KEY)[which]
-                sizes = np.array([n for _, n in keys], np.int64)[which]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), to_keys(names), pa.array(sizes)], ["_token", "_set", "_n"]
-                )
+                tokens.append(values[rank[: rule.prefix(len(values))]])
+                holders.append(np.full(len(tokens[-1]), i))
+            names = np.array(ids, np.int64)[np.concatenate(holders)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(names)], ["_token", "_id"]
+            )
         tidy()
 
     return run
 
 
-def _neighbours(rule: Threshold):
-    """Sorted entries: those whose shingle another set has too, each with the first such set of its band of sizes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.schema([("_token", pa.int64()), ("_set", pa.binary()), ("_n", pa.int64())]).empty_table()
-        last = None  # shingle, band and name of the last judged entry's first set
-
-        def cut(rows: pa.Table, before, final: bool) -> tuple[pa.RecordBatch | None, pa.Table, object]:
-            token = rows.column("_token").to_numpy()
-            names = from_keys(rows.column("_set"))
-            n = rows.column("_n").to_numpy()
-            # Copies of a set's entry stand side by side; the first of them counts.
-            first = np.ones(len(rows), bool)
-            first[1:] = (token[1:] != token[:-1]) | (names[1:] != names[:-1])
-            rows, token, names, n = rows.filter(pa.array(first)), token[first], names[first], n[first]
-            # The last row is judged when the one after it is known.
-            stop = len(token) if final else len(token) - 1
-            if stop <= 0:
-                return None, rows, before
-            band = rule.band(n)
-            same = np.zeros(len(token) + 1, bool)
-            same[1:-1] = token[1:] == token[:-1]
-            same[0] = before is not None and before[0] == token[0]
-            opens = ~same[:-1]
-            opens[1:] |= band[1:] != band[:-1]
-            opens[0] |= before is not None and before[1] != band[0]
-            heads = np.maximum.accumulate(np.where(opens, np.arange(len(token)), -1))
-            head = names[np.maximum(heads, 0)]
-            if before is not None:
-                head[heads < 0] = before[2]
-            # An entry is kept if another set has its shingle too.
-            keep = np.flatnonzero((same[:-1] | same[1:])[:stop])
-            near = ~opens[keep]
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(token[keep]), to_keys(names[keep]), pa.array(n[keep]), to_keys(head[keep], ~near),
-                ],
-                ["_token", "_set", "_n", "_before"],
-            )
-            return out, rows.slice(stop), (token[stop - 1], band[stop - 1], head[stop - 1])
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted entries: those whose key another set has too, each but the first with the first such set."""
+    held = pa.schema([("_token", pa.int64()), ("_id", pa.int64())]).empty_table()
+    last = None  # key and first set of the last judged entry
+
+    def cut(rows: pa.Table, before, final: bool) -> tuple[pa.RecordBatch | None, pa.Table, object]:
+        token, ids = rows.column("_token").to_numpy(), rows.column("_id").to_numpy()
+        # Copies of a set's entry stand side by side; the first of them counts.
+        first = np.ones(len(rows), bool)
+        first[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
+        rows, token, ids = rows.filter(pa.array(first)), token[first], ids[first]
+        # The last row is judged when the one after it is known.
+        stop = len(token) if final else len(token) - 1
+        if stop <= 0:
+            return None, rows, before
+        same = np.zeros(len(token) + 1, bool)
+        same[1:-1] = token[1:] == token[:-1]
+        same[0] = before is not None and before[0] == token[0]
+        heads = np.maximum.accumulate(np.where(same[:-1], -1, np.arange(len(token))))
+        head = ids[np.maximum(heads, 0)]
+        if before is not None:
+            head[heads < 0] = before[1]
+        # An entry is kept if another set has its key too.
+        keep = np.flatnonzero((same[:-1] | same[1:])[:stop])
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(token[keep]), pa.array(ids[keep]), pa.array(head[keep], mask=~same[keep])],
+            ["_token", "_id", "_before"],
+        )
+        return out, rows.slice(stop), (token[stop - 1], head[stop - 1])
 
-        for batch in batches:
-            out, held, last = cut(pa.concat_tables([held, pa.Table.from_batches([batch])]), last, False)
-            if out is not None:
-                yield out
-        out, held, last = cut(held, last, True)
+    for batch in batches:
+        out, held, last = cut(pa.concat_tables([held, pa.Table.from_batches([batch])]), last, False)
         if out is not None:
             yield out
-
-    return run
+    out, held, last = cut(held, last, True)
+    if out is not None:
+        yield out
 
 
 PAIR = "a binary, b binary"
-SIGNED = "_set binary, _n long, _bits binary, _hash long"
+SIGNED = "_set binary, _id long, _n long, _bits binary, _hash long"
 TILE = ["_token", "_band", "_low", "_high"]
 
 
@@ -387,16 +431,19 @@ def similarity_classes(
     the component has no other. Rows may repeat: rows with an empty set are alone, others share their component.
     Keys are whole numbers. Other columns are ignored; an empty table gives an empty table.
 
-    Texts with equal sets count once from the first step on, so copies never meet each other. A set sends its rarest
-    shingles only (a prefix that any partner must touch), shingles of one set drop out, and candidates are verified by
-    their whole sets: first each set against the smallest one near its size that shares shingles with it, which joins
-    most groups, then whatever tiles of different components still allow. Tiles of a hot shingle are split into bands of sizes and blocks of at most ``BLOCK`` sets.
+    Texts with equal sets count once from the first step on, so copies never meet each other. A set is dealt to parts
+    by the hashes of its shingles, more parts than linked sets may have different shingles, so partners have a whole
+    part in common, which texts that share some shingles by chance do not. A set sends the hashes of its parts; one that
+    fills too few of them also its rarest shingles (a prefix that any partner must touch), as all do where the
+    similarity is so low that parts would be nearly empty. Keys of one set drop out, and candidates are verified by
+    their whole sets: first each set against the first one that shares keys with it, which joins
+    most groups, then whatever tiles of different components still allow. Tiles of a hot key are split into bands of sizes and blocks of at most ``BLOCK`` sets.
     """
     rule = Threshold(*similarity)
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(whole(text)).alias("_hash"), whole(text).alias("_text"))
-    shape = "_key long, _hash long, _n long, _set binary, _bits binary, _chunk int"
+    shape = "_key long, _hash long, _n long, _set binary, _id long, _bits binary, _chunk int"
     described = settle(rows.mapInArrow(_describe(words), shape), "sets")
     thin = described.filter("_chunk < 0").select("_key", "_n", "_set")
     chunks = described.filter("_chunk >= 0").select("_chunk", "_bits").repartition("_chunk")
@@ -405,28 +452,32 @@ def similarity_classes(
         counts[row["_chunk"] * CHUNK : (row["_chunk"] + 1) * CHUNK] = np.frombuffer(row["_bits"], np.int32)
     counters = spark.sparkContext.broadcast(counts)
 
-    sent = rows.mapInArrow(_entries(words, rule, counters), "_token long, _set binary, _n long")
-    sorted_entries = sent.repartition("_token").sortWithinPartitions("_token", "_n", "_set")
-    entries = settle(
-        sorted_entries.mapInArrow(_neighbours(rule), "_token long, _set binary, _n long, _before binary"), "entries"
-    )
+    # Most entries of the table meet no other; they are sorted as two numbers, and only those that meet get the set's name.
+    sent = rows.mapInArrow(_entries(words, rule, counters), "_token long, _id long")
+    sorted_entries = sent.repartition("_token").sortWithinPartitions("_token", "_id")
+    meetings = settle(sorted_entries.mapInArrow(_neighbours, "_token long, _id long, _before long"), "meetings")
     release(spark)
-    wanted = entries.select("_set").distinct()
+    wanted = meetings.select("_id").distinct()
 
-    signed = described.filter("_n > 0").select("_set", "_n", "_bits", "_hash").join(wanted, "_set", "left_semi")
+    signed = described.filter("_n > 0").select("_set", "_id", "_n", "_bits", "_hash").join(wanted, "_id", "left_semi")
+    signed = signed.select("_set", "_id", "_n", "_bits", "_hash")
     signed = settle(signed.dropDuplicates(["_set"]).mapInArrow(_shortened, f"{SIGNED}, _short binary"), "signed")
+    entries = meetings.select("_token", "_id").join(signed.select("_id", "_set", "_n"), "_id")
+    entries = settle(entries.select("_token", "_set", "_n"), "entries")
 
     def possible(pairs: DataFrame) -> DataFrame:
         for s in "ab":
             pairs = pairs.join(signed.select(F.col("_set").alias(s), F.col("_n").alias(f"_n_{s}"), F.col("_bits").alias(f"_bits_{s}")), s)
         return pairs.mapInArrow(_possible(rule), PAIR)
 
-    # Pairs with one shared shingle only are left to the tiles; most of them do not link.
-    heads = entries.filter("_before is not null").select(
-        F.least("_set", "_before").alias("a"), F.greatest("_set", "_before").alias("b")
-    )
-    heads = heads.groupBy("a", "b").agg(F.count("*").alias("_shared")).filter("_shared > 1").select("a", "b")
+    # Pairs with one shared key only are left to the tiles; most of them do not link.
+    heads = meetings.filter("_before is not null").groupBy("_id", "_before").agg(F.count("*").alias("_shared"))
+    heads = heads.filter("_shared > 1")
+    for s, i in (("a", "_id"), ("b", "_before")):
+        heads = heads.join(signed.select(F.col("_id").alias(i), F.col("_set").alias(s)), i)
+    heads = heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = _links(possible(heads), rows, signed, words, rule, "first-links")
+    discard(meetings)
     roots = components(first)
 
     def swept(roots: DataFrame, one_each: bool) -> DataFrame:

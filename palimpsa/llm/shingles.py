@@ -85,3 +85,8 @@ def set_key(values: np.ndarray) -> bytes:
     one = mix(values + np.uint64(1)).sum(dtype=np.uint64)
     two = mix(values * GOLD + np.uint64(3)).sum(dtype=np.uint64)
     return one.tobytes() + two.tobytes()
+
+
+def set_id(name: bytes) -> int:
+    """The first 64 bits of a set's name; sets that share them are told apart by the rest."""
+    return int.from_bytes(name[:8], "little", signed=True)

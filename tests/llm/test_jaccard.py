@@ -109,6 +109,57 @@ def test_signature_never_rules_out_a_link():
                 assert jaccard.may_link(jaccard.signature(a), jaccard.signature(b), len(a) + len(b), rule)
 
 
+def entries_of(texts, words, rule):
+    """What a task sends for each text, as pairs of key and index of the text."""
+
+    class Counters:
+        value = np.zeros(1 << jaccard.BUCKET_BITS, np.int32)
+
+    names = [jaccard.set_id(jaccard.set_key(v)) for v in shingle_sets(pa.array(texts), words)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["_text"])
+    sent = pa.Table.from_batches(jaccard._entries(words, rule, Counters)(iter([batch])))
+    return [(t, names.index(i)) for t, i in zip(*(c.to_pylist() for c in sent.select(["_token", "_id"]).columns))]
+
+
+def test_linked_sets_send_a_common_key():
+    """Whatever the rule and however little room the differences leave; keys are few for each member of a set."""
+    rng = random.Random(11)
+    for under, over in ((90, 100), (80, 100), (95, 100), (60, 100), (3, 10)):
+        rule = jaccard.Threshold(under, over)
+        for n in (1, 2, 4, 5, 9, 10, 12, 19, 21, 40, 77, 150, 400, 1500):
+            for _ in range(12):
+                words = [f"w{rng.random()}" for _ in range(n)]
+                other = list(words)
+                # As many words as may be go from the one and come to the other.
+                for _ in range(2 * n):
+                    if rng.random() < 0.5 and len(other) > 1:
+                        changed = other[:-1] if rng.random() < 0.5 else other[1:]
+                    else:
+                        changed = [*other, f"x{rng.random()}"]
+                    common = len(set(words) & set(changed))
+                    if over * common < under * (n + len(changed) - common):
+                        break
+                    other = changed
+                if set(other) == set(words):
+                    continue
+                sent = entries_of([" ".join(words), " ".join(other)], 1, rule)
+                assert {t for t, i in sent if i == 0} & {t for t, i in sent if i == 1}, (under, n)
+                assert len(sent) <= 2 * (n + len(other)) + 8
+
+
+def test_texts_that_share_some_sentences_do_not_meet():
+    """Texts put together from a stock of sentences share many shingles with many others, but no whole part."""
+    rng = random.Random(12)
+    stock = [" ".join(f"s{i}w{j}" for j in range(20)) for i in range(300)]
+    texts = [" ".join(rng.sample(stock, 12)) for _ in range(300)]
+    for words, rule, share in ((3, jaccard.Threshold(90, 100), 0.01), (5, jaccard.Threshold(80, 100), 0.1)):
+        sets = [set(v.tolist()) for v in shingle_sets(pa.array(texts), words)]
+        assert not any(rule.holds(len(x & y), len(x) + len(y)) for x, y in combinations(sets, 2))
+        sent = sorted(entries_of(texts, words, rule))
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sent)], ["_token", "_id"])
+        assert sum(b.num_rows for b in jaccard._neighbours(iter([batch]))) < len(sent) * share
+
+
 def test_shingles_agree_across_slices():
     texts = ["A b c d", None, "", "b  c\nd a b c d", "x"]
     whole = shingle_sets(pa.array(texts), 3)
