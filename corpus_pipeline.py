@@ -35,9 +35,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each text, and whether they decode to it."""
+    """The pieces of each text, and whether they decode to it.
+
+    Encoded texts are written first: in one go each task would have a Python worker for either step beside the other's.
+    """
     model = pieces.load_model(MODEL_FILE)
-    coded = pieces.decode(pieces.encode(docs, model), model)
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), model)
+    coded = pieces.decode(settle(encoded, "encoded"), model)
     restored = F.col("decoded").eqNullSafe(F.col("text"))
     return coded.select("doc_id", "lang", "source", "pieces", F.size("pieces").alias("n_pieces"), restored.alias("restored"))
 

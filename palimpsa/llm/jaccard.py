@@ -507,11 +507,14 @@ def similarity_classes(
         )
         found = tiles.mapInArrow(_tiles(rule, one_each), PAIR)
         candidates = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return _links(possible(candidates), rows, signed, words, rule, "tile-links")
+        links = _links(possible(candidates), rows, signed, words, rule, "tile-links")
+        discard(open_entries)
+        return links
 
     # One partner for each member first: it joins what is left of large groups, so that the whole sweep finds few pairs.
     links = first.unionByName(swept(roots, one_each=True))
     links = links.unionByName(swept(components(links), one_each=False))
+    discard(entries, signed)
     roots = components(links)
 
     ids = thin.join(roots.withColumnRenamed("node", "_set"), "_set", "left")
@@ -565,4 +568,6 @@ def drop_near(
     order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")
     stay = classes.join(rows.select("_row", "_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
     gone = settle(classes.select("_row").join(stay.select("_row"), "_row", "left_anti"), "gone")
+    discard(classes)
+    release(docs.sparkSession)
     return rows.join(gone, "_row", "left_anti").select(*[F.col(f"_whole.`{c}`") for c in names])
