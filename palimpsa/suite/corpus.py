@@ -65,8 +65,8 @@ def _suffix() -> str:
     )
 
 
-def _marked(chars: str, newline: str) -> str:
-    at = "cast((doc_id * 37) % n_chars as int)"
+def _marked(chars: str, newline: str, place: str = "(doc_id * 37) % n_chars") -> str:
+    at = f"cast({place} as int)"
     return (
         f"case when doc_id % 11 = 0 then text else substr(text, 1, {at}) || {chars} || substr(text, {at} + 1) "
         f"|| {newline} || {chars} || {chars} end"
@@ -74,10 +74,14 @@ def _marked(chars: str, newline: str) -> str:
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with invisible characters, keywords and stock phrases."""
+    """Documents with invisible characters, keywords and stock phrases.
+
+    A document of no characters has no place for one, so its text is null; a large id may not overflow.
+    """
     base = documents(spark, sf_dir)
     chars = _pick([f"'{chr(c)}'" for c in PLANTED], "doc_id % 10")
-    text = f"{_prefix()} || ({_marked(chars, sql_literal(chr(10)))}) || {_suffix()}".format(s="string")
+    place = "try_mod(try_mod(doc_id, n_chars) * 37, n_chars)"
+    text = f"{_prefix()} || ({_marked(chars, sql_literal(chr(10)), place)}) || {_suffix()}".format(s="string")
     return base.selectExpr(
         "doc_id", "source", "lang", _pick(FILENAMES, "doc_id % 6").format(s="string") + " as filename", f"{text} as text"
     )
