@@ -31,9 +31,10 @@ def violations(
     return F.array_compact(F.array(*tests))
 
 
-def code_violations(source: Column, max_chars: int = MAX_CODE_CHARS) -> Column:
-    """Codes of the limits a source text breaks."""
-    return F.array_compact(F.array(F.when(F.length(source) > max_chars, "too_long"), F.when(is_blank(source), "blank")))
+def code_violations(source: Column, max_chars: int | None = MAX_CODE_CHARS) -> Column:
+    """Codes of the limits a source text breaks; with no ``max_chars`` none is too long."""
+    tests = [] if max_chars is None else [F.when(F.length(source) > max_chars, "too_long")]
+    return F.array_compact(F.array(*tests, F.when(is_blank(source), "blank")))
 
 
 def with_status(documents: DataFrame, broken: Column) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsa.operators import code
+from palimpsa.operators import code, validate
+from palimpsa.suite import sourcecode
 
 
 def plain_comments(text, language):
@@ -89,3 +91,19 @@ def test_audits(spark):
     assert openers == {("python", "nota importante:", 1), ("python", "nota:", 1), ("javascript", "note:", 1)}
     audit = {r.language: r for r in code.language_audit(extracted).collect()}
     assert (audit["python"].n_comment_lines, audit["javascript"].comment_chars) == (2, 10)
+
+
+def test_code_partition_measures_long_sources(spark, tmp_path):
+    """Sources over the limit for a single request have their results, by the same SQL as short ones."""
+    long = "'" + "\\a" * 60_000 + "' /* uno\ndos */ z" + "\n// tres" * 20_000
+    rows = [(i, long, "es", "s", len(long)) for i in (1, 3, 4)] + [(12, "y", "es", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    expected = db.execute(sourcecode.QUERIES["code_partition"][1])
+    columns = [d[0] for d in expected.description]
+    got = sourcecode.code_partition(spark, str(tmp_path)).select(*columns)
+    assert len(long) > validate.MAX_CODE_CHARS
+    assert sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
